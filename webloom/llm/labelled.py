@@ -1,0 +1,435 @@
+"""Labelled lines from which the line model's weights are fitted.
+
+FURNITURE are lines of site furniture, as sites of the crawl's languages word
+them; a line stands for all that differ in names and values. Brands, names and
+values are written as slots: @ a name, 0 a number or date, ¤ the page's title.
+"""
+
+FURNITURE = {
+    "en": """
+menu
+toggle dark mode
+back to top
+skip to main content
+docs · api · about us · contact · guides · blog · downloads · search · release notes · support · examples · careers · community · home · forum · pricing · status · partners · changelog · sign in
+you are here: docs › api
+accept all
+reject all
+only necessary ones
+manage consent
+cookie settings
+ok, got it
+we can store cookies to keep you signed in.
+this site may use small files in your browser to remember your settings.
+@ will set cookies to measure visits.
+@ will set small files in your browser to show fitting offers.
+by browsing on you accept the cookie rules of @.
+by scrolling further you agree to the use of cookies of @.
+by staying here you accept the use of cookies of @.
+your privacy matters to us. pick which trackers @ may read.
+you decide about your data. tell us which cookies @ may store.
+choose which cookies @ may set.
+javascript is off in your browser; some parts of @ may not work.
+javascript is turned off in your browser; some features of @ will be missing.
+for the best experience on @, enable javascript.
+for the best view on @, switch on javascript.
+posted by @ staff on 0
+written by @ writers on 0
+published by the @ editorial team on 0
+by the @ platform team · 0
+by the @ docs team · 0
+by the @ editorial team · 0
+by the editors
+by our editors
+last updated on 0 by our editors
+last reviewed on 0 by the editors
+0 — 0 min read — @ newsroom
+0 — 0 min read — @ lab
+0 readers found this helpful. did you?
+0 readers found this helpful. and you?
+was this page helpful? yes / no
+was this useful? pass it along — 0 people did
+liked it? tell others — 0 shares
+liked it? pass it on — 0 people did
+0 comments
+leave a comment
+share this page with your team
+share this article with your colleagues
+share this guide with your friends
+share “¤” by mail
+share “¤” on your channel
+share “¤” with your network
+post · pin · print · save · embed · mail · bookmark · tweet
+sign up to the @ newsletter and join 0 readers
+subscribe to the @ newsletter and join 0 engineers
+join the @ workshop on 0
+join the @ meetup on 0
+the @ webinar starts on 0
+maintenance notice: @ is read only on 0
+maintenance window: @ pauses on 0
+never miss an update: join our list
+do not miss a release: enter our list
+get our weekly digest in your inbox
+receive our monthly letter in your inbox
+follow @ on our channels
+find @ on our feeds
+edit this page
+report a problem with this page
+search @…
+advertisement
+— ad —
+sponsored by @ partners
+article continues below
+related articles
+popular topics
+most read this week
+you may also like
+more from @
+tags: @, @
+filed under @, @ and @
+previous: ¤
+previous article — ¤
+next: ¤
+next article — ¤
+up next: ¤
+all content on @ is provided as is, without guarantee of any kind.
+any text on @ is offered as is, without warranty of any kind.
+nothing on this site is legal advice.
+no text on this page is financial advice.
+nothing on this page is professional advice.
+names and logos on this site belong to their owners.
+brands and marks shown here belong to their holders.
+licensed under the common harbor licence, version 0.
+licensed under the shared harbor licence, version 0.
+legal · privacy · terms · sitemap · imprint · conditions · accessibility
+© 0 @. all rights reserved.
+copyright 0 @ labs
+copyright 0 @ group
+copyright 0 @ ltd
+made with care by @
+built with care by @
+""",
+    "de": """
+menü
+nach oben
+zum inhalt springen
+startseite · suche · hilfe · doku · produkte · preise · neuigkeiten · über uns · kontakt · anmelden · anleitungen · beispiele · partner · status · forum
+sie sind hier: doku › hilfe
+alle akzeptieren
+alle ablehnen
+nur notwendige
+cookie-einstellungen
+wir verwenden cookies, um angebote anzupassen.
+@ setzt cookies, um ihre einstellungen zu merken.
+diese seite nutzt cookies, um besuche zu zählen.
+sie entscheiden selbst. bestimmen sie, welche cookies @ setzen darf.
+ihre privatsphäre zählt. wählen sie, welche cookies @ speichern darf.
+javascript ist aus; teile von @ laufen nicht.
+javascript ist abgeschaltet; teile von @ fehlen.
+von der @-redaktion · 0
+veröffentlicht am 0 – lesezeit 0 minuten
+aktualisiert am 0 – lesezeit 0 minuten
+war diese seite hilfreich?
+0 kommentare
+0 mal geteilt – machen sie mit
+0 mal geteilt – sagen sie es weiter
+teilen sie diese seite im team
+empfehlen sie diesen artikel mit freunden
+„¤“ weiterempfehlen
+„¤“ per mail senden
+„¤“ teilen
+bestellen sie den @-newsletter
+wartung: @ ist am 0 nur lesbar
+wartung: @ pausiert am 0
+abonnieren sie den @-rundbrief
+jede woche neues – schon 0 leser
+jeden monat neues – schon 0 leser
+folgen sie @ auf unseren kanälen
+finden sie @ auf unseren kanälen
+seite bearbeiten
+anzeige
+der artikel geht unten weiter
+der beitrag geht unten weiter
+meistgelesen
+verwandte artikel
+das könnte sie auch interessieren
+mehr von @
+schlagwörter: @, @
+abgelegt unter @, @ und @
+zurück: ¤
+weiter: ¤
+vorheriger artikel — ¤
+nächster artikel — ¤
+alle texte auf @ sind ohne gewähr.
+alle inhalte auf @ sind ohne garantie.
+marken gehören ihren jeweiligen inhabern.
+namen gehören ihren jeweiligen eigentümern.
+impressum · datenschutz · agb · nutzungsbedingungen
+© 0 @. alle rechte vorbehalten.
+""",
+    "fr": """
+menu
+haut de page
+aller au contenu
+accueil · recherche · assistance · docs · produits · tarifs · nouveautés · à propos · contact · connexion · guides · exemples · partenaires · communauté · téléchargements · blog
+vous êtes ici : docs › guides
+tout accepter
+tout refuser
+seulement les nécessaires
+gestion des cookies
+nous utilisons des cookies pour retenir vos réglages.
+@ dépose des cookies pour adapter les offres.
+ce site utilise des cookies pour mesurer les visites.
+votre vie privée compte. indiquez quels cookies @ peut déposer.
+à vous de choisir. indiquez quels cookies @ peut lire.
+javascript est désactivé ; des parties de @ ne marchent pas.
+javascript est désactivé ; certaines fonctions de @ manquent.
+par la rédaction de @ · 0
+publié le 0 – 0 min de lecture
+mis à jour le 0 – 0 min de lecture
+cette page vous a-t-elle aidé ?
+0 commentaires
+0 partages – et vous ?
+0 partages – faites passer
+partagez cette page avec votre équipe
+partagez cet article avec vos amis
+envoyer «¤» par courriel
+partager «¤» autour de vous
+inscrivez-vous à la lettre de @
+recevez la lettre mensuelle de @
+maintenance : @ en lecture seule le 0
+recevez la lettre hebdomadaire de @
+rejoignez 0 lecteurs de la lettre
+suivez @ sur nos canaux
+retrouvez @ sur nos canaux
+modifier cette page
+publicité
+la suite de l’article après l’annonce
+les plus lus
+articles liés
+à lire aussi
+plus de @
+classé dans @, @ et @
+mots-clés : @, @
+précédent : ¤
+à suivre — ¤
+suivant : ¤
+les textes de @ sont fournis sans garantie.
+les contenus de @ sont fournis sans engagement.
+les noms appartiennent à leurs détenteurs.
+les marques appartiennent à leurs propriétaires.
+mentions légales · confidentialité · conditions · plan du site
+© 0 @. tous droits réservés.
+""",
+    "es": """
+menú
+volver arriba
+saltar al contenido
+inicio · buscar · ayuda · docs · productos · precios · novedades · quiénes somos · contacto · entrar · guías · ejemplos · socios · comunidad · descargas · blog
+usted está aquí: docs › guías
+aceptar todo
+rechazar todo
+solo las necesarias
+ajustes de cookies
+usamos cookies para recordar sus ajustes.
+@ usa cookies para medir las visitas.
+este sitio usa cookies para adaptar las ofertas.
+usted decide. elija qué rastreadores puede leer @.
+su privacidad importa. elija qué cookies puede guardar @.
+javascript está apagado; partes de @ no van.
+javascript está apagado; funciones de @ faltan.
+por la redacción de @ · 0
+publicado el 0 – 0 min de lectura
+actualizado el 0 – 0 min de lectura
+¿le sirvió esta página?
+0 comentarios
+0 veces compartido – siga la cadena
+0 veces compartido – ¿y usted?
+comparta este artículo con su equipo
+comparta esta página con sus amigos
+enviar «¤» por correo
+comparta «¤» en su red
+reciba el boletín semanal de @
+mantenimiento: @ en modo de lectura el 0
+reciba el boletín mensual de @
+únase a 0 lectores del boletín
+siga a @ en nuestros canales
+encuentre a @ en nuestros canales
+editar esta página
+publicidad
+el artículo sigue más abajo
+lo más leído
+artículos relacionados
+también le puede interesar
+más de @
+archivado en @, @ y @
+etiquetas: @, @
+anterior: ¤
+siguiente: ¤
+los textos de @ se ofrecen sin compromiso.
+los contenidos de @ se ofrecen sin garantía.
+los nombres son de sus titulares.
+las marcas son de sus dueños.
+aviso legal · privacidad · condiciones · mapa del sitio
+© 0 @. todos los derechos reservados.
+""",
+}
+
+#: Lines under which a site lists other articles.
+SIDEBAR_HEADINGS = {
+    "related articles", "popular topics", "most read this week", "you may also like", "more from @", "meistgelesen", "verwandte artikel", "das könnte sie auch interessieren", "mehr von @",
+    "les plus lus", "articles liés", "à lire aussi", "plus de @", "lo más leído", "artículos relacionados", "también le puede interesar", "más de @",
+}
+
+#: Error, refusal, expiry and outage messages, and notices that scripts or another browser are needed or checked.
+NOTICES = """
+404 not found
+error 404 - page not found
+http 404 : file not found
+503 service unavailable: upstream 0 did not answer.
+service temporarily unavailable: backend 0 did not answer.
+bad gateway: upstream 0 did not answer.
+403 forbidden /0. reference 0.
+access denied /0. reference 0.
+you do not have permission to view /0. reference 0.
+internal server error (request 0). try again later.
+an unexpected error occurred (request 0). please come back in a few minutes.
+something went wrong (request 0). please come back in a few minutes.
+sorry, the page /0 does not exist.
+we are sorry, the address /0 could not be found.
+oops, the page /0 was moved or removed.
+your session has expired. sign in again to open /0.
+your session timed out. log in again to open /0.
+rate limit reached. client 0 is blocked for 0 seconds.
+too many requests. client 0 must wait for 0 seconds.
+this account has been suspended by the hosting provider.
+this site has been disabled by the hosting provider.
+the shop 0 has been suspended by the hosting provider.
+database connection failed: timeout after 0 ms at /0
+fatal: could not connect to the database: timeout after 0 ms at /0
+traceback: worker /0 line 0: valueerror 0
+traceback: handler /0 line 0: keyerror 0
+traceback: view /0 line 0: typeerror 0
+please enable javascript to continue (0).
+you need to enable javascript to run this app (0).
+turn on javascript to view this page (0).
+switch on javascript to continue (0).
+this application needs javascript and cookies. reload after allowing them.
+this application requires scripts and cookies. reload after enabling them.
+loading… if nothing happens, your browser blocks scripts. code 0
+loading… if nothing happens, scripts are disabled. code 0
+checking your browser before opening /0. ray 0.
+verifying you are human before loading /0. ray 0.
+this browser is too old. update it to open /0.
+your browser is not supported. use another one to open /0.
+just a moment...
+fehler 404 – seite nicht gefunden
+fehler 404 : nicht gefunden
+leider existiert die seite /0 nicht. die seite /0 wurde entfernt.
+entschuldigung, die seite /0 existiert nicht.
+zugriff verweigert für /0. kennung 0.
+keine berechtigung für /0. kennung 0.
+interner serverfehler (anfrage 0). bitte später erneut versuchen.
+es ist ein fehler aufgetreten (anfrage 0). bitte später erneut versuchen.
+ihre sitzung 0 ist abgelaufen. bitte neu anmelden.
+diese anwendung 0 benötigt skripte.
+bitte aktivieren sie javascript, um /0 anzuzeigen.
+bitte erlauben sie javascript, um /0 zu öffnen.
+ihr browser wird überprüft. vorgang 0.
+der browser wird geprüft. vorgang 0.
+erreur 404 : page introuvable
+erreur 404 – introuvable
+désolé, la page /0 n’existe pas.
+désolé, la page /0 a été supprimée.
+accès interdit à /0. référence 0.
+accès refusé à /0. référence 0.
+erreur interne du serveur (requête 0). réessayez plus tard.
+une erreur est survenue (requête 0). réessayez plus tard.
+votre session 0 a expiré. reconnectez-vous.
+cette application 0 a besoin de scripts.
+veuillez activer javascript pour afficher /0.
+veuillez autoriser javascript pour ouvrir /0.
+vérification de votre navigateur. dossier 0.
+error 404 : página no encontrada
+error 404 – no encontrada
+vaya, la página /0 no existe.
+lo sentimos, la página /0 fue eliminada.
+acceso denegado para /0. referencia 0.
+sin permiso para /0. referencia 0.
+error interno del servidor (solicitud 0). inténtelo más tarde.
+se produjo un error (solicitud 0). inténtelo más tarde.
+su sesión 0 ha caducado. entre de nuevo.
+esta aplicación 0 necesita scripts.
+active javascript para abrir /0.
+active javascript para ver /0.
+comprobando su navegador. caso 0.
+"""
+
+#: Text that stands in for content still to be written.
+FILLER = """
+lorem ipsum dolor amar velit sedam tempra integram egestat luctor morbis noctis vitrum fugit meris
+alenda quisel pulvim varius nullam ornat porta feliso sagittem ullam lorem ipsum
+sedam ornat dolor quisel vitrum luctor noctis egestat porta meris nullam integram velit
+lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
+ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat
+content coming soon description coming soon
+tbd tbd tbd tba tba
+heading one heading two heading three subheading
+placeholder text, replace me before launch
+placeholder text, change it before publishing
+dummy copy, replace it before launch
+sample paragraph, replace me before publishing
+the content goes here the content comes here
+your text goes here the text comes here
+the description goes here the description comes here
+todo: add the main text todo: write the summary
+todo: write the intro todo: add the summary
+this is a new page. edit it and add your own words!
+this is an example page. edit it and start writing!
+bla bla bla bla bla bla
+blah blah blah blah blah
+test test test test test test
+asdf asdf asdf asdf asdf
+foo bar baz foo bar baz
+qwerty qwerty qwerty xxx xxx xxx
+inhalt folgt in kürze beschreibung folgt in kürze
+beispieltext, bitte ersetzen überschrift eins überschrift zwei
+hier steht ihr text hier steht der inhalt
+platzhaltertext, vor der veröffentlichung ersetzen
+blindtext, bitte ersetzen
+todo: text einfügen todo: text schreiben todo: einleitung schreiben
+le contenu ici le texte ici
+votre texte vient ici le texte vient ici
+contenu à venir description à venir titre un titre deux
+à faire : écrire le texte
+texte à remplacer texte à remplacer
+à faire : ajouter le texte
+texte de remplissage, à changer avant publication
+texto de relleno, sustituir antes de publicar
+texto de ejemplo, cambiar antes de publicar
+el contenido va aquí el texto va aquí
+contenido próximamente descripción próximamente título uno título dos
+pendiente: añadir el texto pendiente: escribir el texto
+prueba prueba prueba prueba
+"""
+
+#: Sentences of ordinary articles, so that the model stands where the corpus is tiny.
+CONTENT = """
+The crawler stores every page before the index is updated, so a restart loses nothing. We measured ten requests per second after the cache was added.
+When the queue grows, the scheduler moves the oldest jobs to another worker. Use the second router to merge streams without touching the first one.
+In practice, most readers open only the first result. Why does the parser skip the empty rows? Both tables must be sorted before they can be joined.
+If the server cannot reach the database, it answers from the last snapshot. Set the limit to five when the primary host is slow.
+There are three copies of each file, and the oldest one is deleted at night. This step was removed because the newer library does the same.
+Der Dienst speichert jede Seite, bevor der Index erneuert wird. Wenn die Liste wächst, verschiebt der Planer alte Aufträge.
+Mit dem zweiten Filter lassen sich leere Zeilen schnell finden. Warum liest der Knoten die Daten zweimal?
+Jeder Eintrag hält einen Wert bereit und verweist auf die nächste Tabelle. In der Regel werden die Texte vom Server nachts geprüft.
+Ohne Kopien bleibt der Bericht leer, und der Leser sieht nur die Überschrift. Wir haben zehn Anfragen pro Sekunde gezählt, nachdem der Speicher wuchs.
+Le service garde chaque page avant que le registre soit mis à jour. Quand la file augmente, le serveur déplace les anciens lots.
+Nous avons compté dix requêtes par seconde après que le cache a été ajouté. Pourquoi le modèle lit-il les données deux fois ?
+Si le nœud ne répond pas, le client reprend la copie. Les index sont remplis la nuit, et le journal compte le reste.
+Sans filtre, le flux reste vide et le lecteur ne voit que le titre. Pour trier les textes, il faut que le moteur soit prêt.
+El servicio guarda cada página antes de que el índice esté listo. Cuando crece la cola, el planificador mueve los trabajos antiguos.
+Contamos diez peticiones por segundo después de que se añadió la memoria. ¿Por qué el modelo lee los datos dos veces?
+Si el nodo no responde, el cliente retoma la copia. En la práctica, los registros son guardados por el servidor cada noche.
+Sin bloques, el informe queda vacío y el lector solo ve el título. Los textos largos quedan ordenados deprisa y el motor cuenta el resto.
+"""

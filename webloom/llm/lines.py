@@ -1,0 +1,288 @@
+"""What each line of a page is: site furniture, the page's own text, or residue.
+
+A linear model scores a line's words and signs: positive for own text, negative
+for furniture. The weights are the log ratio of a feature's frequency in
+labelled own text (sentences of a bounded sample of the corpus' long
+paragraphs) and in labelled furniture. A page is then scanned once, line by
+line; lines the words leave open are decided by the lines around them.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from webloom.llm import labelled
+from webloom.llm.templates import with_slots
+
+#: Pages sampled for labelled own text, and the share of features they need to be kept.
+SAMPLE_PAGES = 2000
+_PARAGRAPH_WORDS = 18
+_SMOOTH, _CLIP = 1e-3, 4.0
+
+BLANK, TITLE, HEADING, PROSE, CODE, FRAGMENT, FURNITURE, SIDEBAR, RESIDUE = range(9)
+#: Kinds of the page's own text.
+OWN = frozenset({TITLE, HEADING, PROSE, CODE, FRAGMENT, RESIDUE})
+
+_FORMAT = re.compile("[­​-‏⁠﻿]")
+_EDGES = re.compile(r"^(?:[\s•»·→←>‹›]|[*\-–—|](?=\s))+|[\s»→←]+$")
+_BULLET = re.compile(r"^\s*(?:[•*·]|[-–—](?=\s))\s*")
+_TOKEN = re.compile(r"[^\W\d_]+|0|[·|/›>»¤@©]")
+_QUOTED = re.compile(r"[“„«\"]\s?[^“”„«»\"]{6,200}?\s?[”“»\"]")
+_ENDS = re.compile(r"[.?!:…。！？][\"'”»“)\]]*$")
+_SENTENCE = re.compile(r"(?<=[.?!])\s+")
+_LINK = re.compile(r"https?://\S+")
+_SEPARATED = re.compile(r"\s(?:[·|/›>»])\s|\s{3,}")
+_CODE = re.compile(r"^\s*(?:\$ |>>> |GET /|POST /|SELECT .*\bFROM\b|assert |def |class |import |for \w+ in |if .*:$|return |echo |<\w+[ >])|[\w.]+\s*[=:]=?\s*[\[({\"'\d]|^\w+(?:\.\w+)+: |\w\(.*\)\s*(?:[=!]=|;|$)|^\s*[\w.]+ = \w+\(|\{$|^\s*\}|;$")
+_CODE_HINT = re.compile(r"[=;(){}\[\]$:/]|^assert |^return |^echo |^import |^class |^def ")
+#: Own text beyond doubt: so much score a word.
+_SURE = 3.0
+_ROW = re.compile(r"^[^|]+(?:\|[^|]+){2,}$|^[^\t]+(?:\t[^\t]+){2,}$")
+
+
+_EDGE_SIGNS = frozenset(" \t\xa0•»·→←>‹›*-–—|\u2003\u2002\u3000")
+
+
+def clean(line: str) -> str:
+    """The line without bullets, arrows and invisible characters."""
+    line = line.strip()
+    if not line.isascii():
+        line = _FORMAT.sub("", line)
+    if line and (line[0] in _EDGE_SIGNS or line[-1] in _EDGE_SIGNS):
+        line = _EDGES.sub("", line)
+    return line
+
+
+def tokens_of(line: str) -> list[str]:
+    return _TOKEN.findall(with_slots(line))
+
+
+def features(tokens: list[str]) -> list[str]:
+    """Words and signs, the first of them, and neighbouring pairs."""
+    return [*tokens, "^" + tokens[0], *map(" ".join, zip(tokens, tokens[1:]))] if tokens else []
+
+
+class LineModel:
+    """Weights of words and signs, and the sidebar headings."""
+
+    def __init__(self, sentences: list[str]) -> None:
+        furniture: Counter = Counter()
+        lines = [x for text in labelled.FURNITURE.values() for x in text.strip().split("\n")]
+        for line in lines:
+            furniture.update(set(features(tokens_of(line.replace("@", "").replace("„¤“", "¤").replace("“¤”", "¤").replace("«¤»", "¤")))))
+        own: Counter = Counter()
+        for sentence in sentences:
+            own.update(set(features(tokens_of(sentence))))
+        self.weights: dict[str, float] = {}
+        few = max(1, len(sentences) // 5000)
+        for f in furniture.keys() | {f for f, n in own.items() if n >= few}:
+            ratio = math.log((own[f] / max(1, len(sentences)) + _SMOOTH) / (furniture[f] / len(lines) + _SMOOTH))
+            self.weights[f] = max(-_CLIP, min(_CLIP, ratio))
+        bare = [x.replace("@", "") for x in lines]
+        #: wordings of furniture that need no weighing
+        self.known = {tuple(_TOKEN.findall(part)) for x in bare for part in [x, *re.split(r"[·›:]", x)] if "¤" not in part and len(part) > 2}
+        self.sidebar = {tuple(_TOKEN.findall(x.replace("@", ""))) for x in labelled.SIDEBAR_HEADINGS if "@" not in x}
+        self.sidebar_stems = [tuple(_TOKEN.findall(x.replace("@", ""))) for x in labelled.SIDEBAR_HEADINGS if "@" in x]
+
+    def score(self, tokens: list[str]) -> float:
+        get = self.weights.get
+        return sum([get(f, 0.0) for f in features(tokens)])
+
+    def is_sidebar_heading(self, tokens: tuple[str, ...]) -> bool:
+        return tokens in self.sidebar or any(tokens[: len(s)] == s and len(tokens) <= len(s) + 1 for s in self.sidebar_stems)
+
+
+def paragraph_sentences(text: str) -> list[str]:
+    """Sentences of the text's long paragraphs: own text by the look of it."""
+    out: list[str] = []
+    for line in text.split("\n"):
+        line = clean(line)
+        if line.count(" ") + 1 >= _PARAGRAPH_WORDS and _ENDS.search(line[-6:]):
+            out += _SENTENCE.split(line)
+    return out
+
+
+def own_sentences(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> list[str]:
+    """Labelled own text: of at most about ``sample_pages`` pages chosen by the hash of their id, and of the package."""
+    share = min(1.0, sample_pages / max(1, pages.count()))
+    chosen = pages.where(F.pmod(F.xxhash64(F.col("id").cast("long")), F.lit(1 << 20)) < int(share * (1 << 20))).where("extracted_text is not null").select("id", "extracted_text").limit(2 * sample_pages)
+    out = [s for line in labelled.CONTENT.strip().split("\n") for s in _SENTENCE.split(line)]
+    for row in sorted(chosen.collect(), key=lambda r: (r[0] is None, r[0])):
+        out += paragraph_sentences(row[1])
+    return out
+
+
+class Line:
+    """A line's kind, clean text, number of words and model score."""
+
+    __slots__ = ("bullet", "kind", "score", "text", "words")
+
+    def __init__(self, kind: int, text: str = "", words: int = 0, score: float = 0.0, bullet: bool = False) -> None:
+        self.kind, self.text, self.words, self.score, self.bullet = kind, text, words, score, bullet
+
+
+class Scanner:
+    """Scans pages line by line with a line model and, if given, a residue model.
+
+    A residue model has ``long(line)`` for lines of many words and
+    ``short(line, tokens)``; they tell unfilled fields, error notices and filler
+    from other lines. What a short line is by its words alone is remembered.
+    """
+
+    LONG_WORDS = 30
+    REMEMBERED = 50_000
+
+    def __init__(self, model: LineModel, residue=None) -> None:
+        self.model, self.residue = model, residue
+        self._seen: dict[str, tuple[int, float]] = {}
+
+    def _judged(self, judged: str, line: str, words: int) -> tuple[int, float]:
+        """Kind and score by the words; ``judged`` is the line with the title's slot."""
+        tokens = tokens_of(judged)
+        score = self.model.score(tokens)
+        if self.model.is_sidebar_heading(tuple(tokens)):
+            return SIDEBAR, score
+        if words <= 16 and (_PREV_NEXT.match(judged) or _TAGS.match(judged)):
+            return FURNITURE, score
+        if words <= 12 and tuple(tokens) in self.model.known:
+            return FURNITURE, score
+        if self.residue is not None and score < _SURE * words and self.residue.short(judged, tokens):
+            return RESIDUE, score
+        if _is_furniture(judged, score, words):
+            return FURNITURE, score
+        ends = bool(_ENDS.search(line[-6:]))
+        if "|" in line and _ROW.match(line) and "0" in tokens or _CODE_HINT.search(line) and _CODE.search(line) and not (ends and words > 8 and "{" not in line) and not _LINK.match(line):
+            return CODE, score
+        if ends and words >= 5 and score > -2 or words >= 12 and score > 8 and _function_like(line):
+            return PROSE, score
+        return FRAGMENT, score
+
+    def scan(self, title: str | None, text: str) -> list[Line]:
+        """The lines of a page with their kinds; open ones are fragments."""
+        seen = self._seen
+        own_title = tokens_of(clean(title)) if title else []
+        low_title = " ".join(title.casefold().split()) if title else ""
+        first = own_title[0] if own_title and own_title[0].isascii() and own_title[0] != "0" else ""
+        lines: list[Line] = []
+        for raw in text.split("\n"):
+            visible = raw.strip()
+            line = clean(visible)
+            if not line:
+                lines.append(Line(BLANK))
+                continue
+            parts = line.split()
+            words = len(parts)
+            bullet = visible[0] in "•*·-–—" and bool(_BULLET.match(visible))
+            if words >= self.LONG_WORDS:
+                if self.residue is not None and self.residue.long(parts):
+                    kind = RESIDUE
+                else:
+                    kind = PROSE if _ENDS.search(line[-6:]) or line.count(". ") >= 2 else FRAGMENT
+                lines.append(Line(kind, line, words, 30.0 if kind == PROSE else 0.0, bullet))
+                continue
+            low = line.casefold()
+            if own_title and len(line) <= 2 * len(low_title) + 8 and (low == low_title or first in low and tokens_of(line) == own_title):
+                lines.append(Line(TITLE, line, words, 5.0))
+                continue
+            if visible.startswith("#") and visible.lstrip("#").startswith(" "):
+                lines.append(Line(HEADING, line, words, 5.0))
+                continue
+            judged = line
+            if "“" in line or "„" in line or "«" in line or '"' in line:
+                judged = _QUOTED.sub(" ¤ ", line)
+            elif len(low_title) > 8 and len(line) > len(low_title) and low_title in low:
+                judged = low.replace(low_title, " ¤ ")
+            known = seen.get(judged)
+            if known is None:
+                known = self._judged(judged, line, words)
+                if len(seen) < self.REMEMBERED:
+                    seen[judged] = known
+            lines.append(Line(known[0], line, words, known[1], bullet))
+        return lines
+
+
+_PREV_NEXT = re.compile(
+    r"^(?:previous|next|previous article|next article|up next|read next|zurück|weiter|voriger artikel|voriger beitrag|vorheriger artikel|nächster artikel|vorheriger beitrag|nächster beitrag|précédent|suivant|à suivre|article précédent|article suivant|anterior|siguiente|artículo anterior|artículo siguiente|leer después|leer antes|lire ensuite|lire aussi|weiterlesen)\s*[:—–]\s",
+    re.I,
+)
+_TAGS = re.compile(r"^(?:tags|tagged|topics|keywords|filed under|schlagwörter|schlagworte|themen|abgelegt unter|étiquettes|mots-clés|classé dans|sujets|etiquetas|archivado en|temas)\s*:?\s", re.I)
+_HASHTAGS = re.compile(r"^#\w+(?:\s+#\w+)+$")
+
+
+def _is_furniture(judged: str, score: float, words: int) -> bool:
+    if _HASHTAGS.match(judged) and words <= 8:
+        return True
+    if score <= -4:
+        return True
+    if words <= 3 and score < -0.5:
+        return True
+    if "¤" in judged and score < 0.5:
+        return True
+    # a path to the page or a menu: few short parts, some of them known from menus
+    if score >= 0 or "http" in judged:
+        return False
+    parts = [p for p in _SEPARATED.split(judged) if p.strip()]
+    return 2 <= len(parts) <= 12 and all(p.count(" ") < 5 for p in parts)
+
+
+# Words that titles hold and bare keywords don't.
+_TITLE_WORDS = frozenset("a an the of to in on from for and why how what notes with und der die das den mit von nach zu wie in für le la les des de du et dans sur comment pourquoi à el los las un una y en cómo por qué".split())
+
+
+def _title_like(line: str) -> bool:
+    """Whether a short line reads as the title of an article rather than as bare keywords."""
+    if _LINK.search(line):
+        return False
+    return bool(_TITLE_WORDS & set(line.casefold().split()[:8])) or ":" in line[:-1]
+
+
+def _function_like(line: str) -> bool:
+    return sum(1 for w in line.split() if len(w) <= 3 and w.islower()) >= 2
+
+
+def resolve(lines: list[Line]) -> list[Line]:
+    """Open lines decided by their neighbours: headings of the page's text, or lists of other articles.
+
+    A page made of fragments keeps them: they are its own text.
+    """
+    prose = sum(x.words for x in lines if x.kind in (PROSE, CODE))
+    open_lines = [x for x in lines if x.kind == FRAGMENT]
+    listed = sum(x.words for x in open_lines if x.words > 14 or _LINK.search(x.text))
+    bare = sum(1 for x in open_lines if not _title_like(x.text))
+    own = bare >= 5 and 3 * bare >= len(open_lines) and sum(x.words for x in open_lines) > prose or listed > max(20, prose / 2)
+    filled = [k for k, x in enumerate(lines) if x.kind != BLANK]
+    i = 0
+    while i < len(filled):
+        k = filled[i]
+        if lines[k].kind == SIDEBAR:
+            lines[k].kind = FURNITURE
+            i += 1
+            if own:
+                continue
+            bullet = None
+            while i < len(filled) and lines[filled[i]].kind == FRAGMENT and (bullet is None or lines[filled[i]].bullet == bullet):
+                bullet = lines[filled[i]].bullet
+                lines[filled[i]].kind = FURNITURE
+                i += 1
+            continue
+        if lines[k].kind == FRAGMENT and not own:
+            j = i
+            while j < len(filled) and lines[filled[j]].kind == FRAGMENT and lines[filled[j]].bullet == lines[k].bullet:
+                j += 1
+            run = [lines[q] for q in filled[i:j]]
+            after = lines[filled[j]].kind if j < len(filled) else FURNITURE
+            before_text = any(lines[q].kind in (PROSE, CODE, RESIDUE) for q in filled[j : j + 4])
+            if run[0].bullet or len(run) >= 3:
+                kind = FURNITURE
+            else:
+                kind = HEADING if after in (PROSE, CODE, RESIDUE, HEADING) or before_text and after != FURNITURE or before_text and i <= 6 else FURNITURE
+            for x in run:
+                x.kind = kind
+            i = j
+            continue
+        i += 1
+    return lines

@@ -7,17 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import groups, leakage, packing, splitting
+from webloom.llm import furniture, groups, leakage, packing, residue, spam, splitting, templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.repeated_lines(_table(spark, sf_dir, "pages")).select("page_id", "line_no")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.near_duplicate_groups(_table(spark, sf_dir, "page_graph_edges"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return furniture.furniture_lines(_table(spark, sf_dir, "pages")).select("page_id", F.explode("lines").alias("line_no"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_pages(_table(spark, sf_dir, "pages")).select("page_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "page_links")).select("page_id")
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -35,7 +51,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p2_found, p7_containers, p8_found, p9_found, p9_pieces)
+    found = (p1_found, p2_found, p3_found, p4_found, p6_found, p7_containers, p8_found, p9_found, p9_pieces)
     return {f.__name__: f for f in found}
 
 
