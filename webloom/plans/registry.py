@@ -6,13 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webloom.operators.orphans import orphan_links, orphan_report
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     raise NotImplementedError
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphan_links(_table(spark, sf_dir, "page_links"), _table(spark, sf_dir, "pages")).select("link_id", "period")
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphan_report(_table(spark, sf_dir, "page_links"), _table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p5_found": p5_found, "p5_report": p5_report}
 
 
 def oracle_sql() -> dict[str, str]:
