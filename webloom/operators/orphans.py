@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.urls import normalize_url
 from webloom.operators.skew import keyed_lookup
+from webloom.session import Scratch
 
 #: Bits of the filter per parent key, for 3 % false positives, and the bits it may have in all (64 MB).
 BITS_PER_KEY = 8
@@ -67,12 +68,19 @@ def orphan_links(links: DataFrame, pages: DataFrame) -> DataFrame:
         F.col("id").cast("long").alias("link_id"),
         F.col("crawl_job_id").cast("long").alias("job"),
         F.col("source_page_id").cast("long").alias("source"),
-        F.when(by_id, "target_page_id").otherwise("target_normalized_url").alias("reference"),
-        F.when(by_id, F.concat(F.lit("#"), F.col("target_page_id").cast("long"))).otherwise(normalize_url(F.when(~by_id, F.col("target_normalized_url")))).alias("key"),
+        "target_page_id",
+        F.when(~by_id, F.col("target_normalized_url")).alias("url"),
     )
     own = pages.select(F.col("id").cast("long").alias("page"), F.col("crawl_job_id").cast("long").alias("job"), "normalized_url", _month(F.col("created_at")).alias("month")).where("month is not null")
     sources = own.groupBy(F.col("page").alias("source")).agg(F.min("month").alias("period"))
-    refs = keyed_lookup(refs, sources, ["source"], "inner").drop("source")
+    keyed = keyed_lookup(refs, sources, ["source"], "inner").select(
+        "link_id",
+        "job",
+        "period",
+        F.when(F.col("target_page_id").isNotNull(), "target_page_id").otherwise("target_normalized_url").alias("reference"),
+        F.coalesce(F.concat(F.lit("#"), F.col("target_page_id").cast("long")), normalize_url(F.col("url"))).alias("key"),
+    )
+    refs = Scratch(links.sparkSession, "orphans").keep(keyed)
 
     keys = own.select("job", "month", F.explode(F.array(F.concat(F.lit("#"), F.col("page")), F.col("normalized_url"))).alias("key")).where("key is not null and job is not null")
     hashed = lambda: F.xxhash64("job", "key")
