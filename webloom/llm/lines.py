@@ -130,11 +130,12 @@ class Scanner:
 
     A residue model has ``long(line)`` for lines of many words and
     ``short(line, tokens)``; they tell unfilled fields, error notices and filler
-    from other lines. What a short line is by its words alone is remembered.
+    from other lines. Lines of furniture, which come again and again, are
+    remembered by their wording.
     """
 
     LONG_WORDS = 30
-    REMEMBERED = 50_000
+    REMEMBERED = 200_000
 
     def __init__(self, model: LineModel, residue=None) -> None:
         self.model, self.residue = model, residue
@@ -168,9 +169,12 @@ class Scanner:
         low_title = " ".join(title.casefold().split()) if title else ""
         first = own_title[0] if own_title and own_title[0].isascii() and own_title[0] != "0" else ""
         lines: list[Line] = []
+        if not text.isascii() and _FORMAT.search(text):
+            text = _FORMAT.sub("", text)
         for raw in text.split("\n"):
-            visible = raw.strip()
-            line = clean(visible)
+            visible = line = raw.strip()
+            if line and (line[0] in _EDGE_SIGNS or line[-1] in _EDGE_SIGNS):
+                line = _EDGES.sub("", line)
             if not line:
                 lines.append(Line(BLANK))
                 continue
@@ -199,7 +203,7 @@ class Scanner:
             known = seen.get(judged)
             if known is None:
                 known = self._judged(judged, line, words)
-                if len(seen) < self.REMEMBERED:
+                if known[0] in (FURNITURE, SIDEBAR) and len(seen) < self.REMEMBERED:
                     seen[judged] = known
             lines.append(Line(known[0], line, words, known[1], bullet))
         return lines

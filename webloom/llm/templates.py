@@ -40,6 +40,7 @@ _MONTHS = (
 _MONTH = "(?:" + "|".join(sorted(set(_MONTHS.split()), key=len, reverse=True)) + ")"
 
 SLOT, TITLE = "0", "¤"
+_DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"\d+(?:[^\w\s]+\d+)*")
 _DATE = re.compile(rf"0(?:st|nd|rd|th|er|º|\.)?\s+(?:de\s+|of\s+)?{_MONTH}\b\.?,?(?:\s+(?:de\s+|del\s+)?0)?|\b{_MONTH}\.?\s+0(?:st|nd|rd|th)?(?:,?\s+0)?|0[-/.]{_MONTH}[-/.]0")
 _TOKEN = re.compile(r"[^\W_]+")
@@ -50,8 +51,10 @@ def with_slots(text: str) -> str:
     """The text without letter case, every number and date replaced by ``SLOT``."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    text = _NUMBER.sub(SLOT, text.casefold())
-    return _DATE.sub(SLOT, text) if SLOT in text else text
+    text = text.casefold()
+    if not _DIGIT.search(text):
+        return text
+    return _DATE.sub(SLOT, _NUMBER.sub(SLOT, text))
 
 
 class TemplateTree:
