@@ -168,6 +168,11 @@ SQL: dict[str, str] = {
     "url_hierarchy_edges": f"""with first_ as (select crawl_job_id, normalized_url, min(id) as id from pages where normalized_url is not null group by all),
         ch as (select crawl_job_id, id, normalized_url, {_PARENT} as parent from pages)
         select c.crawl_job_id, p.id as source_page_id, c.id as target_page_id, 0.9::double as weight, {_PATH.format(u='c.normalized_url')} as child_path, {_PATH.format(u='c.parent')} as parent_path from ch c join first_ p on p.crawl_job_id = c.crawl_job_id and p.normalized_url = c.parent where p.id <> c.id""",
+    "url_hierarchy_site_tree": f"""with nr as (select n_nationkey, lower(n_name) as n, replace(lower(r_name), ' ', '-') as r, r_regionkey from nation join region on r_regionkey = n_regionkey),
+        tree as (select 1::bigint as id, 'https://shop.example/' as normalized_url union all select 10 + r_regionkey, 'https://shop.example/' || replace(lower(r_name), ' ', '-') from region
+          union all select 100 + n_nationkey, 'https://shop.example/' || r || '/' || n from nr union all select 1000 + c_custkey, 'https://shop.example/' || r || '/' || n || '/' || c_custkey from customer join nr on n_nationkey = c_nationkey),
+        ch as (select id, normalized_url, {_PARENT} as parent from tree)
+        select p.id as source_page_id, c.id as target_page_id, 0.9::double as weight, {_PATH.format(u='c.normalized_url')} as child_path, {_PATH.format(u='c.parent')} as parent_path from ch c join tree p on p.normalized_url = c.parent""",
     "content_similarity_edges": f"""with {_TFIDF}, {_pairs('i.page_id <> t.page_id', 0.15)}
         select crawl_job_id, s as source_page_id, t as target_page_id, round(score, 6) as weight, least(shared, 40) as n_shared from prs qualify row_number() over (partition by crawl_job_id, s order by score desc, t) <= 10""",
     "near_duplicate_hash_edges": f"""with {_INBOUND}, f as (select crawl_job_id, content_hash, arg_min(id, o) as c from ord where content_hash is not null group by all having count(*) > 1)

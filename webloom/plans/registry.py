@@ -206,6 +206,30 @@ def url_hierarchy_edges(t):
     return built.select("crawl_job_id", "source_page_id", "target_page_id", F.round("weight", 6).alias("weight"), "evidence.child_path", "evidence.parent_path")
 
 
+def _site_tree(t):
+    """A shop's page tree from the sales tables: root, regions, nations, customers."""
+    root = F.lit("https://shop.example/")
+    region = F.replace(F.lower("r_name"), F.lit(" "), F.lit("-"))
+    nation = F.concat(root, region, F.lit("/"), F.lower("n_name"))
+    nations = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    levels = [
+        t.spark.range(1).select(F.lit(1).cast("long").alias("id"), root.alias("normalized_url")),
+        t.region.select((F.col("r_regionkey") + 10).cast("long").alias("id"), F.concat(root, region).alias("normalized_url")),
+        nations.select((F.col("n_nationkey") + 100).cast("long").alias("id"), nation.alias("normalized_url")),
+        t.customer.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select((F.col("c_custkey") + 1000).alias("id"), F.concat(nation, F.lit("/"), F.col("c_custkey")).alias("normalized_url")),
+    ]
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    return every.withColumn("crawl_job_id", F.lit(10).cast("long"))
+
+
+@_query
+def url_hierarchy_site_tree(t):
+    built = edges.hierarchy_edges(_site_tree(t))
+    return built.select("source_page_id", "target_page_id", F.round("weight", 6).alias("weight"), "evidence.child_path", "evidence.parent_path")
+
+
 @_query
 def content_similarity_edges(t):
     index = build_index(t.pages)
