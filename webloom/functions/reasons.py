@@ -13,7 +13,7 @@ def significant(value: Column, digits: int = 4) -> Column:
     # rounding half to even on the binary value: format_string works on the exact decimal expansion
     text = F.coalesce(*[F.when(places == p, F.format_string(f"%.{p}f", v)) for p in range(digits + 4)])
     trimmed = F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text)
-    return F.when(v == 0, F.lit("0")).otherwise(trimmed)
+    return F.when(v == 0, F.lit("0")).when(v.isNotNull(), trimmed)
 
 
 def edge_reason(edge_type: Column, evidence: Column, weight: Column) -> Column:
