@@ -79,6 +79,15 @@ def test_furniture_lines():
     assert furniture.furniture_of("My heading", text, scanner()) == [1, 3, 6, 9, 10, 11, 12]
 
 
+def test_body_by_fitted_weights():
+    own = "- Why the server keeps the cache\n- How the index is updated\n- Notes on the restart"
+    sidebar = "Related articles\nHow one thing works\nWhy the other fails"
+    text = f"My heading\n{PROSE}\n{own}\nGET /users/items?page=3\n{PROSE}\n{sidebar}\n© 2020 Acme. All rights reserved.\nDowntime window: Acme pauses on 2022-02-22"
+    # the page's own list and code are kept, the sidebar's list and the open line outside of the body are not
+    assert furniture.furniture_of("My heading", text, scanner()) == [8, 9, 10, 11, 12]
+    assert furniture.best_region([-3.0, 4.0, -1.5, 6.0, -20.0, 5.0]) == (1, 3) and furniture.best_region([-1.0, 0.0]) == (0, -1)
+
+
 def test_residue_judgements():
     s = scanner()
     reason = lambda title, text: judge_page(title, text, s)[0]

@@ -1,9 +1,10 @@
 """Main bodies of pages: site furniture found line by line.
 
-Words of the page's own text score positive, furniture and its signs negative
-(see ``lines``). One linear scan finds the maximum-scoring run of lines: the
-body. Furniture inside the body is cut out of it; outside of it, only lines
-that are own text by their words alone are kept.
+Every line scores the sum of its words' fitted weights (see ``lines``):
+positive for the page's own text, negative for furniture. One linear scan finds
+the maximum-scoring run of lines: the body. All lines outside of it are
+furniture, but for the title line and residue; inside, only lines known as furniture by
+themselves and lists under a sidebar's heading are.
 """
 
 from __future__ import annotations
@@ -13,29 +14,44 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.lines import BLANK, CODE, FRAGMENT, FURNITURE, HEADING, PROSE, RESIDUE, SIDEBAR, TITLE, Line, Scanner, resolve
+from webloom.llm.lines import BLANK, CODE, FRAGMENT, FURNITURE, RESIDUE, SIDEBAR, TITLE, Line, LineModel, Scanner, has_link, is_code, keeps_fragments, sidebar_lists, tokens_of
 from webloom.llm.residue import broadcast_models, scanner_of
 
-#: What a line adds to a run of lines; own text adds its words.
-_OPEN_HEADING, _SURE_HEADING, _CUT = 4.0, 6.0, -1.5
+#: What a line of furniture, or of a sidebar's list, adds to a run of lines: so much at most, and at least.
+#: Words of furniture tell for certain that a line is cut, but not that the body ends there.
+_CUT, _DEEPEST = -1.5, -4.0
 
 
-def best_region(lines: list[Line]) -> tuple[int, int]:
-    """First and last place of the maximum-scoring run of lines; (0, -1) if nothing scores."""
-    best, region, total, begin = 0.0, (0, -1), 0.0, 0
-    for i, x in enumerate(lines):
+def weights_of(lines: list[Line], model: LineModel, own: bool) -> list[float]:
+    """What each line adds to a run of lines: its words' fitted weights.
+
+    Lines that are the page's own by their form (code, residue, the fragments
+    of a page made of them) add their words if that is more: no weights are
+    fitted to such text.
+    """
+    out = []
+    for x in lines:
+        score = x.score
+        if x.words >= Scanner.LONG_WORDS:
+            # the scan tells long lines by their form and leaves them unweighed
+            score = model.score(tokens_of(x.text))
         if x.kind == BLANK:
-            continue
+            score = 0.0
+        elif x.kind in (FURNITURE, SIDEBAR):
+            score = max(_DEEPEST, min(score, _CUT))
+        elif x.kind in (CODE, RESIDUE) or own and x.kind == FRAGMENT:
+            score = max(score, float(x.words))
+        out.append(score)
+    return out
+
+
+def best_region(weights: list[float]) -> tuple[int, int]:
+    """First and last place of the maximum-scoring run; (0, -1) if nothing scores."""
+    best, region, total, begin = 0.0, (0, -1), 0.0, 0
+    for i, w in enumerate(weights):
         if total <= 0:
             total, begin = 0.0, i
-        if x.kind in (PROSE, CODE, RESIDUE, FRAGMENT):
-            total += x.words
-        elif x.kind == HEADING:
-            total += _SURE_HEADING if x.score == 5.0 else _OPEN_HEADING
-        elif x.kind == TITLE:
-            total += _SURE_HEADING
-        else:
-            total += _CUT
+        total += w
         if total > best:
             best, region = total, (begin, i)
     return region
@@ -43,14 +59,19 @@ def best_region(lines: list[Line]) -> tuple[int, int]:
 
 def furniture_of(title: str | None, text: str, scanner: Scanner) -> list[int]:
     """Numbers, from 1, of the lines that are not the page's main body."""
-    lines = resolve(scanner.scan(title, text))
-    first, last = best_region(lines)
-    out = []
-    for i, x in enumerate(lines):
-        open_outside = x.kind == HEADING and x.score != 5.0 and not first <= i <= last
-        if x.kind in (FURNITURE, SIDEBAR) or open_outside:
-            out.append(i + 1)
-    return out
+    lines = scanner.scan(title, text)
+    own = keeps_fragments(lines)
+    for x in lines:
+        # short code and links are no words of a menu, whatever their names weigh
+        if x.kind == FURNITURE and is_code(x.text, x.words):
+            x.kind = CODE
+        elif x.kind == FURNITURE and own and has_link(x.text):
+            x.kind = FRAGMENT
+    if not own:
+        for k in sidebar_lists(lines):
+            lines[k].kind = FURNITURE
+    first, last = best_region(weights_of(lines, scanner.model, own))
+    return [i + 1 for i, x in enumerate(lines) if x.kind in (FURNITURE, SIDEBAR) or x.kind not in (BLANK, TITLE, RESIDUE) and not first <= i <= last]
 
 
 def furniture_lines(pages: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ class Scanner:
         if _is_furniture(judged, score, words):
             return FURNITURE, score
         ends = bool(_ENDS.search(line[-6:]))
-        if "|" in line and _ROW.match(line) and "0" in tokens or _CODE_HINT.search(line) and _CODE.search(line) and not (ends and words > 8 and "{" not in line) and not _LINK.match(line):
+        if "|" in line and _ROW.match(line) and "0" in tokens or is_code(line, words):
             return CODE, score
         if ends and words >= 5 and score > -2 or words >= 12 and score > 8 and _function_like(line):
             return PROSE, score
@@ -244,20 +244,49 @@ def _title_like(line: str) -> bool:
     return bool(_TITLE_WORDS & set(line.casefold().split()[:8])) or ":" in line[:-1]
 
 
+def is_code(line: str, words: int) -> bool:
+    """Whether a line has the form of code and is no sentence or bare link."""
+    return bool(_CODE_HINT.search(line) and _CODE.search(line)) and not (words > 8 and "{" not in line and _ENDS.search(line[-6:])) and not _LINK.match(line)
+
+
+def has_link(line: str) -> bool:
+    return bool(_LINK.search(line))
+
+
 def _function_like(line: str) -> bool:
     return sum(1 for w in line.split() if len(w) <= 3 and w.islower()) >= 2
 
 
+def keeps_fragments(lines: list[Line]) -> bool:
+    """Whether a page is made of fragments: they are its own text then."""
+    prose = sum(x.words for x in lines if x.kind in (PROSE, CODE))
+    open_lines = [x for x in lines if x.kind == FRAGMENT]
+    listed = sum(x.words for x in open_lines if x.words > 14 or _LINK.search(x.text))
+    bare = sum(1 for x in open_lines if not _title_like(x.text))
+    return bare >= 5 and 3 * bare >= len(open_lines) and sum(x.words for x in open_lines) > prose or listed > max(20, prose / 2)
+
+
+def sidebar_lists(lines: list[Line]) -> list[int]:
+    """Places of the open lines that follow a sidebar's heading, all with bullets or all without."""
+    out: list[int] = []
+    listing, bullet = False, None
+    for k, x in enumerate(lines):
+        if x.kind == SIDEBAR:
+            listing, bullet = True, None
+        elif x.kind == FRAGMENT and listing and bullet in (None, x.bullet):
+            bullet = x.bullet
+            out.append(k)
+        elif x.kind != BLANK:
+            listing = False
+    return out
+
+
 def resolve(lines: list[Line]) -> list[Line]:
     """Open lines decided by their neighbours: headings of the page's text, or lists of other articles.
 
     A page made of fragments keeps them: they are its own text.
     """
-    prose = sum(x.words for x in lines if x.kind in (PROSE, CODE))
-    open_lines = [x for x in lines if x.kind == FRAGMENT]
-    listed = sum(x.words for x in open_lines if x.words > 14 or _LINK.search(x.text))
-    bare = sum(1 for x in open_lines if not _title_like(x.text))
-    own = bare >= 5 and 3 * bare >= len(open_lines) and sum(x.words for x in open_lines) > prose or listed > max(20, prose / 2)
+    own = keeps_fragments(lines)
     filled = [k for k, x in enumerate(lines) if x.kind != BLANK]
     i = 0
     while i < len(filled):
