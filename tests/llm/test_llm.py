@@ -30,6 +30,14 @@ def test_wordings():
     assert ids[4] != templates.line_templates("Read more on storage", "x", tree)[0]
 
 
+def test_heading_below_a_long_menu():
+    tree = templates.TemplateTree()
+    menu = "\n".join(f"Menu {w}" for w in "abcdefghijklmno")
+    prompt = lambda heading, title: templates.line_templates(f"{menu}\n{heading}\nShare “{heading}” by mail", title, tree)[-1]
+    # no title, or one that is no line of the page: the heading is found wherever it stands
+    assert prompt("How caches work today", None) == prompt("Why the indexes grow", "Acme blog") == prompt("Notes on old servers", "Notes on old servers")
+
+
 def test_repeated_lines(spark):
     rows = [(i, "A.example" if i % 2 else "a.example", f"Title {i} x", f"Accept cookies\r\nText {'abcdefgh'[i]} only here\n{i} comments") for i in range(1, 7)]
     rows += [(7, "a.example", None, None), (8, "a.example", None, ""), (9, None, "t", "Accept cookies"), (10, "b.example", "t", "Accept cookies")]

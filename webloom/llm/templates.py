@@ -44,7 +44,7 @@ _DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"\d+(?:[^\w\s]+\d+)*")
 _DATE = re.compile(rf"0(?:st|nd|rd|th|er|º|\.)?\s+(?:de\s+|of\s+)?{_MONTH}\b\.?,?(?:\s+(?:de\s+|del\s+)?0)?|\b{_MONTH}\.?\s+0(?:st|nd|rd|th)?(?:,?\s+0)?|0[-/.]{_MONTH}[-/.]0")
 _TOKEN = re.compile(r"[^\W_]+")
-_HEADING_TOKENS, _HEADING_LINES, _HEADING_CHARS = 3, 10, 12
+_HEADING_TOKENS, _HEADING_CHARS = 3, 12
 
 
 def with_slots(text: str) -> str:
@@ -88,9 +88,8 @@ def line_templates(text: str, title: str | None, tree: TemplateTree) -> list[int
     if own:
         names.append("".join(own))
     if not own or own not in lines:
-        # the heading is not known from the title: a line near the top that stands inside another line
-        filled = [l for l in lines if l][:_HEADING_LINES]
-        names += [n for l in filled if len(l) >= _HEADING_TOKENS and len(n := "".join(l)) >= _HEADING_CHARS]
+        # the heading is not known from the title: a line that stands inside another line
+        names += [n for n in _inner_lines(lines) if n not in names]
     out: list[int | None] = []
     for tokens in lines:
         if not tokens:
@@ -99,8 +98,8 @@ def line_templates(text: str, title: str | None, tree: TemplateTree) -> list[int
         if names:
             joined = "".join(tokens)
             for name in names:
-                if len(name) < len(joined) and name in joined:
-                    tokens = _cut(tokens, name)
+                if len(name) < len(joined) and name in joined and (cut := _cut(tokens, name)) is not tokens:
+                    tokens = cut
                     break
                 if name == joined and name == names[0] and own:
                     tokens = [TITLE]
@@ -109,6 +108,31 @@ def line_templates(text: str, title: str | None, tree: TemplateTree) -> list[int
     return out
 
 
+def _inner_lines(lines: list[list[str]]) -> list[str]:
+    """The joined lines that are a run of another line's tokens, in the order of the page.
+
+    Each token is looked up once by the characters that follow it, so the cost
+    stays linear unless many lines begin alike.
+    """
+    candidates = dict.fromkeys([n for l in lines if len(l) >= _HEADING_TOKENS and len(n := "".join(l)) >= _HEADING_CHARS])
+    begun: dict[str, list[str]] = {}
+    for n in candidates:
+        begun.setdefault(n[:_HEADING_CHARS], []).append(n)
+    found = set()
+    for l in lines if candidates else ():
+        joined = "".join(l)
+        at, starts = 0, []
+        for token in l:
+            starts.append(at)
+            at += len(token)
+        for at in starts:
+            for n in begun.get(joined[at : at + _HEADING_CHARS], ()):
+                end = at + len(n)
+                if len(n) < len(joined) and joined.startswith(n, at) and (end == len(joined) or end in starts):
+                    found.add(n)
+    return [n for n in candidates if n in found]
+
+
 def _cut(tokens: list[str], name: str) -> list[str]:
     """The tokens with the run that spells ``name`` replaced by the title's slot."""
     for i in range(len(tokens)):
