@@ -4,7 +4,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from webloom.llm import furniture, groups, labelled, leakage, packing, residue, spam, splitting, templates
-from webloom.llm.lines import LineModel, Scanner, paragraph_sentences
+from webloom.llm.lines import FURNITURE, LineModel, Scanner, paragraph_sentences
+from webloom.llm.lines import PROSE as PROSE_LINE
 from webloom.llm.residue import ResidueModel, judge_page
 from webloom.llm.tokens import DEFAULT_TOKENIZER, ByteBpe
 from webloom.schemas import PAGE_LINKS, PAGES
@@ -96,6 +97,12 @@ def test_body_by_fitted_weights():
     assert furniture.best_region([-3.0, 4.0, -1.5, 6.0, -20.0, 5.0]) == (1, 3) and furniture.best_region([-1.0, 0.0]) == (0, -1)
 
 
+def test_remembered_furniture_keeps_its_length():
+    line = lambda n: "Tags: the server is updated before the index was replaced “restart" + " is" * n + "”"
+    s = scanner()
+    assert [s.scan(None, line(n))[0].kind for n in (0, 12)] == [scanner().scan(None, line(n))[0].kind for n in (0, 12)] == [FURNITURE, PROSE_LINE]
+
+
 def test_residue_judgements():
     s = scanner()
     reason = lambda title, text: judge_page(title, text, s)[0]

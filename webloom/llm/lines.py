@@ -139,7 +139,8 @@ class Scanner:
 
     def __init__(self, model: LineModel, residue=None) -> None:
         self.model, self.residue = model, residue
-        self._seen: dict[str, tuple[int, float]] = {}
+        #: by wording and number of words: the kind depends on both
+        self._seen: dict[tuple[str, int], tuple[int, float]] = {}
 
     def _judged(self, judged: str, line: str, words: int) -> tuple[int, float]:
         """Kind and score by the words; ``judged`` is the line with the title's slot."""
@@ -200,11 +201,11 @@ class Scanner:
                 judged = _QUOTED.sub(" ¤ ", line)
             elif len(low_title) > 8 and len(line) > len(low_title) and low_title in low:
                 judged = low.replace(low_title, " ¤ ")
-            known = seen.get(judged)
+            known = seen.get((judged, words))
             if known is None:
                 known = self._judged(judged, line, words)
                 if known[0] in (FURNITURE, SIDEBAR) and len(seen) < self.REMEMBERED:
-                    seen[judged] = known
+                    seen[judged, words] = known
             lines.append(Line(known[0], line, words, known[1], bullet))
         return lines
 
