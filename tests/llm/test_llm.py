@@ -97,6 +97,13 @@ def test_body_by_fitted_weights():
     assert furniture.best_region([-3.0, 4.0, -1.5, 6.0, -20.0, 5.0]) == (1, 3) and furniture.best_region([-1.0, 0.0]) == (0, -1)
 
 
+def test_single_fields_in_phrases():
+    assert residue.unfilled("Dear {{first_name}}, thank you for your order")
+    assert residue.unfilled("Please write to {{support_email}} if the parcel has not come within ten days of your order.")
+    assert not residue.unfilled("In one block of Acme, write {{name}} where the value should be filled in, as others do.")
+    assert not residue.unfilled("In einem Block von Acme schreibt man {{name}}, damit Acme den Wert später ersetzt.")
+
+
 def test_remembered_furniture_keeps_its_length():
     line = lambda n: "Tags: the server is updated before the index was replaced “restart" + " is" * n + "”"
     s = scanner()
