@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from webloom.llm import furniture, groups, labelled, leakage, packing, residue, spam, splitting, templates
-from webloom.llm.lines import FURNITURE, LineModel, Scanner, paragraph_sentences
+from webloom.llm.lines import FRAGMENT, FURNITURE, Line, LineModel, Scanner, paragraph_sentences
 from webloom.llm.lines import PROSE as PROSE_LINE
 from webloom.llm.residue import ResidueModel, judge_page
 from webloom.llm.tokens import DEFAULT_TOKENIZER, ByteBpe
@@ -137,6 +137,13 @@ def test_page_queries(spark):
         assert empty.count() == 0
 
 
+def test_language_of_keywords():
+    keywords = "Lampen günstig, Lampen kaufen, Lampen Angebot"
+    own = [Line(FRAGMENT, keywords, 6)]
+    assert spam.measures(own, f"Über uns und die Produkte\n{keywords}\nDiese Seite ist mit Liebe gemacht")[0] == "de"
+    assert spam.measures([Line(PROSE_LINE, PROSE, 30)], "der die das und ist " * 9)[0] == "en"
+
+
 # p7
 
 

@@ -29,6 +29,7 @@ FUNCTION_WORDS = {
     "es": "el la los las un una unos unas de del y o a al en con sin por para es son era está quedan se que quien cuando si no su sus lo le nos este esta estos estas más todo todos antes después cómo cada hay qué tocar rara listo",
 }
 _FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_ANY_FUNCTION = frozenset().union(*_FUNCTION.values())
 _WORD = re.compile(r"[^\W\d_]+")
 _URL = re.compile(r"https?://\S+|\bwww\.\S+")
 
@@ -50,8 +51,11 @@ def language_of(words: list[str]) -> str:
     return max(_FUNCTION, key=lambda k: len(_FUNCTION[k] & seen))
 
 
-def measures(own: list) -> tuple[str, int, float, float, float, float, float]:
-    """Language, words, then the features of the page's own lines (but the outgoing links)."""
+def measures(own: list, whole: str = "") -> tuple[str, int, float, float, float, float, float]:
+    """Language, words, then the features of the page's own lines (but the outgoing links).
+
+    Own words without any function word have the language of the ``whole`` text.
+    """
     text = "\n".join([x.text for x in own])
     bare = _URL.sub(" ", text) if "http" in text or "www." in text else text
     words = _WORD.findall(bare.casefold())
@@ -59,7 +63,7 @@ def measures(own: list) -> tuple[str, int, float, float, float, float, float]:
     sure = sum([x.words for x in own if x.kind in (PROSE, CODE)])
     listed = sum([x.words for x in own if x.kind != HEADING])
     n = len(words)
-    lang = language_of(words)
+    lang = language_of(_WORD.findall(whole.casefold()) if _ANY_FUNCTION.isdisjoint(words) else words)
     entropy = 1 - sum([c * math.log(c) for c in Counter(words).values() if c > 1]) / (n * math.log(n)) if n > 1 else 1.0
     loose = words
     if any(x.kind == CODE for x in own):
@@ -84,7 +88,7 @@ def measure_pages(pages: DataFrame) -> DataFrame:
             for page, title, text in zip(*(c.to_pylist() for c in batch.columns)):
                 reason, _, lines = judge_page(title, text, scanner)
                 own = [x for x in lines if x.kind in (PROSE, CODE, FRAGMENT, RESIDUE, HEADING)]
-                lang, words, *features = measures(own)
+                lang, words, *features = measures(own, text)
                 rows.append((page, lang, words, reason is not None, *features))
             columns = list(zip(*rows)) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
