@@ -1,116 +1,86 @@
-"""Main bodies of pages: site furniture found line by line.
+"""Main bodies of pages: everything outside the maximum-scoring run of lines is site furniture.
 
-Every line scores the sum of its words' fitted weights (see ``lines``):
-positive for the page's own text, negative for furniture. One linear scan finds
-the maximum-scoring run of lines: the body. All lines outside of it are
-furniture, but for the title line and residue; inside, only lines known as furniture by
-themselves and lists under a sidebar's heading are.
+The method and its weights are in ``body``; here it runs over whole tables.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.lines import BLANK, CODE, FRAGMENT, FURNITURE, RESIDUE, SIDEBAR, TITLE, Line, LineModel, Scanner, has_link, is_code, keeps_fragments, sidebar_lists, tokens_of
-from webloom.llm.residue import broadcast_models, scanner_of
+from webloom.llm.body import FURNITURE, SAMPLE_PAGES, BodyModel, fit_body_model, sample_pages
 
-#: What a line of furniture, or of a sidebar's list, adds to a run of lines: so much at most, and at least.
-#: Words of furniture tell for certain that a line is cut, but not that the body ends there.
-_CUT, _DEEPEST = -1.5, -4.0
+_KEPT: dict[str, object] = {}
 
 
-def weights_of(lines: list[Line], model: LineModel, own: bool) -> list[float]:
-    """What each line adds to a run of lines: its words' fitted weights.
+def broadcast_body(pages: DataFrame, most: int = SAMPLE_PAGES) -> Broadcast:
+    """The model, fitted once on the driver to ``most`` pages at most; some hundred KB, whatever the corpus' size."""
+    return pages.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, fit_body_model(sample_pages(pages, most))))
 
-    Lines that are the page's own by their form (code, residue, the fragments
-    of a page made of them) add their words if that is more: no weights are
-    fitted to such text.
-    """
-    out = []
-    for x in lines:
-        score = x.score
-        if x.words >= Scanner.LONG_WORDS:
-            # the scan tells long lines by their form and leaves them unweighed
-            score = model.score(tokens_of(x.text))
-        if x.kind == BLANK:
-            score = 0.0
-        elif x.kind in (FURNITURE, SIDEBAR):
-            score = max(_DEEPEST, min(score, _CUT))
-        elif x.kind in (CODE, RESIDUE) or own and x.kind == FRAGMENT:
-            score = max(score, float(x.words))
-        out.append(score)
-    return out
-
-
-def best_region(weights: list[float]) -> tuple[int, int]:
-    """First and last place of the maximum-scoring run; (0, -1) if nothing scores."""
-    best, region, total, begin = 0.0, (0, -1), 0.0, 0
-    for i, w in enumerate(weights):
-        if total <= 0:
-            total, begin = 0.0, i
-        total += w
-        if total > best:
-            best, region = total, (begin, i)
-    return region
-
-
-def furniture_of(title: str | None, text: str, scanner: Scanner) -> list[int]:
+
+def kept(broadcast: Broadcast) -> object:
+    """What was broadcast with a name; a Python worker keeps it, with what it remembers, from task to task."""
+    name, value = broadcast.value
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = value
+    return _KEPT[name]
+
+
+def page_columns(pages: DataFrame) -> DataFrame:
+    """(id, domain, url, title, text) of pages, as the models read them."""
+    return pages.select(F.col("id").cast("long").alias("id"), F.col("domain").cast("string").alias("domain"), F.col("normalized_url").cast("string").alias("url"), F.col("title").cast("string").alias("title"), F.col("extracted_text").cast("string").alias("text"))
+
+
+def furniture_of(model: BodyModel, domain: str | None, url: str | None, title: str | None, text: str) -> list[int]:
     """Numbers, from 1, of the lines that are not the page's main body."""
-    lines = scanner.scan(title, text)
-    own = keeps_fragments(lines)
-    for x in lines:
-        # short code and links are no words of a menu, whatever their names weigh
-        if x.kind == FURNITURE and is_code(x.text, x.words):
-            x.kind = CODE
-        elif x.kind == FURNITURE and own and has_link(x.text):
-            x.kind = FRAGMENT
-    if not own:
-        for k in sidebar_lists(lines):
-            lines[k].kind = FURNITURE
-    first, last = best_region(weights_of(lines, scanner.model, own))
-    return [i + 1 for i, x in enumerate(lines) if x.kind in (FURNITURE, SIDEBAR) or x.kind not in (BLANK, TITLE, RESIDUE) and not first <= i <= last]
-
-
-def furniture_lines(pages: DataFrame) -> DataFrame:
+    return [i for i, x in enumerate(model.judge(domain, url, title, text), 1) if x.kind == FURNITURE]
+
+
+def furniture_lines(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
     """(page_id, lines): for each page, the numbers of its lines of site furniture.
 
     Lines are cut at line feeds and numbered from 1; blank lines are never
-    listed. Pages with null or empty text give no row. A null title leaves the
-    heading to the scan. One row per input row that has furniture.
+    listed, nor is the line of the page's title or of the last part of its URL.
+    Pages with null or empty text give no row; null titles, URLs and domains are
+    unknown ones. One row per input row that has furniture. If the pages sampled
+    show no furniture or no paragraphs, nothing can be told apart and no line is
+    listed.
     """
-    models = broadcast_models(pages)
+    model = broadcast_body(pages, sample)
 
     def judge(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        scanner = scanner_of(models)
+        scorer = kept(model)
         for batch in batches:
             ids, found = [], []
-            for page, title, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if lines := furniture_of(title, text, scanner):
+            for page, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if lines := furniture_of(scorer, *rest):
                     ids.append(page)
                     found.append(lines)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["page_id", "lines"])
 
-    return pages.where("extracted_text <> ''").select(F.col("id").cast("long"), F.col("title").cast("string"), "extracted_text").mapInArrow(judge, "page_id bigint, lines array<int>")
+    return page_columns(pages.where("extracted_text <> ''")).mapInArrow(judge, "page_id bigint, lines array<int>")
 
 
-def main_bodies(pages: DataFrame) -> DataFrame:
+def main_bodies(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
     """(page_id, body): each page's text without furniture and blank lines; null text gives null."""
-    models = broadcast_models(pages)
+    model = broadcast_body(pages, sample)
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        scanner = scanner_of(models)
+        scorer = kept(model)
         for batch in batches:
             bodies = []
-            for title, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                drop = set(furniture_of(title, text, scanner)) if text else ()
+            for domain, url, title, text in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                drop = set(furniture_of(scorer, domain, url, title, text)) if text else ()
                 bodies.append(None if text is None else "\n".join(x.rstrip("\r") for k, x in enumerate(text.split("\n"), 1) if k not in drop and x.strip()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.string())], ["page_id", "body"])
 
-    return pages.select(F.col("id").cast("long"), F.col("title").cast("string"), "extracted_text").mapInArrow(cut, "page_id bigint, body string")
+    return page_columns(pages).mapInArrow(cut, "page_id bigint, body string")

@@ -37,7 +37,8 @@ _MONTHS = (
     "janvier février mars avril mai juin juillet août septembre octobre novembre décembre janv févr avr juil déc "
     "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre ene abr ago dic"
 )
-_MONTH = "(?:" + "|".join(sorted(set(_MONTHS.split()), key=len, reverse=True)) + ")"
+MONTHS = frozenset(_MONTHS.split())
+_MONTH = "(?:" + "|".join(sorted(MONTHS, key=len, reverse=True)) + ")"
 
 SLOT, TITLE = "0", "¤"
 _DIGIT = re.compile(r"\d")
