@@ -3,10 +3,8 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from webloom.llm import furniture, groups, labelled, leakage, packing, residue, spam, splitting, templates
-from webloom.llm.lines import FRAGMENT, FURNITURE, Line, LineModel, Scanner, paragraph_sentences
-from webloom.llm.lines import PROSE as PROSE_LINE
-from webloom.llm.residue import ResidueModel, judge_page
+from webloom.llm import body, furniture, groups, leakage, packing, residue, spam, splitting, templates
+from webloom.llm.residue import judge_page
 from webloom.llm.tokens import DEFAULT_TOKENIZER, ByteBpe
 from webloom.schemas import PAGE_LINKS, PAGES
 
@@ -78,70 +76,117 @@ def test_groups_match_union_find(spark):
 # p3, p4, p6
 
 
-def scanner():
-    sentences = [s for line in labelled.CONTENT.strip().split("\n") for s in paragraph_sentences(line)]
-    return Scanner(LineModel(sentences), ResidueModel(sentences))
-
-
-def test_furniture_lines():
-    text = f"Home / Docs / Pricing\nMy heading\nBy the Acme docs team · June 9, 2022\n{PROSE}\n\nAdvertisement\n## Next part\n{PROSE}\nRelated articles\nHow one thing works\nWhy the other fails\n© 2020 Acme. All rights reserved."
-    assert furniture.furniture_of("My heading", text, scanner()) == [1, 3, 6, 9, 10, 11, 12]
-
-
-def test_body_by_fitted_weights():
-    own = "- Why the server keeps the cache\n- How the index is updated\n- Notes on the restart"
-    sidebar = "Related articles\nHow one thing works\nWhy the other fails"
-    text = f"My heading\n{PROSE}\n{own}\nGET /users/items?page=3\n{PROSE}\n{sidebar}\n© 2020 Acme. All rights reserved.\nDowntime window: Acme pauses on 2022-02-22"
-    # the page's own list and code are kept, the sidebar's list and the open line outside of the body are not
-    assert furniture.furniture_of("My heading", text, scanner()) == [8, 9, 10, 11, 12]
-    assert furniture.best_region([-3.0, 4.0, -1.5, 6.0, -20.0, 5.0]) == (1, 3) and furniture.best_region([-1.0, 0.0]) == (0, -1)
-
-
-def test_single_fields_in_phrases():
-    assert residue.unfilled("Dear {{first_name}}, thank you for your order")
-    assert residue.unfilled("Please write to {{support_email}} if the parcel has not come within ten days of your order.")
-    assert not residue.unfilled("In one block of Acme, write {{name}} where the value should be filled in, as others do.")
-    assert not residue.unfilled("In einem Block von Acme schreibt man {{name}}, damit Acme den Wert später ersetzt.")
-
-
-def test_remembered_furniture_keeps_its_length():
-    line = lambda n: "Tags: the server is updated before the index was replaced “restart" + " is" * n + "”"
-    s = scanner()
-    assert [s.scan(None, line(n))[0].kind for n in (0, 12)] == [scanner().scan(None, line(n))[0].kind for n in (0, 12)] == [FURNITURE, PROSE_LINE]
-
-
-def test_residue_judgements():
-    s = scanner()
-    reason = lambda title, text: judge_page(title, text, s)[0]
+WORDS = "server cache index page query crawler queue host reader table".split()
+
+
+def site_pages(name: str, pages: int, seed: int) -> list[tuple]:
+    """(domain, url, title, text): a menu, the article with a list of its own, a list of other articles, a footer."""
+    r = random.Random(seed)
+    pick = lambda: r.choice(WORDS)
+    made = lambda: "".join(r.choice(["ka", "lo", "mi", "ru", "te", "sno"]) for _ in range(4))
+    sentence = lambda: f"The {pick()} keeps every {pick()} of the {pick()} before the {pick()} is updated, so the old {pick()} loses nothing when it is moved."
+    heading = lambda: f"How one {pick()} moves {made()} to the {pick()}s"
+    out = []
+    for i in range(pages):
+        title = f"Notes on the {pick()} and the {pick()} {i}"
+        own = [f"- Why the {pick()} needs {made()}" for _ in range(3)] if i % 2 else []
+        lines = ["Home", "Docs", "Pricing", title, f"By the {name} team on 2024-03-{i % 27 + 1:02}", sentence() + " " + sentence(), *own, sentence() + " " + sentence(), f"## {heading()}", sentence() + " " + sentence()]
+        lines += ["Related articles", *[heading() for _ in range(3)], f"Previous article: {heading()}", f"© 2020 {name}. All rights reserved."]
+        out.append((f"{name.lower()}.example", f"https://{name.lower()}.example/p/{i}", title, "\n".join(lines)))
+    return out
+
+
+NAMES = ["Acme", "Borel", "Carlin", "Dorset", "Elgin", "Farrow"]
+CORPUS = [p for k, n in enumerate(NAMES) for p in site_pages(n, 20, k)]
+BODY = body.fit_body_model(CORPUS)
+
+
+def judged(name: str, title: str | None, text: str) -> list[int]:
+    return furniture.furniture_of(BODY, f"{name.lower()}.example", None, title, text)
+
+
+def test_furniture_of_a_site_not_seen():
+    title = "Notes on the restart of one server"
+    own = "- Why the server needs lomisno\n- Why the cache needs teruka"
+    text = f"Home\nDocs\n{title}\nBy the Zorin team on 2021-02-03\n{PROSE}\n{own}\n{PROSE}\n\nRelated articles\nHow one queue moves kateru to the hosts\nHow one page moves milosno to the caches\n© 2019 Zorin. All rights reserved."
+    assert judged("Zorin", title, text) == [1, 2, 4, 10, 11, 12, 13]
+    # the title is known from the URL too
+    found = furniture.furniture_of(BODY, "zorin.example", "https://zorin.example/a/notes-on-the-restart-of-one-server-x1", None, text)
+    assert found == [1, 2, 4, 10, 11, 12, 13]
+
+
+def test_furniture_held_out():
+    # sites held out of the fit: the article's lines are kept, all others found
+    model = body.fit_body_model([p for p in CORPUS if p[0] not in ("elgin.example", "farrow.example")])
+    hits = found = cases = 0
+    for domain, url, title, text in CORPUS[80:]:
+        lines = text.split("\n")
+        last = max(k for k, x in enumerate(lines, 1) if x.startswith("The "))
+        true = {k for k in range(1, len(lines) + 1) if k <= 3 or k == 5 or k > last}
+        got = set(furniture.furniture_of(model, domain, url, title, text))
+        hits, found, cases = hits + len(true & got), found + len(got), cases + len(true)
+    assert hits >= 0.95 * found and hits >= 0.95 * cases
+
+
+def test_region():
+    assert body.best_region([-3.0, 4.0, -1.5, 6.0, -20.0, 5.0]) == (1, 3) and body.best_region([-1.0, 0.0]) == (0, -1)
+    # without labels nothing can be told apart
+    assert body.fit_body_model([]).judge(None, None, None, "Home\nx")[0].kind == body.OWN
+    assert body.fit_body_model([("a", None, None, "x\ny")]).judge("a", None, None, "x")[0].kind == body.OWN
+    # what is remembered of earlier pages changes nothing
+    fresh = body.BodyModel(BODY.local, BODY.context)
+    assert [[x.kind for x in fresh.judge(*p)] for p in CORPUS[:9]] == [[x.kind for x in BODY.judge(*p)] for p in CORPUS[:9]]
+
+
+def corpus_pages(spark):
+    """The sites' pages, 40 pages of an error status, and 20 that speak of fields."""
+    rows = [(i, 1, u, u, d, t, None, None, x, 200, 0, None, None, 0, 1, None) for i, (d, u, t, x) in enumerate(CORPUS)]
+    for i in range(40):
+        d, u, t, _ = CORPUS[3 * i]
+        rows.append((1000 + i, 1, u, u, d, "Error", None, None, f"Home\nDocs\nSorry, the page /a/b{i} does not exist.\nService temporarily unavailable: backend {i}x did not answer.", 404, 0, None, None, 0, 1, None))
+        said = f"{PROSE}\nIn one block of the server, write '{{{{name{i}}}}}' where the value of the page should be filled in, as others do.\n{PROSE}"
+        rows.append((2000 + i, 1, u, u, d, t, None, None, said, 200, 0, None, None, 0, 1, None))
+    return spark.createDataFrame(rows, PAGES)
+
+
+def test_residue_judgements(spark):
+    pages = corpus_pages(spark)
+    models = residue.fit_models(pages)
+    reason = lambda title, text: judge_page("acme.example", None, title, text, *models)[0]
     assert reason("{{tagline}} | Acme", PROSE) == "field"
     assert reason("x", PROSE + "\nDear {{name}}, thank you for choosing {{company}}!") == "field"
-    assert reason("Writing {{name}} in templates", PROSE + "\nIn one block of Acme, write '{{name}}' where the value should be filled in, as others do.") is None
-    assert reason("x", "Menu\nSorry, the page /a/b1 does not exist.\n© 2020 Acme. All rights reserved.") == "residue"
+    assert reason("x", PROSE + "\nFragen zu {{name}}? Schreiben Sie an {{company}}.") == "field"
+    assert reason("Writing {{name}} in templates", PROSE + "\nIn one block of the server, write '{{name}}' where the value should be filled in.") is None
+    assert reason("x", PROSE + "\nIn one block of the cache, write {{name}} where the value of the page should be filled in.") is None
+    assert reason("x", PROSE + "\n$ render --name {{name}}") is None
+    assert reason("x", "Home\nSorry, the page /q/z9 does not exist.\n© 2020 Acme. All rights reserved.") == "residue"
     assert reason("x", "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor. " * 3) == "residue"
-    assert reason("x", "JavaScript is off in your browser; some parts of Acme may not work.\n" + PROSE) is None
-    assert reason(None, None) is None and reason(None, "  \n") is None
+    assert reason("x", PROSE) is None and reason(None, None) is None and reason(None, "  \n") is None
+    # an error status says nothing about the page itself
+    found = {r.page_id: r.reason for r in residue.residue_pages(pages).collect()}
+    assert set(found) == set(range(1000, 1040)) and set(found.values()) == {"residue"}
 
 
 def test_page_queries(spark):
     stuffed = ", ".join(random.Random(1).choices(["buy lamps", "lamps", "cheap lamps", "lamps deals"], k=80))
-    rows = [(i, "a.example", f"Page {i}", f"{PROSE}\nItem {i} was moved when the old server was replaced by a new one last year, as we said before.") for i in range(30)]
-    rows += [(100, "a.example", "lamps", stuffed), (101, "a.example", "404 Not Found", "Sorry, the page /a/b1 does not exist."), (102, "a.example", None, None), (103, None, "", "")]
-    pages = pages_of(spark, rows)
-    links = spark.createDataFrame([(1, 1, 100, "https://x.example/", None, 1, False), (2, 1, None, None, None, 1, None)], PAGE_LINKS)
-    assert [r.page_id for r in residue.residue_pages(pages).collect()] == [101]
-    assert [r.page_id for r in spam.spam_pages(pages, links).collect()] == [100]
-    assert 101 not in {r.id for r in residue.exclude_residue(pages).collect()}
-    assert furniture.furniture_lines(pages).where("page_id = 102").count() == 0
-    assert {r.page_id: r.body for r in furniture.main_bodies(pages).collect()}[102] is None
+    pages = corpus_pages(spark).unionByName(pages_of(spark, [(100_000, "acme.example", "lamps", stuffed), (100_002, "acme.example", None, None), (100_003, None, "", ""), (None, "acme.example", "x", PROSE)]))
+    links = spark.createDataFrame([(1, 1, 100_000, "https://x.example/", None, 1, False), (2, 1, None, None, None, 1, None)], PAGE_LINKS)
+    assert [r.page_id for r in spam.spam_pages(pages, links).collect()] == [100_000]
+    left = {r.id for r in residue.exclude_residue(pages).collect()}
+    assert 1001 not in left and {None, 100_002} <= left
+    assert furniture.furniture_lines(pages).where("page_id in (100002, 100003)").count() == 0
+    bodies = {r.page_id: r.body for r in furniture.main_bodies(pages).collect()}
+    assert bodies[100_002] is None and bodies[100_003] == "" and "Home" not in bodies[0]
     for empty in (residue.residue_pages(pages.limit(0)), furniture.furniture_lines(pages.limit(0)), spam.spam_pages(pages.limit(0), links)):
         assert empty.count() == 0
 
 
 def test_language_of_keywords():
+    line = lambda text, sentence: body.Line(text, len(text.split()), body.OWN, sentence, "", "", 0.0)
     keywords = "Lampen günstig, Lampen kaufen, Lampen Angebot"
-    own = [Line(FRAGMENT, keywords, 6)]
-    assert spam.measures(own, f"Über uns und die Produkte\n{keywords}\nDiese Seite ist mit Liebe gemacht")[0] == "de"
-    assert spam.measures([Line(PROSE_LINE, PROSE, 30)], "der die das und ist " * 9)[0] == "en"
+    assert spam.measures([line(keywords, False)], f"Über uns und die Produkte\n{keywords}\nDiese Seite ist mit Liebe gemacht")[0] == "de"
+    assert spam.measures([line(PROSE, True)], "der die das und ist " * 9)[0] == "en"
+    assert spam.is_code("GET /users/items?page=3") and spam.is_code("Acme | late | 31 | hosts") and not spam.is_code("buy lamps | cheap lamps online | lamps")
 
 
 # p7

@@ -32,12 +32,14 @@ REPEATED_PAGES, REPEATED_SHARE = 4, 0.05
 ROUNDS = 2
 #: How likely an open line is what its place suggests.
 LIKELY = 0.85
+#: So many open lines under a line of furniture may be its list, where a page has no paragraphs.
+LISTED = 6
 #: Words of a paragraph whose lines label a page's own text.
 PARAGRAPH_WORDS = 18
 #: What one line adds to a run, at least and at most: a single line cannot end a long body.
 LEAST, MOST = -2.0, 6.0
 #: A line that scores less by itself is no open line.
-CERTAIN = -4.0
+CERTAIN = -3.0
 _CLIP = 8.0
 #: A line of fewer words ends no sentence with its full stop.
 SENTENCE_WORDS = 4
@@ -76,23 +78,24 @@ def slug_of(url: str | None) -> str:
 class Line:
     """One line: its text, words and what the scan needs to know of it."""
 
-    __slots__ = ("base", "begins", "bullet", "cuts", "key", "kind", "score", "sentence", "signs", "text", "words")
+    __slots__ = ("base", "begins", "bullet", "cuts", "key", "kind", "known", "score", "sentence", "signs", "text", "words")
 
     def __init__(self, text: str, words: int, kind: int, sentence: bool, bullet: str, key: str, base: float) -> None:
         self.text, self.words, self.kind, self.sentence, self.bullet, self.key, self.base = text, words, kind, sentence, bullet, key, base
-        self.score, self.signs, self.begins = 0.0, "", ""
+        self.score, self.signs, self.begins, self.known = 0.0, "", "", False
 
 
 def tokens_of(text: str, brand: str) -> list[str]:
     """Words and signs in lower case; numbers, dates and the site's name are slots."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    tokens = _TOKEN.findall(text.casefold())
+    text = text.casefold()
+    tokens = _TOKEN.findall(text)
     if _DIGIT.search(text):
         tokens = ["0" if t[0].isdigit() else t for t in tokens]
         # a month beside a number is part of a date
         tokens = [t for k, t in enumerate(tokens) if not (t in MONTHS and "0" in tokens[max(0, k - 1) : k + 2])]
-    if brand:
+    if brand and brand[:4] in text:
         # names are often cut short or followed by a number in the domain
         head = brand[:4]
         tokens = ["@" if t.startswith(head) and len(t) >= 4 and (t.startswith(brand) or brand.startswith(t) and 5 * len(t) >= 4 * len(brand)) else t for t in tokens]
@@ -100,8 +103,8 @@ def tokens_of(text: str, brand: str) -> list[str]:
 
 
 def signs_of(tokens: list[str]) -> str:
-    """The signs and slots alone, in their order: they tell rows, paths, lists and code."""
-    return "".join([t for t in tokens if not t.isalpha()])
+    """The signs and slots alone, in their order, and whether a word comes first: they tell rows, paths, lists and code."""
+    return ("w" if tokens and tokens[0].isalpha() else "") + "".join([t for t in tokens if not t.isalpha()])
 
 
 def local_features(tokens: list[str], signs: str, words: int, ends: bool) -> list[str]:
@@ -109,12 +112,21 @@ def local_features(tokens: list[str], signs: str, words: int, ends: bool) -> lis
     form = f"n{min(6, words.bit_length())}{'.' if ends else ''}"
     if not tokens:
         return [form]
-    signs = "~" + signs
-    return [*dict.fromkeys(tokens), "^" + tokens[0], "^" + " ".join(tokens[:2]), "=" + " ".join(tokens), signs, signs + form, form]
+    begin = ["^" + tokens[0], "^" + " ".join(tokens[:2]), form]
+    if words < SHORT:
+        # a longer line's whole wording and order of signs hardly come again
+        begin += ["=" + " ".join(tokens), "~" + signs, "~" + signs + form]
+    return [*dict.fromkeys(tokens), *begin]
 
 
 def _level(score: float) -> int:
-    return 0 if score < CERTAIN else 1 if score < -0.5 else 2 if score < 0.5 else 3 if score < 2 else 4
+    """Whole steps of a score, the open ones finer."""
+    return max(-6, math.floor(score)) if score < -1 else -1 if score < -0.5 else 0 if score < 0.5 else 1 if score < 2 else 2
+
+
+def _stand(score: float) -> str:
+    """A neighbour's score in three steps."""
+    return "-" if score < CERTAIN else "0" if score < 0.5 else "+"
 
 
 def context_features(lines: list[Line]) -> list[list[str]]:
@@ -123,7 +135,7 @@ def context_features(lines: list[Line]) -> list[list[str]]:
     Open lines with the same bullet that follow each other are a list: they
     share what stands before and after it.
     """
-    own = sum([x.words for x in lines if x.base >= 0 or x.kind == TITLE])
+    own = sum([x.words for x in lines if x.base >= CERTAIN])
     said = sum([x.words for x in lines if x.base >= 0 and x.sentence])
     state = "abc"[0 if 4 * said < own else 1 if 3 * said < 2 * own else 2]
     out: list[list[str]] = []
@@ -134,22 +146,24 @@ def context_features(lines: list[Line]) -> list[list[str]]:
         if x.kind == TITLE or x.sentence or x.base < CERTAIN:
             form = "t" if x.kind == TITLE else "s" if x.sentence else "f"
             level = _level(x.base)
-            out.append([f"L{level}{form}", f"{state}{form}{x.bullet}{min(5, x.words.bit_length())}", f"{state}{level}{form}"])
+            size = min(5, x.words.bit_length())
+            out.append([f"L{level}{form}", f"{form}{x.bullet}{size}", f"{state}{form}{x.bullet}{size}", f"{state}{level}{form}"])
             i += 1
             continue
         j = i + 1
         while j < n and lines[j].bullet == x.bullet and lines[j].base >= CERTAIN and not lines[j].sentence and lines[j].kind != TITLE:
             j += 1
         before, after = lines[i - 1] if i else None, lines[j] if j < n else None
-        v = "^" if before is None else "t" if before.kind == TITLE else ("s" if before.sentence else "f") + str(_level(before.base))
-        w = "$" if after is None else "t" if after.kind == TITLE else ("s" if after.sentence else "f") + str(_level(after.base))
+        v = "^" if before is None else "t" if before.kind == TITLE else ("s" if before.sentence else "f") + _stand(before.base)
+        w = "$" if after is None else "t" if after.kind == TITLE else ("s" if after.sentence else "f") + _stand(after.base)
         size = min(6, (j - i).bit_length())
-        shared = [f"{state}{x.bullet}<{v}", f"{state}{x.bullet}>{w}", f"{state}{x.bullet}<{v}>{w}{size}", f"{x.bullet}*{state}{size}"]
+        # with the page's state, and without it where that state is rare
+        shared = [f"{x.bullet}<{v}", f"{state}{x.bullet}<{v}", f"{state}{x.bullet}>{w}", f"{state}{x.bullet}<{v}>{w}{size}", f"{x.bullet}*{state}{size}"]
         if before is not None and before.kind != TITLE and not before.sentence:
             shared += [f"C{state}{x.bullet}", f"C={x.bullet}{before.key}", *[f"C:{x.bullet}{t}" for t in before.key.split()]]
         for y in lines[i:j]:
             level = _level(y.base)
-            out.append([f"L{level}f", f"{state}f{y.bullet}{min(5, y.words.bit_length())}", f"{state}{level}f{y.bullet}", f"{y.bullet}~{y.signs}", *shared])
+            out.append([f"L{level}f", f"L{level}f{y.bullet}", f"{state}f{y.bullet}{min(5, y.words.bit_length())}", f"{state}{level}f{y.bullet}", f"{y.bullet}~{y.signs}", *shared])
         i = j
     return out
 
@@ -176,6 +190,9 @@ class BodyModel:
 
     def __init__(self, local: dict[str, float], context: dict[str, float]) -> None:
         self.local, self.context = local, context
+        #: lines of furniture and paragraphs of the sample, as labelled
+        self.furniture: list[Line] = []
+        self.paragraphs: list[str] = []
         self._seen: dict[tuple, tuple] = {}
 
     def __getstate__(self):
@@ -212,16 +229,20 @@ class BodyModel:
             if known is None:
                 ends = bool(_ENDS.search(line[-8:]))
                 tokens = tokens_of(judged, brand)
-                signs = signs_of(tokens)
+                signs, key, before = "", judged, False
+                if words < SHORT:
+                    signs, key = signs_of(tokens), " ".join([t for t in tokens if t.isalnum() or t in "@¤"])
+                    before = local.get("=" + " ".join(tokens), 0.0) < 0
                 base = _score(local, local_features(tokens, signs, words, ends))
                 bullet = tokens[0] if tokens and tokens[0] in _BULLETS else ""
-                known = base, bool(_STOPS.search(line[-8:])) and words >= SENTENCE_WORDS, bullet, " ".join([t for t in tokens if t.isalnum() or t in "@¤"]), tokens, ends, signs
+                known = base, bool(_STOPS.search(line[-8:])) and words >= SENTENCE_WORDS, bullet, key, tokens, ends, signs, before
                 if words < SHORT:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen[judged, brand] = known
-            base, sentence, bullet, key, tokens, ends, signs = known
+            base, sentence, bullet, key, tokens, ends, signs, before = known
             x = Line(line, words, OWN, sentence, bullet, key, base)
+            x.known = before
             x.cuts, x.signs, x.begins = (tokens, ends), signs, (tokens[0] if tokens else "") + signs
             if slug and not sentence and len(slug) > 12 and (joined := "".join(t for t in key.split() if t.isalpha())) and len(joined) > 8 and slug.startswith(joined):
                 x.kind = TITLE
@@ -229,12 +250,19 @@ class BodyModel:
         return out
 
     def judge(self, domain: str | None, url: str | None, title: str | None, text: str) -> list[Line]:
-        """The page's lines, each blank, title, own or furniture."""
+        """The page's lines, each blank, title, own or furniture; a model without weights finds no furniture."""
         lines = self.read(domain, url, title, text)
+        if len(self.context) < 2:
+            return lines
         filled = [x for x in lines if x.kind != BLANK]
         for x, feats in zip(filled, context_features(filled)):
             x.score = 1.0 if x.kind == TITLE else _score(self.context, feats)
         first, last = best_region([max(LEAST, min(MOST, x.score)) for x in filled])
+        if not any(x.score >= 0 and x.kind != TITLE for x in filled):
+            # no line speaks for itself: what is not known as furniture is all the page has to say
+            first, last = 0, len(filled) - 1
+            for x in filled:
+                x.score = 0.0 if x.base >= CERTAIN and not x.known else x.score
         for i, x in enumerate(filled):
             if x.kind != TITLE and (x.score < 0 or not first <= i <= last):
                 x.kind = FURNITURE
@@ -298,29 +326,43 @@ def fit_body_model(sample: list[tuple], rounds: int = ROUNDS) -> BodyModel:
     sizes = Counter(page[0] for page in sample)
     for page, lines in zip(sample, read):
         on_site.setdefault(page[0], Counter()).update({x.key for x in lines if x.key and x.kind != TITLE})
-    rows, strong, places = [], [], []
+    rows, strong, places, trust = [], [], [], []
+    furniture: dict[str, Line] = {}
+    paragraphs: dict[str, None] = {}
     inside: Counter = Counter()
     outside: Counter = Counter()
     begun: Counter = Counter()
+    # what only stands on pages without paragraphs is no furniture: it is what these pages say
+    beside: set[tuple[str, str]] = set()
     for page, lines in zip(sample, read):
+        if any(x.sentence and x.words >= PARAGRAPH_WORDS for x in lines):
+            beside.update((page[0], x.key) for x in lines)
         begun.update({(page[0], x.begins) for x in lines if x.kind != TITLE})
     for page, lines in zip(sample, read):
         counts = on_site[page[0]]
         often = max(REPEATED_PAGES, REPEATED_SHARE * sizes[page[0]])
         long = [i for i, x in enumerate(lines) if x.sentence and x.words >= PARAGRAPH_WORDS and counts[x.key] < REPEATED_PAGES]
+        listed = 0  # the line of furniture above the open lines before this one
         below = False  # whether only open lines stand between the last paragraph or title and this line
         for i, x in enumerate(lines):
             rows.append(local_features(x.cuts[0], x.signs, x.words, x.cuts[1]) if x.kind != TITLE else [])
-            open_line = x.kind != TITLE and counts[x.key] < often and i not in long
+            open_line = x.kind != TITLE and (counts[x.key] < often or (page[0], x.key) not in beside) and i not in long
             strong.append(None if open_line or x.kind == TITLE else float(i in long))
+            if strong[-1] == 0.0:
+                furniture.setdefault(x.key, x)
+            elif strong[-1] == 1.0:
+                paragraphs[x.text] = None
+            # on pages without paragraphs the model is surer to err
+            trust.append(0.75 if long else 0.25)
             between = len(long) > 1 and long[0] < i < long[-1] or bool(long) and i == long[0] - 1
             if x.sentence or between:
                 places.append((LIKELY, None))
             elif not long:
-                places.append((0.5 if begun[page[0], x.begins] >= often else LIKELY, x.signs))
+                places.append((0.5 if begun[page[0], x.begins] >= often or listed and i - listed <= LISTED else LIKELY, x.signs))
             else:
                 places.append((1 - LIKELY if begun[page[0], x.begins] >= often else LIKELY if below else 0.5, x.signs))
             below = i in long or x.kind == TITLE or below and open_line
+            listed = i if strong[-1] == 0.0 else listed if open_line else 0
             if open_line and long and not x.sentence:
                 (inside if between else outside)[x.signs] += 1
     # forms of lines that mostly stand between paragraphs are likelier own wherever they stand
@@ -347,6 +389,7 @@ def fit_body_model(sample: list[tuple], rounds: int = ROUNDS) -> BodyModel:
             around += context_features(lines)
         context = fit_weights([around[i] for i in use], [y[i] for i in use], [weight[i] for i in use], 5, 1.0)
         model = BodyModel(local, context)
+        model.furniture, model.paragraphs = list(furniture.values()), list(paragraphs)
         if k == rounds:
             break
         at = 0
@@ -354,6 +397,7 @@ def fit_body_model(sample: list[tuple], rounds: int = ROUNDS) -> BodyModel:
             scores = [1.0 if x.kind == TITLE else _score(context, around[at + i]) for i, x in enumerate(lines)]
             first, last = best_region([max(LEAST, min(MOST, s)) for s in scores])
             for i, s in enumerate(scores):
-                labels[at + i] = (open_lines[at + i] + (1 / (1 + math.exp(-s)) if first <= i <= last else 0.0) * 3) / 4
+                told = 1 / (1 + math.exp(-s)) if first <= i <= last else 0.0
+                labels[at + i] = open_lines[at + i] + trust[at + i] * (told - open_lines[at + i])
             at += len(lines)
     return model

@@ -17,8 +17,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.lines import CODE, FRAGMENT, HEADING, PROSE, RESIDUE
-from webloom.llm.residue import broadcast_models, judge_page, scanner_of
+from webloom.llm.body import OWN, Line
+from webloom.llm.furniture import kept, page_columns
+from webloom.llm.residue import broadcast_models, judge_page
 from webloom.session import Scratch
 
 # Frequent function words of the crawl's languages.
@@ -31,6 +32,8 @@ FUNCTION_WORDS = {
 _FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _ANY_FUNCTION = frozenset().union(*_FUNCTION.values())
 _WORD = re.compile(r"[^\W\d_]+")
+# signs of code, values between words; a sign at the end of a sentence is none
+_MARK = re.compile(r"[=(){}\[\]$<>;]|\d+|\w[.:](?=\w)|--")
 _URL = re.compile(r"https?://\S+|\bwww\.\S+")
 
 #: Sign of each feature's deviation towards spam.
@@ -38,7 +41,7 @@ FEATURES = {"sentence_share": -1, "function_share": -1, "entropy": -1, "repetiti
 #: Squared distance beyond which a page is an outlier: chi-squared, 6 degrees of freedom, 99.9 %.
 CUTOFF = 22.46
 #: Cosine between a page's deviation and the spam direction, and the largest share of own words in sentences that don't repeat, of a flagged page.
-DIRECTION, MOST_SENTENCES = 0.3, 0.5
+DIRECTION, MOST_SENTENCES = 0.45, 0.5
 STEPS = 2
 MIN_WORDS = 5
 
@@ -51,27 +54,35 @@ def language_of(words: list[str]) -> str:
     return max(_FUNCTION, key=lambda k: len(_FUNCTION[k] & seen))
 
 
-def measures(own: list, whole: str = "") -> tuple[str, int, float, float, float, float, float]:
+def is_code(line: str) -> bool:
+    """Whether a line has the form of code, of a request or of a table's row: signs and values between its words."""
+    if _URL.search(line):
+        return False
+    marks = len(_MARK.findall(line))
+    return marks > 0 and 3 * marks >= len(_WORD.findall(line))
+
+
+def measures(own: list[Line], whole: str = "") -> tuple[str, int, float, float, float, float, float]:
     """Language, words, then the features of the page's own lines (but the outgoing links).
 
     Own words without any function word have the language of the ``whole`` text.
     """
+    code = [is_code(x.text) for x in own]
     text = "\n".join([x.text for x in own])
     bare = _URL.sub(" ", text) if "http" in text or "www." in text else text
     words = _WORD.findall(bare.casefold())
     total = sum([x.words for x in own])
-    sure = sum([x.words for x in own if x.kind in (PROSE, CODE)])
-    listed = sum([x.words for x in own if x.kind != HEADING])
+    sure = sum([x.words for x, c in zip(own, code) if x.sentence or c])
     n = len(words)
     lang = language_of(_WORD.findall(whole.casefold()) if _ANY_FUNCTION.isdisjoint(words) else words)
     entropy = 1 - sum([c * math.log(c) for c in Counter(words).values() if c > 1]) / (n * math.log(n)) if n > 1 else 1.0
     loose = words
-    if any(x.kind == CODE for x in own):
-        loose = _WORD.findall(_URL.sub(" ", "\n".join([x.text for x in own if x.kind != CODE]).casefold()))
+    if any(code):
+        loose = _WORD.findall(_URL.sub(" ", "\n".join([x.text for x, c in zip(own, code) if not c]).casefold()))
     function = sum(map(_FUNCTION[lang].__contains__, loose)) / len(loose) if loose else 0.3 if n else 0.0
     repetition = 1 - len(set(zip(words, words[1:]))) / (n - 1) if n > 1 else 0.0
     links = (len(text) - len(bare)) / max(1, len(text))
-    return lang, total, (sure / listed if listed else 1.0), function, entropy, repetition, links
+    return lang, total, (sure / total if total else 1.0), function, entropy, repetition, links
 
 
 def measure_pages(pages: DataFrame) -> DataFrame:
@@ -81,19 +92,18 @@ def measure_pages(pages: DataFrame) -> DataFrame:
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        scanner = scanner_of(models)
+        body, model = kept(models)
         schema = pa.schema([("page_id", pa.int64()), ("lang", pa.string()), ("words", pa.int32()), ("residue", pa.bool_()), *((f, pa.float64()) for f in list(FEATURES)[:5])])
         for batch in batches:
             rows = []
-            for page, title, text in zip(*(c.to_pylist() for c in batch.columns)):
-                reason, _, lines = judge_page(title, text, scanner)
-                own = [x for x in lines if x.kind in (PROSE, CODE, FRAGMENT, RESIDUE, HEADING)]
-                lang, words, *features = measures(own, text)
+            for page, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                reason, _, lines = judge_page(*rest, body, model)
+                lang, words, *features = measures([x for x in lines if x.kind == OWN], rest[3])
                 rows.append((page, lang, words, reason is not None, *features))
             columns = list(zip(*rows)) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return pages.where("extracted_text <> ''").select(F.col("id").cast("long"), F.col("title").cast("string"), "extracted_text").mapInArrow(measure, _MEASURED)
+    return page_columns(pages.where("extracted_text <> ''")).mapInArrow(measure, _MEASURED)
 
 
 def outlinks(links: DataFrame) -> DataFrame:
