@@ -1,12 +1,15 @@
 """Lines repeated across one site's pages, found by template trees.
 
 Lines are parsed into templates by a token tree of fixed depth: the number of
-tokens, then the first tokens, then a leaf that holds the templates. A
-template's wildcard slots take filled-in values: numbers, dates in any
-notation, and the page's own heading or title. All other tokens are literal, so
-a line that names another page or topic is another template. Templates have the
-same id wherever they were parsed, so the trees of all partitions are merged by
-adding the page counts of equal ids.
+tokens, then the first tokens, then a leaf with the templates of these lines. A
+template has wildcard slots where its lines differ in filled-in values: numbers
+(one slot for any of them), the page's own heading or title, and words framed
+by numbers, as in dates of any notation and language. Which framed words are
+values is learned: each leaf keeps the different fillings of its slots, the
+leaves of all partitions are merged by adding them up, and a slot filled in
+several ways becomes a wildcard, while one always filled alike stays literal.
+All other tokens are literal, so a line that names another page or topic is
+another template.
 """
 
 from __future__ import annotations
@@ -40,14 +43,26 @@ _MONTHS = (
 MONTHS = frozenset(_MONTHS.split())
 _MONTH = "(?:" + "|".join(sorted(MONTHS, key=len, reverse=True)) + ")"
 
-SLOT, TITLE = "0", "¤"
+SLOT, TITLE, OPEN = "0", "¤", "*"
+#: Words framed by numbers are values where they are filled in so many ways; so many stand between two numbers at most.
+FILLINGS, FRAME = 3, 3
 _DIGIT = re.compile(r"\d")
 _NUMBER = re.compile(r"\d+(?:[^\w\s]+\d+)*")
+# fixed values: endings of ordinal numbers
+_ORDINAL = re.compile(r"\d+(?:[^\w\s]+\d+)*(?:(?:st|nd|rd|th|er|[ºª])\b)?")
 _DATE = re.compile(rf"0(?:st|nd|rd|th|er|º|\.)?\s+(?:de\s+|of\s+)?{_MONTH}\b\.?,?(?:\s+(?:de\s+|del\s+)?0)?|\b{_MONTH}\.?\s+0(?:st|nd|rd|th)?(?:,?\s+0)?|0[-/.]{_MONTH}[-/.]0")
 _TOKEN = re.compile(r"[^\W_]+")
 _HEADING_TOKENS, _HEADING_CHARS = 3, 12
 
 
+def with_numbers(text: str) -> str:
+    """The text without letter case, every number, ordinals too, replaced by ``SLOT``."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    text = text.casefold()
+    return _ORDINAL.sub(SLOT, text) if _DIGIT.search(text) else text
+
+
 def with_slots(text: str) -> str:
     """The text without letter case, every number and date replaced by ``SLOT``."""
     if not text.isascii():
@@ -58,6 +73,26 @@ def with_slots(text: str) -> str:
     return _DATE.sub(SLOT, _NUMBER.sub(SLOT, text))
 
 
+#: Two templates of a line: with its framed words as they are, and with slots in their place (None if it has none).
+Parsed = tuple[int | None, int | None]
+
+
+def _id(tokens: list[str]) -> int | None:
+    """The id of a template, the same wherever it was parsed; None if nothing but values is left."""
+    # numbers that follow each other are one value
+    wording = "".join([t for k, t in enumerate(tokens) if t != SLOT or tokens[k - 1 : k] != [SLOT]])
+    return xxhash.xxh3_64_intdigest(wording.encode()) - (1 << 63) if wording.strip(SLOT + TITLE + OPEN) else None
+
+
+def framed(tokens: list[str]) -> list[int]:
+    """Places of the words between two numbers, ``FRAME`` of them at most, or right before two numbers."""
+    numbers = [k for k, t in enumerate(tokens) if t == SLOT]
+    if len(numbers) < 2:
+        return []
+    out = [k for a, b in zip(numbers, numbers[1:]) if 1 < b - a <= FRAME + 1 for k in range(a + 1, b)]
+    return sorted({*out, *(a - 1 for a, b in zip(numbers, numbers[1:]) if b == a + 1 and a and tokens[a - 1] != SLOT)})
+
+
 class TemplateTree:
     """token count -> first ``DEPTH`` tokens -> leaf of templates; gives template ids."""
 
@@ -65,36 +100,40 @@ class TemplateTree:
         self.root: dict = {}
         self.size = 0
 
-    def template_id(self, tokens: list[str]) -> int | None:
-        """The id of the tokens' template; None if nothing but values is left."""
+    def parse(self, tokens: list[str]) -> Parsed:
+        """The line's template without and with slots for its framed words."""
+        open_places = set(framed(tokens))
+        shape = [OPEN if k in open_places else t for k, t in enumerate(tokens)]
         node = self.root.setdefault(len(tokens), {})
-        for token in tokens[:DEPTH]:
+        for token in shape[:DEPTH]:
             node = node.setdefault(token, {})
-        rest = tuple(tokens[DEPTH:])
-        if rest in node:
-            return node[rest]
-        literal = [t for k, t in enumerate(tokens) if t != SLOT or tokens[k - 1 : k] != [SLOT]]
-        wording = "".join(literal)
-        known = None if not wording.strip(SLOT + TITLE) else xxhash.xxh3_64_intdigest(wording.encode()) - (1 << 63)
-        node[rest] = known
-        self.size += 1
-        return known
-
-
-def line_templates(text: str, title: str | None, tree: TemplateTree) -> list[int | None]:
-    """The template id of each line; None for lines without wording."""
-    lines = [_TOKEN.findall(line) for line in with_slots(text).split("\n")]
+        # in the leaf: the template of this shape, with its fillings met so far
+        template = node.get(tuple(shape[DEPTH:]))
+        if template is None:
+            template = node[tuple(shape[DEPTH:])] = (_id(shape) if open_places else None, {})
+            self.size += 1
+        slotted, fillings = template
+        filling = tuple(tokens[k] for k in sorted(open_places))
+        if filling not in fillings:
+            fillings[filling] = _id(tokens)
+            self.size += bool(open_places)
+        return fillings[filling], slotted
+
+
+def line_templates(text: str, title: str | None, tree: TemplateTree) -> list[Parsed]:
+    """The templates of each line; None for lines without wording."""
+    lines = [_TOKEN.findall(line) for line in with_numbers(text).split("\n")]
     names = []
-    own = _TOKEN.findall(with_slots(title)) if title else []
+    own = _TOKEN.findall(with_numbers(title)) if title else []
     if own:
         names.append("".join(own))
     if not own or own not in lines:
         # the heading is not known from the title: a line that stands inside another line
         names += [n for n in _inner_lines(lines) if n not in names]
-    out: list[int | None] = []
+    out: list[Parsed] = []
     for tokens in lines:
         if not tokens:
-            out.append(None)
+            out.append((None, None))
             continue
         if names:
             joined = "".join(tokens)
@@ -105,7 +144,7 @@ def line_templates(text: str, title: str | None, tree: TemplateTree) -> list[int
                 if name == joined and name == names[0] and own:
                     tokens = [TITLE]
                     break
-        out.append(tree.template_id(tokens))
+        out.append(tree.parse(tokens))
     return out
 
 
@@ -150,22 +189,30 @@ def _cut(tokens: list[str], name: str) -> list[str]:
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, site, templates): one row per page; ``site`` is the domain without letter case."""
+    """(page_id, site, plain, slotted): one row per page, with the templates of its lines; ``site`` is the domain without letter case."""
 
     def parse(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         tree = TemplateTree()
         for batch in batches:
-            out = []
+            plain, slotted = [], []
             for title, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                out.append(line_templates(text, title, tree) if text else [])
+                found = line_templates(text, title, tree) if text else []
+                plain.append([p for p, _ in found])
+                slotted.append([s for _, s in found])
                 if tree.size > TREE_TEMPLATES:
                     tree = TemplateTree()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["page_id", "site", "templates"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(plain, pa.list_(pa.int64())), pa.array(slotted, pa.list_(pa.int64()))], ["page_id", "site", "plain", "slotted"])
 
     rows = pages.select(F.col("id").cast("long").alias("page_id"), F.lower("domain").alias("site"), F.col("title").cast("string").alias("title"), F.col("extracted_text").alias("text"))
-    return rows.mapInArrow(parse, "page_id bigint, site string, templates array<bigint>")
+    return rows.mapInArrow(parse, "page_id bigint, site string, plain array<bigint>, slotted array<bigint>")
+
+
+def merged_slots(parsed: DataFrame, fillings: int = FILLINGS) -> DataFrame:
+    """(template): the slotted templates of all partitions that are filled in at least ``fillings`` ways: their slots are wildcards."""
+    pairs = parsed.select(F.explode(F.arrays_zip("plain", "slotted")).alias("x")).where("x.slotted is not null").select(F.col("x.slotted").alias("template"), F.col("x.plain").alias("filled"))
+    return pairs.groupBy("template").agg(F.countDistinct("filled").alias("n")).where(F.col("n") >= fillings).select("template")
 
 
 def repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -180,12 +227,17 @@ def repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     scratch = Scratch(pages.sparkSession, "templates")
     parsed = scratch.keep(_parsed(pages.where("domain is not null")))
     totals = parsed.groupBy("site").agg(F.count(F.lit(1)).alias("rows"))
-    counts = parsed.select("site", F.explode(F.array_distinct("templates")).alias("template")).where("template is not null").groupBy("site", "template").agg(F.count(F.lit(1)).alias("pages"))
+    # a line counts for its template with slots and for the one without: where the slots are no wildcards the first is dropped below
+    each = parsed.select("site", F.explode(F.concat(F.transform(F.array_distinct("plain"), lambda x: F.struct(x.alias("template"), F.lit(False).alias("slots"))), F.transform(F.array_distinct("slotted"), lambda x: F.struct(x.alias("template"), F.lit(True).alias("slots"))))).alias("t"))
+    counts = each.where("t.template is not null").groupBy("site", "t.template", "t.slots").agg(F.count(F.lit(1)).alias("pages"))
     # at most 1 / min_share times a page's mean number of lines remain for a site
-    often = counts.where(F.col("pages") >= min_pages).join(totals, "site").where(F.col("pages") >= F.col("rows") * F.lit(min_share))
-    by_site = often.groupBy("site").agg(F.collect_set("template").alias("often"))
+    often = scratch.keep(counts.where(F.col("pages") >= min_pages).join(totals, "site").where(F.col("pages") >= F.col("rows") * F.lit(min_share)))
+    wild = often.where("slots").join(merged_slots(parsed), "template", "left_semi")
+    by_site = often.where("not slots").unionByName(wild).groupBy("site").agg(F.collect_set("template").alias("often"))
     lines = keyed_lookup(parsed, scratch.keep(by_site), ["site"], "inner")
-    return lines.select("page_id", "often", F.posexplode("templates").alias("at", "template")).where("array_contains(often, template)").select("page_id", (F.col("at") + 1).cast("int").alias("line_no"), "template")
+    each_line = lines.select("page_id", "often", F.posexplode(F.arrays_zip("plain", "slotted")).alias("at", "t"))
+    slotted = F.expr("t.slotted is not null and array_contains(often, t.slotted)")
+    return each_line.select("page_id", (F.col("at") + 1).cast("int").alias("line_no"), F.when(slotted, F.col("t.slotted")).when(F.expr("array_contains(often, t.plain)"), F.col("t.plain")).alias("template")).where("template is not null")
 
 
 def remove_repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
