@@ -4,7 +4,8 @@ A document goes where the sum, over the open levels, of the squared number of
 containers at that level becomes smallest; this keeps the levels evenly filled,
 so that a fitting gap is nearly always open. Shards are packed independently
 and in parallel; the containers they leave unfilled are packed again as whole
-items over ever fewer shards, so that only the last few stay partly empty.
+items, over as many shards as these need, until they fit into one shard or
+packing again fills no more of them.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from webloom.llm.tokens import DEFAULT_TOKENIZER, broadcast_vocabulary, tokenize
 from webloom.session import Scratch
 
 CAPACITY = 2048
-#: Items packed in one task. A task holds two numbers of each.
+#: Items packed in one task, about. A task holds two numbers of each.
 SHARD_ITEMS = 200_000
+#: Unfilled containers are packed again unless more than this share of a stage's items are left.
+STILL = 0.9
 
 
 def token_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str = DEFAULT_TOKENIZER) -> DataFrame:
@@ -115,7 +118,6 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, id_col: str =
     scratch = Scratch(spark, "packing")
     # a row's own number tells repeated ids apart; it is fixed once written
     counts = scratch.keep(token_counts(documents, id_col, text_col, tokenizer_path).withColumn("row", F.monotonically_increasing_id()))
-    total = counts.count()
     last = F.when(F.col("n_tokens") > 0, F.ceil(F.col("n_tokens") / F.lit(capacity)) - 1).otherwise(0).cast("int")
     pieces = counts.select("row", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece_no")).select(
         "row", "doc_id", "piece_no", (F.col("piece_no") * capacity).alias("start_token"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece_no") * capacity).cast("int").alias("size")
@@ -125,9 +127,10 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, id_col: str =
     )
     small = pieces.where(F.col("size") < capacity).withColumn("item", F.col("row").cast("string"))
 
-    shards = max(1, -(-total // shard_items))
     items = small.select("item", "size")
     stages: list[DataFrame] = []
+    before = small.count()
+    shards = max(1, -(-before // shard_items))
     while True:
         stage = len(stages)
         keyed = items.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(stage)), F.lit(shards)).cast("int"))
@@ -136,7 +139,11 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, id_col: str =
         if shards == 1:
             break
         items = packed.where(F.col("level") < capacity).select(F.col("container").alias("item"), F.col("level").alias("size")).distinct()
-        shards = max(1, min(shards // 4, -(-items.count() // shard_items)))
+        left = items.count()
+        # packing again pays while it fills containers; every stage has as many shards as its items need
+        if left > STILL * before:
+            break
+        before, shards = left, max(1, -(-left // shard_items))
     where = stages[0]
     for later in stages[1:]:
         nxt = later.select(F.col("item").alias("container"), F.col("container").alias("__to"), F.col("level").alias("__level"))
