@@ -3,14 +3,17 @@
 Each batch of documents is a shard. Its words are numbered by the items'
 vocabulary; only stretches in which every pair of neighbouring words also
 stands in an item can hold a passage, so the shard's suffix array is built over
-those stretches alone. Every item suffix is then binary-searched in it, and
-hits on one diagonal are joined to the longest verbatim match.
+those stretches alone. Every item suffix is then binary-searched in it: each
+range of equal words gives the documents and the items it joins, and a suffix
+automaton of the item, run over the document's stretches, gives the longest
+verbatim match of each such pair.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -65,11 +68,23 @@ class ItemIndex:
         both = (self.text[:-1] > 0) & (self.text[1:] > 0) if len(flat) > 1 else np.zeros(0, bool)
         pairs = self.text[:-1][both] * self.size + self.text[1:][both] if len(flat) > 1 else np.zeros(0, np.int64)
         self.pairs = np.unique(pairs)
+        self._automata: dict[int, tuple[Automaton, list[int]]] = {}
         self.table = None
         if self.size * self.size <= 1 << 27:
             self.table = np.zeros(self.size * self.size, dtype=bool)
             self.table[self.pairs] = True
 
+    def automaton(self, owner: int) -> tuple[Automaton, list[int]]:
+        """The automaton of an item, and the places of its words; one is kept, as pairs come by item."""
+        if owner not in self._automata:
+            import numpy as np
+
+            own = np.flatnonzero(self.owner == owner)
+            # an id given twice has several texts, each for itself
+            parts = np.split(own, np.flatnonzero(np.diff(own) != 1) + 1)
+            self._automata = {owner: (Automaton([self.text[p].tolist() for p in parts]), self.place[own].tolist())}
+        return self._automata[owner]
+
     def known_pair(self, codes):
         import numpy as np
 
@@ -79,6 +94,62 @@ class ItemIndex:
         return self.pairs[at] == codes
 
 
+class Automaton:
+    """All runs of words of one item: finds its longest run in other texts in time linear in these."""
+
+    def __init__(self, parts: list[list[int]]) -> None:
+        self.step, self.link, self.length, self.end = [{}], [-1], [0], [-1]
+        at = 0
+        for words in parts:
+            last = 0
+            for w in words:
+                last = self._add(last, w, at)
+                at += 1
+
+    def _new(self, step: dict, link: int, length: int, end: int) -> int:
+        self.step.append(step)
+        self.link.append(link)
+        self.length.append(length)
+        self.end.append(end)
+        return len(self.step) - 1
+
+    def _add(self, last: int, w: int, at: int) -> int:
+        if w in self.step[last] and self.length[self.step[last][w]] == self.length[last] + 1:
+            return self.step[last][w]
+        state = self._new({}, 0, self.length[last] + 1, at)
+        p = last
+        while p >= 0 and w not in self.step[p]:
+            self.step[p][w] = state
+            p = self.link[p]
+        if p >= 0:
+            q = self.step[p][w]
+            if self.length[q] == self.length[p] + 1:
+                self.link[state] = q
+            else:
+                copy = self._new(dict(self.step[q]), self.link[q], self.length[p] + 1, self.end[q])
+                while p >= 0 and self.step[p].get(w) == q:
+                    self.step[p][w] = copy
+                    p = self.link[p]
+                self.link[q] = self.link[state] = copy
+        return state
+
+    def longest(self, text, stretches: list[tuple[int, int]]) -> tuple[int, int, int]:
+        """(length, first place in ``text``, first place in the item) of the longest common run; the first of equal ones."""
+        best = (0, -1, -1)
+        for begin, end in stretches:
+            state = size = 0
+            for i, w in enumerate(text[begin:end].tolist(), begin):
+                while state and w not in self.step[state]:
+                    state = self.link[state]
+                    size = self.length[state]
+                if w in self.step[state]:
+                    state = self.step[state][w]
+                    size += 1
+                if size > best[0]:
+                    best = (size, i - size + 1, self.end[state] - size + 1)
+        return best
+
+
 def suffix_array(text):
     """Starts of all suffixes in order, by prefix doubling."""
     import numpy as np
@@ -160,31 +231,27 @@ def search_shard(texts: list[tuple[int, str]], index: ItemIndex) -> list[tuple[i
     codes = rows[:, 0] * index.size + rows[:, 1]
     at = np.minimum(np.searchsorted(first, codes), len(first) - 1)
     suffixes = np.flatnonzero((rows > 0).all(1) & (first[at] == codes))
-    hits_item, hits_part = [], []
-    for k in range(0, len(suffixes), 20_000):
-        some = suffixes[k : k + 20_000]
-        lo, hi = _bounds(part, order, rows[some], m)
-        n = hi - lo
-        if n.sum():
-            hits_item.append(np.repeat(some, n))
-            hits_part.append(order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())])
-    if not hits_item:
-        return []
-    item_at, doc_at = np.concatenate(hits_item), where[np.concatenate(hits_part)]
-    doc = np.searchsorted(starts, doc_at, side="right") - 1
-    diagonal = doc_at - item_at
-    by = np.lexsort((doc_at, diagonal))
-    item_at, doc_at, doc, diagonal = item_at[by], doc_at[by], doc[by], diagonal[by]
-    fresh = np.concatenate([[True], (diagonal[1:] != diagonal[:-1]) | (doc_at[1:] != doc_at[:-1] + 1) | (index.owner[item_at[1:]] != index.owner[item_at[:-1]]) | (doc[1:] != doc[:-1])])
-    run = np.flatnonzero(fresh)
-    length = np.diff(np.append(run, len(fresh))) + m - 1
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for r, size in zip(run, length):
-        key = (int(doc[r]), int(index.owner[item_at[r]]))
-        value = (int(size), int(doc_at[r] - starts[doc[r]]), int(index.place[item_at[r]]))
-        if key not in best or value[0] > best[key][0]:
-            best[key] = value
-    return [(texts[d][0], i, *v) for (d, i), v in best.items()]
+    # equal beginnings are searched once; their ranges share no suffix, so all ranges together are no longer than the shard
+    wordings, which = np.unique(rows[suffixes], axis=0, return_inverse=True)
+    owners: dict[int, set[int]] = {}
+    for k, owner in zip(which.ravel().tolist(), index.owner[suffixes].tolist()):
+        owners.setdefault(k, set()).add(owner)
+    document = np.searchsorted(starts, where, side="right") - 1
+    stretches: dict[int, list[tuple[int, int]]] = {}
+    for a, b in zip(begin.tolist(), end.tolist()):
+        stretches.setdefault(int(np.searchsorted(starts, a, side="right") - 1), []).append((a, b))
+    pairs: set[tuple[int, int]] = set()
+    for k in range(0, len(wordings), 20_000):
+        lo, hi = _bounds(part, order, wordings[k : k + 20_000], m)
+        for i in np.flatnonzero(hi > lo).tolist():
+            docs = np.unique(document[order[lo[i] : hi[i]]]).tolist()
+            pairs.update((d, owner) for owner in owners[k + i] for d in docs)
+    found = []
+    for doc, owner in sorted(pairs, key=lambda p: (p[1], p[0])):
+        automaton, places = index.automaton(owner)
+        size, doc_at, item_at = automaton.longest(text, stretches[doc])
+        found.append((texts[doc][0], owner, size, int(doc_at - starts[doc]), places[item_at]))
+    return found
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -200,6 +267,17 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield block
 
 
+_KEPT: dict[str, ItemIndex] = {}
+
+
+def kept_index(name: str, block: list[tuple[int, str]], min_words: int) -> ItemIndex:
+    """The index of a broadcast block; a Python worker builds it once and keeps it from task to task."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = ItemIndex(block, min_words)
+    return _KEPT[name]
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, shard_chars: int = 8_000_000) -> DataFrame:
     """The longest match, of ``min_words`` words at least, of each document and item, as ``SCHEMA``.
 
@@ -213,12 +291,12 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, min_words: int = MIN_
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= 2 * min_words - 1)
     result = None
     for block in _blocks(benchmark, "item_id", "text"):
-        index = spark.sparkContext.broadcast((block, min_words))
+        index = spark.sparkContext.broadcast((uuid.uuid4().hex, block, min_words))
 
         def search(batches: Iterator, index=index) -> Iterator:
             import pyarrow as pa
 
-            built = ItemIndex(*index.value)
+            built = kept_index(*index.value)
 
             def rows(ids, texts):
                 found = search_shard(list(enumerate(texts)), built)
