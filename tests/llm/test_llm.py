@@ -200,11 +200,16 @@ def test_page_queries(spark):
 
 
 def test_language_of_keywords():
-    line = lambda text, sentence: body.Line(text, len(text.split()), body.OWN, sentence, "", "", 0.0)
+    def line(text, sentence):
+        x = body.Line(text, len(text.split()), body.OWN, sentence, "", "", 0.0)
+        x.cuts = body.tokens_of(text, ""), sentence
+        return x
+
     keywords = "Lampen günstig, Lampen kaufen, Lampen Angebot"
     assert spam.measures([line(keywords, False)], f"Über uns und die Produkte\n{keywords}\nDiese Seite ist mit Liebe gemacht")[0] == "de"
     assert spam.measures([line(PROSE, True)], "der die das und ist " * 9)[0] == "en"
-    assert spam.is_code("GET /users/items?page=3") and spam.is_code("Acme | late | 31 | hosts") and not spam.is_code("buy lamps | cheap lamps online | lamps")
+    assert all(spam.is_code(body.tokens_of(x, "")) for x in ("GET /users/items?page=3", "Acme | late | 31 | hosts", "x.cache = open(host, limit=2)"))
+    assert not spam.is_code(body.tokens_of("buy lamps | cheap lamps online | lamps", ""))
 
 
 # p7

@@ -193,6 +193,8 @@ class BodyModel:
         #: lines of furniture and paragraphs of the sample, as labelled
         self.furniture: list[Line] = []
         self.paragraphs: list[str] = []
+        #: the sample's filled lines, as judged
+        self.sample: list[list[Line]] = []
         self._seen: dict[tuple, tuple] = {}
 
     def __getstate__(self):
@@ -255,44 +257,57 @@ class BodyModel:
         if len(self.context) < 2:
             return lines
         filled = [x for x in lines if x.kind != BLANK]
-        for x, feats in zip(filled, context_features(filled)):
-            x.score = 1.0 if x.kind == TITLE else _score(self.context, feats)
-        first, last = best_region([max(LEAST, min(MOST, x.score)) for x in filled])
-        if not any(x.score >= 0 and x.kind != TITLE for x in filled):
-            # no line speaks for itself: what is not known as furniture is all the page has to say
-            first, last = 0, len(filled) - 1
-            for x in filled:
-                x.score = 0.0 if x.base >= CERTAIN and not x.known else x.score
-        for i, x in enumerate(filled):
-            if x.kind != TITLE and (x.score < 0 or not first <= i <= last):
-                x.kind = FURNITURE
+        mark_furniture(filled, [_score(self.context, feats) for feats in context_features(filled)])
         return lines
 
 
-def fit_weights(rows: list[list[str]], labels: list[float], strengths: list[float], least: int, ridge: float, steps: int = 60) -> dict[str, float]:
-    """Logistic regression: the weight of each feature held by ``least`` rows at least, and the bias ''."""
-    import numpy as np
-
-    counts = Counter(f for row in rows for f in row)
-    names = [f for f, n in counts.items() if n >= least]
-    number = {f: k for k, f in enumerate(names)}
-    ids = [[number[f] for f in row if f in number] for row in rows]
-    sizes = np.array([len(r) for r in ids])
-    flat = np.fromiter((k for r in ids for k in r), dtype=np.int64, count=int(sizes.sum()))
-    row = np.repeat(np.arange(len(rows)), sizes)
-    y, s = np.asarray(labels, dtype=float), np.asarray(strengths, dtype=float)
-    w, b = np.zeros(len(names)), 0.0
-    past, past_b = np.full(len(names), 1e-8), 1e-8
-    for step in range(steps):
-        z = b + np.bincount(row, weights=w[flat], minlength=len(rows))
-        error = s * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        grad = np.bincount(flat, weights=error[row], minlength=len(names)) + ridge * w
-        past = 0.9 * past + 0.1 * grad * grad
-        past_b = 0.9 * past_b + 0.1 * error.sum() ** 2
-        rate = 0.3 / (1 + step / 20)
-        w -= rate * grad / np.sqrt(past)
-        b -= rate * error.sum() / math.sqrt(past_b)
-    return {"": float(b)} | {f: float(v) for f, v in zip(names, w) if abs(v) > 1e-3}
+def mark_furniture(filled: list[Line], scores: list[float]) -> None:
+    """Sets the kind of the filled lines outside the maximum-scoring run, and of those inside that count against it."""
+    for x, score in zip(filled, scores):
+        x.score = 1.0 if x.kind == TITLE else score
+    first, last = best_region([max(LEAST, min(MOST, x.score)) for x in filled])
+    if not any(x.score >= 0 and x.kind != TITLE for x in filled):
+        # no line speaks for itself: what is not known as furniture is all the page has to say
+        first, last = 0, len(filled) - 1
+        for x in filled:
+            x.score = 0.0 if x.base >= CERTAIN and not x.known else x.score
+    for i, x in enumerate(filled):
+        if x.kind != TITLE and (x.score < 0 or not first <= i <= last):
+            x.kind = FURNITURE
+
+
+class Encoded:
+    """Rows of features as numbers; features of fewer than ``least`` rows are left out."""
+
+    def __init__(self, rows: list[list[str]], least: int) -> None:
+        import numpy as np
+
+        counts = Counter(f for row in rows for f in row)
+        self.names = [f for f, n in counts.items() if n >= least]
+        number = {f: k for k, f in enumerate(self.names)}
+        ids = [[number[f] for f in row if f in number] for row in rows]
+        sizes = np.array([len(r) for r in ids], dtype=np.int64)
+        self.flat = np.fromiter((k for r in ids for k in r), dtype=np.int64, count=int(sizes.sum()))
+        self.row = np.repeat(np.arange(len(rows)), sizes)
+        self.rows = len(rows)
+
+    def fit(self, labels, strengths, ridge: float = 1.0, steps: int = 60) -> dict[str, float]:
+        """Logistic regression: the weight of each feature, and the bias ''; keeps the rows' scores as ``scores``."""
+        import numpy as np
+
+        w, b = np.zeros(len(self.names)), 0.0
+        past, past_b = np.full(len(self.names), 1e-8), 1e-8
+        for step in range(steps):
+            z = b + np.bincount(self.row, weights=w[self.flat], minlength=self.rows)
+            error = strengths * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
+            grad = np.bincount(self.flat, weights=error[self.row], minlength=len(self.names)) + ridge * w
+            past = 0.9 * past + 0.1 * grad * grad
+            past_b = 0.9 * past_b + 0.1 * error.sum() ** 2
+            rate = 0.3 / (1 + step / 20)
+            w -= rate * grad / np.sqrt(past)
+            b -= rate * error.sum() / math.sqrt(past_b)
+        self.scores = np.clip(b + np.bincount(self.row, weights=w[self.flat], minlength=self.rows), -_CLIP, _CLIP)
+        return {"": float(b)} | {f: float(v) for f, v in zip(self.names, w) if abs(v) > 1e-3}
 
 
 def sample_pages(pages: DataFrame, most: int = SAMPLE_PAGES, of_site: int = SITE_PAGES) -> list[tuple]:
@@ -376,25 +391,35 @@ def fit_body_model(sample: list[tuple], rounds: int = ROUNDS) -> BodyModel:
     # labels near one half say little
     weight = [1.0 if y is not None else max(0.3, abs(2 * o - 1)) for y, o in zip(strong, open_lines)]
     titles = [x.kind == TITLE for lines in read for x in lines]
+    import numpy as np
+
+    # title lines are known and teach nothing
+    strength = np.array([0.0 if t else w for t, w in zip(titles, weight)])
+    held = Encoded(rows, 4)
     model = blank
     for k in range(rounds + 1):
-        y = [s if s is not None else o for s, o in zip(strong, labels)]
-        use = [i for i in range(len(y)) if not titles[i]]
-        local = fit_weights([rows[i] for i in use], [y[i] for i in use], [weight[i] for i in use], 4, 1.0)
+        y = np.array([s if s is not None else o for s, o in zip(strong, labels)])
+        local = held.fit(y, strength)
         at, around = 0, []
         for lines in read:
-            for x in lines:
-                x.base = _score(local, rows[at]) if x.kind != TITLE else 0.0
-                at += 1
+            for x, base in zip(lines, held.scores[at : at + len(lines)].tolist()):
+                x.base = base if x.kind != TITLE else 0.0
+            at += len(lines)
             around += context_features(lines)
-        context = fit_weights([around[i] for i in use], [y[i] for i in use], [weight[i] for i in use], 5, 1.0)
-        model = BodyModel(local, context)
+        beside_others = Encoded(around, 5)
+        model = BodyModel(local, beside_others.fit(y, strength))
         model.furniture, model.paragraphs = list(furniture.values()), list(paragraphs)
+        at = 0
         if k == rounds:
+            for lines in read:
+                for x in lines:
+                    x.known = local.get("=" + " ".join(x.cuts[0]), 0.0) < 0 if x.kind != TITLE and x.words < SHORT else False
+                mark_furniture(lines, beside_others.scores[at : at + len(lines)].tolist())
+                at += len(lines)
+            model.sample = read
             break
-        at = 0
         for lines in read:
-            scores = [1.0 if x.kind == TITLE else _score(context, around[at + i]) for i, x in enumerate(lines)]
+            scores = [1.0 if x.kind == TITLE else s for x, s in zip(lines, beside_others.scores[at : at + len(lines)].tolist())]
             first, last = best_region([max(LEAST, min(MOST, s)) for s in scores])
             for i, s in enumerate(scores):
                 told = 1 / (1 + math.exp(-s)) if first <= i <= last else 0.0

@@ -32,8 +32,8 @@ FUNCTION_WORDS = {
 _FUNCTION = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _ANY_FUNCTION = frozenset().union(*_FUNCTION.values())
 _WORD = re.compile(r"[^\W\d_]+")
-# signs of code, values between words; a sign at the end of a sentence is none
-_MARK = re.compile(r"[=(){}\[\]$<>;]|\d+|\w[.:](?=\w)|--")
+# Signs of code, and the slot of a value between words.
+_MARKS = frozenset("=(){}$>;0.")
 _URL = re.compile(r"https?://\S+|\bwww\.\S+")
 
 #: Sign of each feature's deviation towards spam.
@@ -54,12 +54,10 @@ def language_of(words: list[str]) -> str:
     return max(_FUNCTION, key=lambda k: len(_FUNCTION[k] & seen))
 
 
-def is_code(line: str) -> bool:
-    """Whether a line has the form of code, of a request or of a table's row: signs and values between its words."""
-    if _URL.search(line):
-        return False
-    marks = len(_MARK.findall(line))
-    return marks > 0 and 3 * marks >= len(_WORD.findall(line))
+def is_code(tokens: list[str]) -> bool:
+    """Whether a line's tokens are those of code, of a request or of a table's row: signs and values between the words."""
+    marks = sum([t in _MARKS for t in tokens])
+    return marks > 0 and 3 * marks >= sum([t.isalpha() for t in tokens])
 
 
 def measures(own: list[Line], whole: str = "") -> tuple[str, int, float, float, float, float, float]:
@@ -67,22 +65,30 @@ def measures(own: list[Line], whole: str = "") -> tuple[str, int, float, float,
 
     Own words without any function word have the language of the ``whole`` text.
     """
-    code = [is_code(x.text) for x in own]
-    text = "\n".join([x.text for x in own])
-    bare = _URL.sub(" ", text) if "http" in text or "www." in text else text
-    words = _WORD.findall(bare.casefold())
-    total = sum([x.words for x in own])
-    sure = sum([x.words for x, c in zip(own, code) if x.sentence or c])
+    words: list[str] = []
+    loose: list[str] = []
+    total = sure = size = linked = 0
+    for x in own:
+        size += len(x.text) + 1
+        total += x.words
+        if "http" in x.text or "www." in x.text:
+            bare = _URL.sub(" ", x.text)
+            linked += len(x.text) - len(bare)
+            found, code = _WORD.findall(bare.casefold()), False
+        else:
+            found = [t for t in x.cuts[0] if t.isalpha()]
+            code = not x.sentence and is_code(x.cuts[0])
+        words += found
+        if not code:
+            loose += found
+        if x.sentence or code:
+            sure += x.words
     n = len(words)
     lang = language_of(_WORD.findall(whole.casefold()) if _ANY_FUNCTION.isdisjoint(words) else words)
     entropy = 1 - sum([c * math.log(c) for c in Counter(words).values() if c > 1]) / (n * math.log(n)) if n > 1 else 1.0
-    loose = words
-    if any(code):
-        loose = _WORD.findall(_URL.sub(" ", "\n".join([x.text for x, c in zip(own, code) if not c]).casefold()))
     function = sum(map(_FUNCTION[lang].__contains__, loose)) / len(loose) if loose else 0.3 if n else 0.0
     repetition = 1 - len(set(zip(words, words[1:]))) / (n - 1) if n > 1 else 0.0
-    links = (len(text) - len(bare)) / max(1, len(text))
-    return lang, total, (sure / total if total else 1.0), function, entropy, repetition, links
+    return lang, total, (sure / total if total else 1.0), function, entropy, repetition, linked / max(1, size)
 
 
 def measure_pages(pages: DataFrame) -> DataFrame:
