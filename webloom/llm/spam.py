@@ -1,10 +1,11 @@
 """Keyword-stuffed and link-list pages, by robust Mahalanobis distance.
 
-Each page's own text (furniture cut out) is measured: how much of it stands in
+Each page's own text (its body's lines) is measured: how much of it stands in
 sentences, its function words, entropy, repetition, links and outgoing links.
 Per language a robust centre and scatter are fitted over all pages: medians
 first, then concentration steps on the nearer half. Pages far from the centre
-are outliers; those whose deviation points towards spam are flagged.
+are outliers; those whose deviation points towards spam are flagged, unless
+their text is residue.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.body import OWN, Line
 from webloom.llm.furniture import kept, page_columns
-from webloom.llm.residue import broadcast_models, judge_page
+from webloom.llm.residue import broadcast_models, residue_pages
 from webloom.session import Scratch
 
 # Frequent function words of the crawl's languages.
@@ -45,7 +47,7 @@ DIRECTION, MOST_SENTENCES = 0.45, 0.5
 STEPS = 2
 MIN_WORDS = 5
 
-_MEASURED = "page_id bigint, lang string, words int, residue boolean, sentence_share double, function_share double, entropy double, repetition double, link_share double"
+_MEASURED = "page_id bigint, lang string, words int, sentence_share double, function_share double, entropy double, repetition double, link_share double"
 
 
 def language_of(words: list[str]) -> str:
@@ -91,21 +93,19 @@ def measures(own: list[Line], whole: str = "") -> tuple[str, int, float, float,
     return lang, total, (sure / total if total else 1.0), function, entropy, repetition, linked / max(1, size)
 
 
-def measure_pages(pages: DataFrame) -> DataFrame:
+def measure_pages(pages: DataFrame, models: Broadcast) -> DataFrame:
     """One row of ``_MEASURED`` per page with text."""
-    models = broadcast_models(pages)
 
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        body, model = kept(models)
-        schema = pa.schema([("page_id", pa.int64()), ("lang", pa.string()), ("words", pa.int32()), ("residue", pa.bool_()), *((f, pa.float64()) for f in list(FEATURES)[:5])])
+        body, _ = kept(models)
+        schema = pa.schema([("page_id", pa.int64()), ("lang", pa.string()), ("words", pa.int32()), *((f, pa.float64()) for f in list(FEATURES)[:5])])
         for batch in batches:
             rows = []
             for page, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                reason, _, lines = judge_page(*rest, body, model)
-                lang, words, *features = measures([x for x in lines if x.kind == OWN], rest[3])
-                rows.append((page, lang, words, reason is not None, *features))
+                lang, words, *features = measures([x for x in body.judge(*rest) if x.kind == OWN], rest[3])
+                rows.append((page, lang, words, *features))
             columns = list(zip(*rows)) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -172,7 +172,8 @@ def spam_pages(pages: DataFrame, links: DataFrame, cutoff: float = CUTOFF, direc
     """
     n = len(FEATURES)
     scratch = Scratch(pages.sparkSession, "spam")
-    measured = measure_pages(pages).where((F.col("words") >= MIN_WORDS) & ~F.col("residue"))
+    models = broadcast_models(pages)
+    measured = measure_pages(pages, models).where(F.col("words") >= MIN_WORDS)
     # a page has one row on either side, so the join cannot gather anywhere
     rows = measured.join(outlinks(links), "page_id", "left").fillna(0.0, ["outlinks"])
     rows = scratch.keep(rows.select("page_id", "lang", F.array(*FEATURES).alias("f")))
@@ -186,4 +187,7 @@ def spam_pages(pages: DataFrame, links: DataFrame, cutoff: float = CUTOFF, direc
     cosine = F.expr(f"aggregate(sequence(0, {n} - 1), 0D, (a, k) -> a + z[k] * signs[k]) / sqrt({n} * greatest(aggregate(z, 0D, (a, v) -> a + v * v), 1e-12))")
     judged = judged.withColumn("direction", cosine)
     flagged = (F.col("d") > cutoff) & (F.col("direction") > direction) & (F.col("f")[0] * (1 - F.col("f")[3]) <= most_sentences)
-    return judged.where(flagged).select("page_id", F.col("d").alias("distance"), "direction")
+    found = scratch.keep(judged.where(flagged).select("page_id", F.col("d").alias("distance"), "direction"))
+    # residue, which is no spam, is only looked for on the pages flagged
+    few = pages.join(found.select(F.col("page_id").alias("__page")).distinct(), F.col("id").cast("long") == F.col("__page"), "left_semi")
+    return found.join(residue_pages(few, models).select("page_id").distinct(), "page_id", "left_anti")
