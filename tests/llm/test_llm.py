@@ -336,6 +336,23 @@ def test_splitting_round_trip():
         assert covered == len(text)
 
 
+def test_blocks_have_the_same_tokens(monkeypatch):
+    with open(DEFAULT_TOKENIZER, "rb") as f:
+        tok = ByteBpe(f.read())
+    text = "".join(random.Random(2).choices(["word", " ", "\n", "\t", " 12", "é", ". ", "  "], k=3000))
+    whole = tok.encode(text)
+
+    class GivesUp:
+        def encode_ordinary(self, x, inner=tok._encoding):
+            if len(x) > 600:
+                raise RuntimeError
+            return inner.encode_ordinary(x)
+
+    monkeypatch.setattr("webloom.llm.tokens.BLOCK_CHARS", 300)
+    tok._encoding = GivesUp()
+    assert tok.encode(text) == whole
+
+
 def test_weakest_boundaries_go_first():
     cuts = [(10, splitting.PARAGRAPH), (14, splitting.SENTENCE), (20, splitting.SENTENCE)]
     assert [(a, b) for a, b, _ in splitting.merge_segments(cuts, 30, 24, 4)] == [(0, 10), (10, 30)]

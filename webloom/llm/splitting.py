@@ -19,6 +19,9 @@ from webloom.llm.tokens import DEFAULT_TOKENIZER, ByteBpe, broadcast_vocabulary,
 
 LIMIT, OVERLAP = 2048, 128
 
+#: Tokens left free in a piece: cut out of its text, it may be encoded in a few more tokens at its ends.
+SLACK = 8
+
 #: Boundary strengths.
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, CHARACTER = 5, 4, 3, 2, 1, 0
 NAMES = {PARAGRAPH: "paragraph", LINE: "line", SENTENCE: "sentence", CLAUSE: "clause", WORD: "word", CHARACTER: "character"}
@@ -103,7 +106,7 @@ def split_text(text: str, tok: ByteBpe, limit: int, overlap: int) -> list[tuple]
     data = text.encode("utf-8", "replace")
     ends = np.cumsum(tok.byte_lengths[ids])
     strength = boundary_strengths(data, ends)  # of the cut before token i + 1
-    room = limit - overlap
+    room = limit - overlap - SLACK
     chosen = np.flatnonzero(strength >= SENTENCE) + 1
     for level in (CLAUSE, WORD, CHARACTER):
         edges = np.concatenate([[0], chosen, [n]])
@@ -112,7 +115,7 @@ def split_text(text: str, tok: ByteBpe, limit: int, overlap: int) -> list[tuple]
             break
         extra = [(edges[i] + np.flatnonzero(strength[edges[i] : edges[i + 1] - 1] >= level) + 1) for i in long]
         chosen = np.unique(np.concatenate([chosen, *extra]))
-    pieces = merge_segments([(int(c), int(strength[c - 1])) for c in chosen], n, limit, overlap)
+    pieces = merge_segments([(int(c), int(strength[c - 1])) for c in chosen], n, limit - SLACK, overlap)
 
     whole = np.concatenate([[True], strength >= 0, [True]])  # token positions at which a character begins
     offset = np.concatenate([[0], ends])
@@ -157,8 +160,8 @@ def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
     """
     if not tokenizer_path.endswith(".tiktoken"):
         raise ValueError("splitting needs a byte-level vocabulary (.tiktoken)")
-    if limit < 16 or not 0 <= overlap <= limit // 2:
-        raise ValueError("the limit must be 16 at least, the overlap at most half of it")
+    if limit < 4 * SLACK or not 0 <= overlap <= limit // 2:
+        raise ValueError("the limit must be 32 at least, the overlap at most half of it")
     vocabulary = broadcast_vocabulary(documents.sparkSession, tokenizer_path)
 
     def split(batches: Iterator) -> Iterator:

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from functools import lru_cache
 
 from pyspark import Broadcast
@@ -17,8 +18,10 @@ MAX_VOCABULARY_BYTES = 64 << 20
 # Fixed value: the pattern by which the byte-level vocabularies split text before merging.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: A text is encoded in blocks of so many characters if the encoder gives up on it whole.
+#: A text is encoded in blocks of so many characters, at least, if the encoder gives up on it whole.
 BLOCK_CHARS = 20_000
+#: The pattern never joins a sign of text to white space that follows it: blocks that begin there have the same tokens.
+_CUT = re.compile(r"(?<=[^\s\x1c-\x1f])[ \n]")
 
 
 def broadcast_vocabulary(spark: SparkSession, path: str = DEFAULT_TOKENIZER) -> Broadcast:
@@ -48,9 +51,13 @@ class ByteBpe:
         except UnicodeEncodeError:
             return self.encode(text.encode("utf-8", "replace").decode("utf-8"))
         except Exception:
-            if len(text) <= BLOCK_CHARS:
+            cuts = [0]
+            for m in _CUT.finditer(text):
+                if m.start() - cuts[-1] >= BLOCK_CHARS:
+                    cuts.append(m.start())
+            if len(cuts) == 1:
                 raise
-            return [t for i in range(0, len(text), BLOCK_CHARS) for t in self.encode(text[i : i + BLOCK_CHARS])]
+            return [t for a, b in zip(cuts, [*cuts[1:], len(text)]) for t in self.encode(text[a:b])]
 
     def count(self, text: str) -> int:
         return len(self.encode(text))
