@@ -58,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": P2_SQL,
+        "p8_found": P8_SQL,
     }
 
 
@@ -69,3 +70,11 @@ with recursive e as (
 reach as (select a as v, a as m from s union select s.b, r.m from reach r join s on s.a = r.v where r.m < s.b)
 select min(m) as group_id, v as page_id from reach group by v
 """
+
+P8_SQL = r"""
+with words as (
+    select 'd' as kind, doc_id as id, regexp_extract_all(strip_accents(replace(lower(text), 'ß', 'ss')), '[\p{L}\p{N}]+') as w from documents
+    union all select 'i', item_id, regexp_extract_all(strip_accents(replace(lower(text), 'ß', 'ss')), '[\p{L}\p{N}]+') from benchmark
+), runs as (select kind, id, array_to_string(w[k:k + 12], ' ') as run from (select *, unnest(generate_series(1, len(w) - 12)) as k from words where len(w) >= 13))
+select distinct d.id as doc_id, i.id as item_id from runs d join runs i on i.kind = 'i' and d.kind = 'd' and d.run = i.run
+"""
