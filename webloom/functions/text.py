@@ -19,17 +19,12 @@ STOPWORDS = frozenset(
 )
 
 # Spellings of technical names kept as one term, in the order they are rewritten.
+_NAMES = (("c++", "cpp"), ("c#", "csharp"), ("f#", "fsharp"), ("asp.net", "aspnet"), (".net", "dotnet"), ("node.js", "nodejs"), ("next.js", "nextjs"), ("vue.js", "vuejs"))
+_SPACED = (("http", "/", "2"), ("sha", "-", "256"))
+#: (pattern, term): names stand by themselves; parts of the spaced ones may stand apart.
 SPELLINGS = (
-    (r"(?<![0-9a-z])c\+\+(?![0-9a-z])", "cpp"),
-    (r"(?<![0-9a-z])c#(?![0-9a-z])", "csharp"),
-    (r"(?<![0-9a-z])f#(?![0-9a-z])", "fsharp"),
-    (r"(?<![0-9a-z])asp\.net(?![0-9a-z])", "aspnet"),
-    (r"(?<![0-9a-z])\.net(?![0-9a-z])", "dotnet"),
-    (r"(?<![0-9a-z])node\.js(?![0-9a-z])", "nodejs"),
-    (r"(?<![0-9a-z])next\.js(?![0-9a-z])", "nextjs"),
-    (r"(?<![0-9a-z])vue\.js(?![0-9a-z])", "vuejs"),
-    (r"\bhttp\s*/\s*2\b", "http2"),
-    (r"\bsha\s*-\s*256\b", "sha256"),
+    *((rf"(?<![0-9a-z]){re.escape(spelling)}(?![0-9a-z])", name) for spelling, name in _NAMES),
+    *((rf"\b{a}\s*{sign}\s*{b}\b", a + b) for a, sign, b in _SPACED),
 )
 #: Texts without this have none of the spellings.
 _ANY_SPELLING = r"c\+\+|[cf]#|\.net|\.js|http\s*/\s*2|sha\s*-\s*256"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.html import parse_html
 from webloom.functions.urls import canonical_url, host_of, normalize_url
+from webloom.operators.skew import keyed_lookup
 from webloom.session import Scratch
 from webloom.sources.fetch import failure_kind
 from webloom.sources.robots import allowed
@@ -28,6 +29,19 @@ def next_frontier(links: DataFrame, seen: DataFrame, max_depth: int) -> DataFram
     return least.join(seen.select("crawl_job_id", "url").distinct(), ["crawl_job_id", "url"], "left_anti")
 
 
+def job_frontier(links: DataFrame, seen: DataFrame, jobs: DataFrame) -> DataFrame:
+    """``next_frontier`` within each job's own limits: its ``max_depth``, and nothing once ``pages_crawled`` has reached ``max_pages``.
+
+    Null limits admit nothing. Links of a large job look its limits up by broadcast.
+    """
+    limits = jobs.where("pages_crawled < max_pages and max_depth is not null").select(F.col("id").alias("crawl_job_id"), "max_depth")
+    asked = links.where("is_crawl_eligible and target_normalized_url is not null").select("crawl_job_id", F.col("target_normalized_url").alias("url"), "depth")
+    # once a job and address before any limit is looked up
+    least = asked.groupBy("crawl_job_id", "url").agg(F.min("depth").alias("depth"))
+    within = keyed_lookup(least, limits, ["crawl_job_id"], "inner").where("depth <= max_depth").drop("max_depth")
+    return within.join(seen.select("crawl_job_id", "url").distinct(), ["crawl_job_id", "url"], "left_anti")
+
+
 @dataclass(frozen=True)
 class CrawlResult:
     pages: DataFrame

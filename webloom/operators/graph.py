@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.config import DEFAULTS, EXPLORED_TYPES, RANKED_TYPES
+from webloom.operators.skew import keyed_lookup
 from webloom.session import Scratch
 
 
@@ -27,21 +28,60 @@ def degrees(edges: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.select("crawl_job_id", F.col("id").alias("page_id")).join(counted, ["crawl_job_id", "page_id"], "left").select("crawl_job_id", "page_id", F.coalesce("i", F.lit(0)).cast("long").alias("in_degree"), F.coalesce("o", F.lit(0)).cast("long").alias("out_degree"))
 
 
-def pagerank(edges: DataFrame, pages: DataFrame, damping: float = DEFAULTS.damping, rounds: int = DEFAULTS.pagerank_rounds, tolerance: float = DEFAULTS.pagerank_tolerance) -> DataFrame:
+#: Jobs of so many pages and edges, at most, are ranked in one task each: it holds four numbers of each row.
+RANKED_IN_ONE_TASK = 1_000_000
+
+
+def _ranks_of_job(damping: float, rounds: int, tolerance: float):
+    """Power iteration over the rows of one job: (u, null, null) for pages, (u, v, p) for moves."""
+
+    def ranks(pdf):
+        import numpy as np
+        import pandas as pd
+
+        nodes = np.sort(pdf.loc[pdf["v"].isna(), "u"].to_numpy())
+        moves = pdf[pdf["v"].notna()]
+        source, target = np.searchsorted(nodes, moves["u"].to_numpy()), np.searchsorted(nodes, moves["v"].to_numpy(dtype="int64"))
+        share, n = moves["p"].to_numpy(), len(nodes)
+        still = np.ones(n, dtype=bool)
+        still[source] = False
+        rank = np.full(n, 1.0 / n)
+        for _ in range(rounds):
+            flow = np.bincount(target, weights=share * rank[source], minlength=n)
+            fresh = (1 - damping) / n + damping * flow + damping * rank[still].sum() / n
+            moved, rank = np.abs(fresh - rank).max(), fresh
+            if moved < tolerance:
+                break
+        return pd.DataFrame({"crawl_job_id": pdf["crawl_job_id"].iloc[0], "page_id": nodes, "pagerank": rank})
+
+    return ranks
+
+
+def pagerank(
+    edges: DataFrame, pages: DataFrame, damping: float = DEFAULTS.damping, rounds: int = DEFAULTS.pagerank_rounds, tolerance: float = DEFAULTS.pagerank_tolerance, one_task: int = RANKED_IN_ONE_TASK
+) -> DataFrame:
     """(crawl_job_id, page_id, pagerank): weighted, each job for itself.
 
     Parallel edges add up, negative weights count as 0; pages without outgoing
-    weight spread theirs evenly. Ends when no rank of any job moves by
-    ``tolerance`` or after ``rounds``. Ranks are written to the shared folder
-    in every round, which cuts the lineage.
+    weight spread theirs evenly. A job ends when none of its ranks moves by
+    ``tolerance`` or after ``rounds``. Jobs of at most ``one_task`` pages and
+    edges are ranked in a task each; for larger ones the ranks are written to
+    the shared folder in every round, which cuts the lineage.
     """
     scratch = Scratch(pages.sparkSession, "pagerank")
     merged = ranked_edges(edges, pages).groupBy("crawl_job_id", "u", "v").agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("w")).where("w > 0")
     total = merged.groupBy("crawl_job_id", "u").agg(F.sum("w").alias("total"))
     moves = scratch.keep(merged.join(total, ["crawl_job_id", "u"]).select("crawl_job_id", "u", "v", (F.col("w") / F.col("total")).alias("p")))
-    size = pages.groupBy("crawl_job_id").agg(F.count(F.lit(1)).alias("n"))
+    nodes = scratch.keep(pages.where("crawl_job_id is not null and id is not null").select("crawl_job_id", F.col("id").alias("page_id")).distinct())
+    rows = nodes.select("crawl_job_id", F.col("page_id").alias("u"), F.lit(None).cast("long").alias("v"), F.lit(None).cast("double").alias("p")).unionByName(moves)
+    big = rows.groupBy("crawl_job_id").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > one_task).select("crawl_job_id")
+    small = rows.join(big, "crawl_job_id", "left_anti").groupBy("crawl_job_id").applyInPandas(_ranks_of_job(damping, rounds, tolerance), "crawl_job_id bigint, page_id bigint, pagerank double")
+    if big.isEmpty():
+        return small
+    moves, nodes = moves.join(big, "crawl_job_id", "left_semi"), nodes.join(big, "crawl_job_id", "left_semi")
+    size = nodes.groupBy("crawl_job_id").agg(F.count(F.lit(1)).alias("n"))
     spreads = moves.select("crawl_job_id", F.col("u").alias("page_id")).distinct().withColumn("spreads", F.lit(True))
-    nodes = pages.select("crawl_job_id", F.col("id").alias("page_id")).join(F.broadcast(size), "crawl_job_id").join(spreads, ["crawl_job_id", "page_id"], "left")
+    nodes = keyed_lookup(nodes, size, ["crawl_job_id"], "inner").join(spreads, ["crawl_job_id", "page_id"], "left")
     nodes = scratch.keep(nodes.select("crawl_job_id", "page_id", "n", F.coalesce("spreads", F.lit(False)).alias("spreads")))
     ranks = nodes.withColumn("pagerank", 1.0 / F.col("n"))
     kept = None
@@ -49,39 +89,68 @@ def pagerank(edges: DataFrame, pages: DataFrame, damping: float = DEFAULTS.dampi
         # the ranks are read three times, so each round is written: a longer lazy chain would triple with every round
         dangling = ranks.groupBy("crawl_job_id").agg(F.coalesce(F.sum(F.when(~F.col("spreads"), F.col("pagerank"))), F.lit(0.0)).alias("dangling"))
         flows = moves.join(ranks.select("crawl_job_id", F.col("page_id").alias("u"), "pagerank"), ["crawl_job_id", "u"]).groupBy("crawl_job_id", F.col("v").alias("page_id")).agg(F.sum(F.col("p") * F.col("pagerank")).alias("flow"))
-        joined = ranks.withColumnRenamed("pagerank", "old").join(F.broadcast(dangling), "crawl_job_id").join(flows, ["crawl_job_id", "page_id"], "left")
+        joined = keyed_lookup(ranks.withColumnRenamed("pagerank", "old"), dangling, ["crawl_job_id"], "inner").join(flows, ["crawl_job_id", "page_id"], "left")
         rank = (1 - damping) / F.col("n") + damping * F.coalesce("flow", F.lit(0.0)) + damping * F.col("dangling") / F.col("n")
         written = scratch.keep(joined.select("crawl_job_id", "page_id", "n", "spreads", rank.alias("pagerank"), "old"))
         scratch.drop(kept)
         kept = written
         ranks = written.drop("old")
-        if tolerance > 0:
-            moved = written.agg(F.max(F.abs(F.col("pagerank") - F.col("old")))).first()[0]
-            if moved is None or moved < tolerance:
-                break
-    return ranks.select("crawl_job_id", "page_id", "pagerank")
+        moved = written.agg(F.max(F.abs(F.col("pagerank") - F.col("old")))).first()[0]
+        if moved is None or moved < tolerance:
+            break
+    return small.unionByName(ranks.select("crawl_job_id", "page_id", "pagerank"))
+
+
+def _components_of_job(pdf):
+    """Smallest linked ids over the rows of one job: (u, null) for pages, (u, v) for edges."""
+    import numpy as np
+    import pandas as pd
+
+    nodes = np.sort(pdf.loc[pdf["v"].isna(), "u"].to_numpy())
+    pairs = pdf[pdf["v"].notna()]
+    parent = list(range(len(nodes)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(np.searchsorted(nodes, pairs["u"].to_numpy()).tolist(), np.searchsorted(nodes, pairs["v"].to_numpy(dtype="int64")).tolist()):
+        a, b = top(a), top(b)
+        parent[max(a, b)] = min(a, b)
+    return pd.DataFrame({"crawl_job_id": pdf["crawl_job_id"].iloc[0], "page_id": nodes, "cluster_id": nodes[[top(x) for x in range(len(nodes))]] if len(nodes) else nodes})
 
 
-def components(edges: DataFrame, pages: DataFrame) -> DataFrame:
+def components(edges: DataFrame, pages: DataFrame, one_task: int = RANKED_IN_ONE_TASK) -> DataFrame:
     """(crawl_job_id, page_id, cluster_id): weakly connected pages share their smallest id; lone pages have their own.
 
-    Smallest labels spread along edges and jump to their label's label, so that
-    long chains take few rounds.
+    Jobs of at most ``one_task`` pages and edges are joined up in a task each.
+    In larger ones smallest labels spread along edges and jump to their label's
+    label, so that long chains take few rounds.
     """
     scratch = Scratch(pages.sparkSession, "components")
-    e = ranked_edges(edges, pages).select("crawl_job_id", "u", "v")
-    both = scratch.keep(e.unionByName(e.select("crawl_job_id", F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = scratch.keep(pages.select("crawl_job_id", F.col("id").alias("page_id"), F.col("id").alias("label")))
+    e = scratch.keep(ranked_edges(edges, pages).select("crawl_job_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    nodes = scratch.keep(pages.where("crawl_job_id is not null and id is not null").select("crawl_job_id", F.col("id").alias("page_id")).distinct())
+    rows = nodes.select("crawl_job_id", F.col("page_id").alias("u"), F.lit(None).cast("long").alias("v")).unionByName(e)
+    big = rows.groupBy("crawl_job_id").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > one_task).select("crawl_job_id")
+    small = rows.join(big, "crawl_job_id", "left_anti").groupBy("crawl_job_id").applyInPandas(_components_of_job, "crawl_job_id bigint, page_id bigint, cluster_id bigint")
+    if big.isEmpty():
+        return small
+    e = e.join(big, "crawl_job_id", "left_semi")
+    both = scratch.keep(e.unionByName(e.select("crawl_job_id", F.col("v").alias("u"), F.col("u").alias("v"))))
+    labels = scratch.keep(nodes.join(big, "crawl_job_id", "left_semi").select("crawl_job_id", "page_id", F.col("page_id").alias("label")))
     while True:
         near = both.join(labels.select("crawl_job_id", F.col("page_id").alias("v"), "label"), ["crawl_job_id", "v"]).groupBy("crawl_job_id", F.col("u").alias("page_id")).agg(F.min("label").alias("near"))
         spread = labels.join(near, ["crawl_job_id", "page_id"], "left").select("crawl_job_id", "page_id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = spread.select("crawl_job_id", F.col("page_id").alias("label"), F.col("label").alias("jumped"))
-        fresh = scratch.keep(spread.join(jump, ["crawl_job_id", "label"]).select("crawl_job_id", "page_id", "old", F.col("jumped").alias("label")))
+        # a giant component is one label: its pages look it up by broadcast
+        fresh = scratch.keep(keyed_lookup(spread, jump, ["crawl_job_id", "label"], "inner").select("crawl_job_id", "page_id", "old", F.col("jumped").alias("label")))
         changed = not fresh.where("label <> old").isEmpty()
         scratch.drop(labels)
         labels = fresh
         if not changed:
-            return labels.select("crawl_job_id", "page_id", F.col("label").alias("cluster_id"))
+            return small.unionByName(labels.select("crawl_job_id", "page_id", F.col("label").alias("cluster_id")))
 
 
 def shortest_path_shares(nodes: list[int], neighbors: dict[int, list[int]]) -> dict[int, float]:
@@ -113,9 +182,9 @@ def shortest_path_shares(nodes: list[int], neighbors: dict[int, list[int]]) -> d
 def betweenness(edges: DataFrame, pages: DataFrame, max_pages: int = DEFAULTS.betweenness_max_pages) -> DataFrame:
     """(crawl_job_id, page_id, betweenness); null for jobs of more than ``max_pages`` pages, so a task holds a bounded graph."""
     size = pages.groupBy("crawl_job_id").agg(F.count(F.lit(1)).alias("n"))
-    nodes = pages.select("crawl_job_id", F.col("id").alias("u")).join(F.broadcast(size), "crawl_job_id")
+    nodes = pages.select("crawl_job_id", F.col("id").alias("u")).join(size, "crawl_job_id")
     small = nodes.where(F.col("n") <= max_pages).select("crawl_job_id", "u", F.lit(None).cast("long").alias("v"))
-    pairs = ranked_edges(edges, pages).select("crawl_job_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(F.broadcast(size.where(F.col("n") <= max_pages)), "crawl_job_id", "left_semi")
+    pairs = ranked_edges(edges, pages).select("crawl_job_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(size.where(F.col("n") <= max_pages), "crawl_job_id", "left_semi")
 
     def paths(pdf):
         import pandas as pd

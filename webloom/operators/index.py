@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,14 +11,23 @@ from pyspark.sql import functions as F
 from webloom.config import DEFAULTS
 from webloom.functions.text import search_terms
 from webloom.operators.skew import keyed_lookup
+from webloom.session import Scratch
 
 
-@dataclass(frozen=True)
 class Index:
-    """``postings`` (crawl_job_id, page_id, term, tf) of live pages; ``lengths`` (crawl_job_id, page_id, token_count, live) of all pages."""
+    """``postings`` (crawl_job_id, page_id, term, tf, token_count) of live pages; ``lengths`` (crawl_job_id, page_id, token_count, live) of all pages.
 
-    postings: DataFrame
-    lengths: DataFrame
+    A posting holds its page's length, so that ranking joins no table of pages.
+    ``postings`` may be a function that makes them: it is called once, when
+    they are first asked for.
+    """
+
+    def __init__(self, postings: DataFrame | Callable[[], DataFrame], lengths: DataFrame) -> None:
+        self._postings, self.lengths = postings, lengths
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return self._postings() if callable(self._postings) else self._postings
 
     def frequencies(self) -> DataFrame:
         """(term, document_frequency) over all jobs."""
@@ -50,11 +60,22 @@ def live_pages(terms: DataFrame) -> DataFrame:
     return found.withColumn("live", live).withColumn("token_count", F.when(live, F.col("own_count")).otherwise(0)).drop("keeper")
 
 
+def postings_of(live: DataFrame) -> DataFrame:
+    """The postings of ``live_pages``. A page's counts are combined before they are shuffled."""
+    words = live.where("live").select("crawl_job_id", "page_id", "token_count", F.explode("terms").alias("term"))
+    return words.groupBy("crawl_job_id", "page_id", "token_count", "term").agg(F.count(F.lit(1)).alias("tf")).select("crawl_job_id", "page_id", "term", "tf", "token_count")
+
+
 def build_index(pages: DataFrame, title_weight: int = DEFAULTS.title_weight) -> Index:
-    """The index of all pages. A page's counts are combined before they are shuffled."""
-    live = live_pages(page_terms(pages, title_weight))
-    postings = live.where("live").select("crawl_job_id", "page_id", F.explode("terms").alias("term")).groupBy("crawl_job_id", "page_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return Index(postings, live.select("crawl_job_id", "page_id", "token_count", "live"))
+    """The index of all pages, written to the shared folder.
+
+    Each text is made into terms once; what is read later are the terms, the
+    lengths and the postings as written, the latter clustered by term so that a
+    search reads few row groups.
+    """
+    scratch = Scratch(pages.sparkSession, "index")
+    live = scratch.keep(live_pages(scratch.keep(page_terms(pages, title_weight))))
+    return Index(lambda: scratch.keep(postings_of(live).sortWithinPartitions("term")), live.select("crawl_job_id", "page_id", "token_count", "live"))
 
 
 def pages_indexed(index: Index) -> DataFrame:

@@ -42,7 +42,7 @@ def ranked_pages(index: Index, query: str, crawl_job_id: int | None = None, limi
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # one row for the corpus and one a query term: both are broadcast whatever the corpus' size
     weights = F.broadcast(df.join(F.broadcast(asked), "term").crossJoin(F.broadcast(stats)).withColumn("idf", bm25_idf(F.col("n_docs"), F.col("df"))).where("idf > 0"))
-    scored = hits.join(weights, "term").join(lengths.select("page_id", "token_count"), "page_id")
+    scored = hits.join(weights, "term")
     part = F.col("times") * bm25_term(F.col("idf"), F.col("tf"), F.col("token_count"), F.col("avg_length"))
     ranked = scored.groupBy("page_id", "crawl_job_id").agg(F.sum(part).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms")).orderBy(F.desc("score"), "page_id")
     return ranked.limit(limit) if limit is not None else ranked

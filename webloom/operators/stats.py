@@ -45,6 +45,18 @@ def totals(pages: DataFrame, errors: DataFrame) -> DataFrame:
     )
 
 
+def open_work(pages: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row: pages fetched and not indexed yet, rows of errors that are skips, and timeouts."""
+    p = pages.agg(F.count_if(F.col("fetched_at").isNotNull() & F.col("indexed_at").isNull()).alias("pending"))
+    kind = F.col("error_type")
+    return p.crossJoin(F.broadcast(errors.agg(F.count_if(kind.isin(*SKIPPED, *REJECTED)).alias("skipped_rows"), F.count_if(kind == "timeout").alias("timeouts"))))
+
+
+def index_size(postings: DataFrame) -> DataFrame:
+    """One row: different terms, and postings. Terms are counted from their partial counts."""
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("unique_terms"), F.coalesce(F.sum("n"), F.lit(0)).alias("postings"))
+
+
 def lengths(pages: DataFrame) -> DataFrame:
     """Mean, median and 95th percentile of lengths in terms over pages indexed with terms."""
     return pages.where("indexed_at is not null and token_count > 0").agg(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from webloom.functions.text import STOPWORDS, terms_of
-
 QUERY, WORDS, JOB = "crawler index crawler budget", "query index cache", 1
 
-_STOP = "(" + ",".join(f"'{w}'" for w in sorted(STOPWORDS)) + ")"
+# Words that are no search terms, stated anew so that the SQL stands by itself.
+_STOP_WORDS = (
+    "a an and are as at be but by for from has have he her hers him his i if in into is it its me my not of on or our ours she so "
+    "that the their theirs them then there these they this those to too us was we were what when where which who will with you your yours"
+)
+_STOP = "(" + ",".join(f"'{w}'" for w in _STOP_WORDS.split()) + ")"
 
 
 def _fold(c: str) -> str:
@@ -33,7 +36,7 @@ post as (select crawl_job_id, page_id, term, count(*) as tf from (select crawl_j
 def _asked(query: str) -> str:
     from collections import Counter
 
-    rows = ", ".join(f"('{w}', {n})" for w, n in sorted(Counter(terms_of(query)).items()))
+    rows = ", ".join(f"('{w}', {n})" for w, n in sorted(Counter(query.split()).items()))
     return f"asked as (select * from (values {rows}) v(term, times))"
 
 
@@ -76,7 +79,7 @@ pr(k, crawl_job_id, page_id, n, spreads, r) as (
   from pr c
   left join (select q.crawl_job_id, mv.v, sum(mv.p * q.r) as flow from pr q join mv on mv.crawl_job_id = q.crawl_job_id and mv.u = q.page_id group by all) f on f.crawl_job_id = c.crawl_job_id and f.v = c.page_id
   left join (select crawl_job_id, sum(r) as dangling from pr where not spreads group by all) d on d.crawl_job_id = c.crawl_job_id
-  where c.k < 20)"""
+  where c.k < 200)"""
 
 
 _DEGREES = f"""{_RANKED_EDGES},
@@ -193,7 +196,7 @@ SQL: dict[str, str] = {
           when t = 'near_duplicate' and ev->>'$.kind' = 'high_similarity' then 'Near duplicate. Very high content similarity' || coalesce(' (similarity ' || sim || ')', '') || '.'
           else 'Related by ' || t || ' with strength ' || strength || '.' end as reason from y""",
     "graph_degrees": f"with {_DEGREES} select crawl_job_id, page_id, in_degree, out_degree from deg",
-    "graph_pagerank": f"with recursive {_pagerank()} select crawl_job_id, page_id, round(r, 9) as pagerank from pr where k = 20",
+    "graph_pagerank": f"with recursive {_pagerank()} select crawl_job_id, page_id, round(r, 9) as pagerank from pr where k = 200",
     "graph_wcc": f"with recursive {_CLUSTERS} select * from clusters",
     "bfs_bounded": f"with {_CENTER} select page_id, hops::int as hops from reached",
     "induced_subgraph": f"with {_CENTER} select id, source_page_id, target_page_id, edge_type from page_graph_edges where crawl_job_id = {JOB} and source_page_id in (select page_id from reached) and target_page_id in (select page_id from reached)",
@@ -208,7 +211,7 @@ SQL: dict[str, str] = {
     "health_duplicate_clusters": f"""with e as (select *, row_number() over (partition by source_page_id order by weight, target_page_id, id) as k, count(*) over (partition by source_page_id) as copies from page_graph_edges where crawl_job_id = {JOB} and edge_type = 'near_duplicate')
         select source_page_id as canonical_id, any_value(copies) as copies, string_agg(target_page_id::varchar, ',' order by k) filter (where k <= 12) as neighbors from e group by source_page_id order by 2 desc, 1 limit 20""",
     "health_hubs": f"with {_DEGREES} select d.page_id, p.url, d.out_degree as value from deg d join pages p on p.id = d.page_id where d.crawl_job_id = {JOB} order by out_degree desc, d.page_id limit 15",
-    "health_top_pagerank": f"with recursive {_pagerank(f'where p.crawl_job_id = {JOB}')} select page_id, p.url, round(r, 9) as value from pr join pages p on p.id = pr.page_id where k = 20 and pr.crawl_job_id = {JOB} order by r desc, page_id limit 15",
+    "health_top_pagerank": f"with recursive {_pagerank(f'where p.crawl_job_id = {JOB}')} select page_id, p.url, round(r, 9) as value from pr join pages p on p.id = pr.page_id where k = 200 and pr.crawl_job_id = {JOB} order by r desc, page_id limit 15",
     "health_most_linked": f"select e.target_page_id as page_id, p.url, count(*) as links from page_graph_edges e join pages p on p.id = e.target_page_id and p.crawl_job_id = {JOB} where e.crawl_job_id = {JOB} and edge_type = 'link' group by all order by links desc, page_id limit 15",
     "health_clusters_large": f"""with recursive {_CLUSTERS}, big as (select cluster_id, count(*) as size, min(page_id) as smallest_page from clusters where crawl_job_id = {JOB} group by cluster_id order by size desc, cluster_id limit 12),
         few as (select c.cluster_id, p.url, row_number() over (partition by c.cluster_id order by c.page_id) as k from clusters c join pages p on p.id = c.page_id where c.crawl_job_id = {JOB})
@@ -253,6 +256,52 @@ SQL: dict[str, str] = {
     "stale_jobs": "select id, case when status = 'running' and started_at < timestamp '2024-12-31 23:50:00' then 'failed' else status end as status from crawl_jobs",
 }
 
+_JOB_PAGERANK = _pagerank(f"where p.crawl_job_id = {JOB}")
+
+SQL |= {
+    "stats_open_work": "select (select count(*) from pages where fetched_at is not null and indexed_at is null) as pending, count(*) filter (where error_type in ('robots_disallow', 'not_indexable', 'oversized')) as skipped_rows, count(*) filter (where error_type = 'timeout') as timeouts from crawl_errors",
+    "stats_index_size": f"with {_PAGES} select count(distinct term) as unique_terms, count(*) as postings from post",
+    "frontier_of_jobs": """with least_ as (select crawl_job_id, target_normalized_url as url, min(depth) as depth from page_links where is_crawl_eligible and target_normalized_url is not null group by all)
+        select l.crawl_job_id, l.url, l.depth from least_ l join crawl_jobs j on j.id = l.crawl_job_id and j.pages_crawled < j.max_pages and l.depth <= j.max_depth
+        where not exists (select 1 from pages p where p.crawl_job_id = l.crawl_job_id and p.normalized_url = l.url)""",
+    "health_authorities": f"""with recursive {_JOB_PAGERANK},
+        ind as (select p.id as page_id, (select count(*) from re where re.v = p.id and re.crawl_job_id = {JOB}) as n from pages p where p.crawl_job_id = {JOB}),
+        both_ as ((select 0 as l, row_number() over (order by n desc, page_id) as k, page_id from ind) union all (select 1, row_number() over (order by r desc, page_id), page_id from pr where k = 200 and crawl_job_id = {JOB})),
+        once as (select page_id, min(l * 1000 + k) as o from both_ where k <= 15 group by page_id)
+        select row_number() over (order by o) as rank, o.page_id, p.url from once o join pages p on p.id = o.page_id qualify row_number() over (order by o) <= 15""",
+    "graph_query_nodes": f"""with {_bm25(WORDS, JOB)}, seed as (select page_id from ranked order by score desc, page_id limit 10),
+        nx as (select source_page_id as a, target_page_id as b from page_graph_edges where crawl_job_id = {JOB} and edge_type in ('link', 'url_hierarchy', 'content_similarity') and source_page_id <> target_page_id
+               union select target_page_id, source_page_id from page_graph_edges where crawl_job_id = {JOB} and edge_type in ('link', 'url_hierarchy', 'content_similarity') and source_page_id <> target_page_id),
+        own as (select id from pages where crawl_job_id = {JOB}),
+        h1 as (select b as page_id from (select distinct b from nx where a in (select page_id from seed) and b in (select id from own) and b not in (select page_id from seed)) qualify row_number() over (order by b) <= 100 - (select count(*) from seed)),
+        s1 as (select page_id, 0 as hops from seed union all select page_id, 1 from h1),
+        h2 as (select b as page_id from (select distinct b from nx where a in (select page_id from h1) and b in (select id from own) and b not in (select page_id from s1)) qualify row_number() over (order by b) <= 100 - (select count(*) from s1)),
+        every as (select * from s1 union all select page_id, 2 from h2),
+        nd as (select source_page_id as a, target_page_id as b from page_graph_edges where crawl_job_id = {JOB} and edge_type = 'near_duplicate' and source_page_id <> target_page_id)
+        select page_id, hops::int as hops, case when page_id in (select page_id from seed) then 'query_match'
+          when page_id in (select b from nd where a in (select page_id from seed) union all select a from nd where b in (select page_id from seed)) then 'duplicate' else 'related_neighbor' end as role from every""",
+    "rerank_graph": f"""with recursive {_JOB_PAGERANK}, {_bm25(WORDS, JOB)},
+        pool as (select page_id, score, row_number() over (order by score desc, page_id) as place from ranked qualify row_number() over (order by score desc, page_id) <= 600),
+        own as (select source_page_id as s, target_page_id as t, edge_type, weight from page_graph_edges where crawl_job_id = {JOB} and source_page_id <> target_page_id),
+        ends as (select s as a, t as b, weight from own union all select t, s, weight from own),
+        there as (select id as page_id, content_hash from pages where crawl_job_id = {JOB}),
+        wide as (select page_id from pool where place <= 200 union select b from ends where a in (select page_id from pool where place <= 200) and b in (select page_id from there)),
+        kept as (select w.page_id, coalesce(score, 0) as bm25, coalesce(place <= 15, false) as seed from wide w left join pool using (page_id)
+                 qualify row_number() over (order by coalesce(place <= 15, false) desc, score is not null desc, score desc nulls last, page_id desc) <= 200),
+        sup as (select h.b as page_id, sum(h.w * ln(1 + greatest(k.bm25, 1e-9))) as support from (select a, b, max(weight) as w from ends group by a, b) h join kept k on k.page_id = h.a and k.seed where h.b in (select page_id from kept) group by h.b),
+        cp as (select case when x.bm25 < y.bm25 then o.s when y.bm25 < x.bm25 then o.t else greatest(o.s, o.t) end as page_id, case when x.bm25 = y.bm25 then o.weight / 2 else o.weight end as penalty
+               from own o join kept x on x.page_id = o.s join kept y on y.page_id = o.t where edge_type = 'near_duplicate'),
+        hp as (select k.page_id, 1.0::double as penalty from kept k join there using (page_id) where content_hash is not null qualify row_number() over (partition by content_hash order by bm25 desc, k.page_id) > 1),
+        pen as (select page_id, sum(penalty) as penalty from (select * from cp union all select * from hp) group by page_id),
+        f as (select k.page_id, k.bm25, p.r as pagerank, coalesce(s.support, 0) as support, coalesce(n.penalty, 0) as penalty from kept k left join sup s using (page_id) left join pen n using (page_id) left join (select page_id, r from pr where k = 200) p using (page_id)),
+        z as (select *, min(bm25) over () as b0, max(bm25) over () as b1, min(pagerank) over () as r0, max(pagerank) over () as r1, min(support) over () as s0, max(support) over () as s1, min(penalty) over () as p0, max(penalty) over () as p1 from f),
+        n as (select page_id, bm25, penalty, case when b1 > b0 then (bm25 - b0) / (b1 - b0) else 0 end as bm25_norm, coalesce(case when r1 > r0 then (pagerank - r0) / (r1 - r0) else 0 end, 0) as pagerank_norm,
+                case when s1 > s0 then (support - s0) / (s1 - s0) else 0 end as support_norm, case when p1 > p0 then (penalty - p0) / (p1 - p0) else 0 end as penalty_norm from z),
+        e as (select *, bm25_norm + 0.12 * pagerank_norm + 0.18 * support_norm - 0.25 * penalty_norm as final_score from n)
+        select page_id, round(final_score, 6) as final_score, round(bm25, 6) as bm25, round(bm25_norm, 6) as bm25_norm, round(pagerank_norm, 6) as pagerank_norm, round(support_norm, 6) as support_norm, round(penalty, 6) as penalty, round(penalty_norm, 6) as penalty_norm
+        from e order by e.final_score desc, page_id limit 20""",
+}
+
 _ORPHANS = f"""l as (select distinct l.id as link_id, l.crawl_job_id as job, strftime(s.created_at, '%Y-%m') as period, l.target_page_id as tid, case when l.target_page_id is null then {_canonical('l.target_normalized_url')} end as u
         from page_links l join pages s on s.id = l.source_page_id where l.target_page_id is not null or (l.is_crawl_eligible and l.target_normalized_url is not null)),
     since_id as (select crawl_job_id as job, id, min(strftime(created_at, '%Y-%m')) as m from pages group by all),

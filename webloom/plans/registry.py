@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from webloom.functions import html, reasons, text, urls
 from webloom.operators import curate, edges, frontier, graph, health, jobs, orphans, rerank, search, stats
-from webloom.operators.index import build_index, live_pages, page_terms, pages_indexed
+from webloom.operators.index import Index, build_index, live_pages, page_terms, pages_indexed
+from webloom.operators.skew import keyed_lookup
 from webloom.plans import oracle
-from webloom.session import Scratch
 from webloom.sources import fetch, robots
 
 #: The queries' search words and job.
@@ -19,6 +19,7 @@ QUERY, WORDS, JOB = oracle.QUERY, oracle.WORDS, oracle.JOB
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
+_INDEXES: dict[tuple, Index] = {}
 
 
 class _Tables:
@@ -30,6 +31,18 @@ class _Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def index(self) -> Index:
+        """The stored index of the folder's pages, built once a session for the files as they are."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/pages.parquet")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/pages.parquet*/*"))
+        own = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        files = tuple((str(x.getPath()), x.getLen(), x.getModificationTime()) for x in (own, *found))
+        key = (self.spark.sparkContext.applicationId, files)
+        if key not in _INDEXES:
+            _INDEXES[key] = build_index(self.pages)
+        return _INDEXES[key]
+
 
 def _query(f: Callable[[_Tables], DataFrame]) -> Callable[[_Tables], DataFrame]:
     _QUERIES[f.__name__] = lambda spark, folder: f(_Tables(spark, folder))
@@ -65,17 +78,17 @@ def tokenize_documents(t):
 
 @_query
 def index_postings(t):
-    return build_index(t.pages).postings
+    return build_index(t.pages).postings.drop("token_count")
 
 
 @_query
 def term_df(t):
-    return build_index(t.pages).frequencies()
+    return t.index.frequencies()
 
 
 @_query
 def page_lengths(t):
-    return build_index(t.pages).lengths
+    return t.index.lengths
 
 
 @_query
@@ -85,13 +98,13 @@ def dedupe_first_per_hash(t):
 
 @_query
 def corpus_stats(t):
-    index = build_index(t.pages)
+    index = t.index
     return index.stats(by_job=True).select("crawl_job_id", "n_docs", F.round("avg_length", 6).alias("avg_length"))
 
 
 @_query
 def pages_indexed_by_job(t):
-    return pages_indexed(build_index(t.pages))
+    return pages_indexed(t.index)
 
 
 # search
@@ -103,29 +116,29 @@ def _ranked(ranked):
 
 @_query
 def bm25_scoped(t):
-    return _ranked(search.ranked_pages(build_index(t.pages), QUERY, JOB))
+    return _ranked(search.ranked_pages(t.index, QUERY, JOB))
 
 
 @_query
 def bm25_global(t):
-    return _ranked(search.ranked_pages(build_index(t.pages), QUERY))
+    return _ranked(search.ranked_pages(t.index, QUERY))
 
 
 @_query
 def search_global_top(t):
-    return search.search_results(build_index(t.pages), t.pages, QUERY, None, 20).select("rank", "page_id", "url", F.array_join("matched_terms", " ").alias("matched_terms"))
+    return search.search_results(t.index, t.pages, QUERY, None, 20).select("rank", "page_id", "url", F.array_join("matched_terms", " ").alias("matched_terms"))
 
 
 @_query
 def search_snippet(t):
-    return search.search_results(build_index(t.pages), t.pages, QUERY, JOB, 20)
+    return search.search_results(t.index, t.pages, QUERY, JOB, 20)
 
 
 def _hits(t):
     """The job's result page: (page_id, rank)."""
     from pyspark.sql import Window
 
-    top = search.ranked_pages(build_index(t.pages), WORDS, JOB, 100)
+    top = search.ranked_pages(t.index, WORDS, JOB, 100)
     return top.select("page_id", F.row_number().over(Window.orderBy(F.desc("score"), "page_id")).alias("rank"))
 
 
@@ -151,8 +164,8 @@ def duplicate_collapse(t):
 def rerank_graph(t):
     e = t.page_graph_edges.where(F.col("crawl_job_id") == JOB)
     own = t.pages.where(F.col("crawl_job_id") == JOB)
-    ranks = graph.pagerank(e, own, rounds=20, tolerance=0.0)
-    return rerank.reranked(build_index(t.pages), t.pages, t.page_graph_edges, ranks, WORDS, JOB, 20)
+    ranks = graph.pagerank(e, own)
+    return rerank.reranked(t.index, t.pages, t.page_graph_edges, ranks, WORDS, JOB, 20).drop("explanation")
 
 
 # URLs and HTML
@@ -232,9 +245,7 @@ def url_hierarchy_site_tree(t):
 
 @_query
 def content_similarity_edges(t):
-    index = build_index(t.pages)
-    postings = Scratch(t.spark, "similarity").keep(index.postings)
-    built = edges.similarity_edges(type(index)(postings, index.lengths))
+    built = edges.similarity_edges(t.index)
     return built.select("crawl_job_id", "source_page_id", "target_page_id", F.round("weight", 6).alias("weight"), F.size("evidence.shared_terms").cast("long").alias("n_shared"))
 
 
@@ -245,9 +256,7 @@ def near_duplicate_hash_edges(t):
 
 @_query
 def near_duplicate_similarity_edges(t):
-    index = build_index(t.pages)
-    postings = Scratch(t.spark, "duplicates").keep(index.postings)
-    return _edges(edges.similarity_duplicate_edges(type(index)(postings, index.lengths), t.pages, t.page_links))
+    return _edges(edges.similarity_duplicate_edges(t.index, t.pages, t.page_links))
 
 
 @_query
@@ -270,7 +279,7 @@ def graph_degrees(t):
 
 @_query
 def graph_pagerank(t):
-    ranks = graph.pagerank(t.page_graph_edges, t.pages, rounds=20, tolerance=0.0)
+    ranks = graph.pagerank(t.page_graph_edges, t.pages)
     return ranks.select("crawl_job_id", "page_id", F.round("pagerank", 9).alias("pagerank"))
 
 
@@ -318,16 +327,16 @@ def clusters_page(t):
 
 @_query
 def graph_query_best_job(t):
-    return graph.best_job(search.ranked_pages(build_index(t.pages), QUERY, None, 50), t.crawl_jobs).select("crawl_job_id", F.round("total_score", 6).alias("total_score"), "hits")
+    return graph.best_job(search.ranked_pages(t.index, QUERY, None, 50), t.crawl_jobs).select("crawl_job_id", F.round("total_score", 6).alias("total_score"), "hits")
 
 
 @_query
 def graph_query_nodes(t):
-    return graph.graph_query(build_index(t.pages), t.pages, t.page_graph_edges, t.crawl_jobs, WORDS, JOB, radius=2, max_nodes=100).select("page_id", "hops", "role")
+    return graph.graph_query(t.index, t.pages, t.page_graph_edges, t.crawl_jobs, WORDS, JOB, radius=2, max_nodes=100).select("page_id", "hops", "role")
 
 
 def _curated(t):
-    nodes = graph.graph_query(build_index(t.pages), t.pages, t.page_graph_edges, t.crawl_jobs, WORDS, JOB, radius=2, max_nodes=100)
+    nodes = graph.graph_query(t.index, t.pages, t.page_graph_edges, t.crawl_jobs, WORDS, JOB, radius=2, max_nodes=100)
     own = t.page_graph_edges.where(F.col("crawl_job_id") == JOB)
     return nodes, curate.shown_edges(own, nodes, ("link", "url_hierarchy", "content_similarity", "near_duplicate"), 0.0, own.count())
 
@@ -350,7 +359,7 @@ def curate_edges(t):
 def _metrics(t):
     own = t.pages.where(F.col("crawl_job_id") == JOB)
     e = t.page_graph_edges.where(F.col("crawl_job_id") == JOB)
-    return graph.degrees(e, own).join(graph.pagerank(e, own, rounds=20, tolerance=0.0), ["crawl_job_id", "page_id"])
+    return graph.degrees(e, own).join(graph.pagerank(e, own), ["crawl_job_id", "page_id"])
 
 
 @_query
@@ -404,6 +413,16 @@ def stats_totals(t):
     return s.select("pages", "indexed", "domains", "errors", "skipped", "policy_rejected", "failed_urls", "rate_limited", "attempted", "fetch_failures", F.round("success_rate", 9).alias("success_rate"), F.round("index_coverage", 9).alias("index_coverage"), "last_indexed")
 
 
+@_query
+def stats_open_work(t):
+    return stats.open_work(t.pages, t.crawl_errors)
+
+
+@_query
+def stats_index_size(t):
+    return stats.index_size(t.index.postings)
+
+
 @_query
 def stats_lengths(t):
     return stats.lengths(t.pages).select(F.round("mean_tokens", 6).alias("mean_tokens"), "median_tokens", F.round("p95_tokens", 6).alias("p95_tokens"))
@@ -535,10 +554,15 @@ def frontier_round(t):
     return frontier.next_frontier(t.page_links, seen, 3)
 
 
+@_query
+def frontier_of_jobs(t):
+    return frontier.job_frontier(t.page_links, t.pages.select("crawl_job_id", F.col("normalized_url").alias("url")), t.crawl_jobs)
+
+
 @_query
 def frontier_eligibility(t):
     seeds = t.crawl_jobs.select(F.col("id").alias("crawl_job_id"), "normalized_seed_url", "same_domain_only")
-    marked = t.page_links.join(seeds, "crawl_job_id")
+    marked = keyed_lookup(t.page_links, seeds, ["crawl_job_id"], "inner")
     return marked.select("id", frontier.eligible(F.col("target_normalized_url"), F.col("normalized_seed_url"), F.col("same_domain_only")).alias("eligible")).distinct()
 
 

@@ -13,3 +13,4 @@ EDGES = f"crawl_job_id bigint, source_page_id bigint, target_page_id bigint, edg
 PAGE_GRAPH_CLUSTERS = "crawl_job_id bigint, page_id bigint, cluster_id bigint, cluster_label string"
 PAGE_GRAPH_METRICS = "crawl_job_id bigint, page_id bigint, pagerank double, in_degree bigint, out_degree bigint, betweenness double, closeness double"
 SEARCH_QUERIES = "id bigint, query string, result_count int, latency_ms int, created_at timestamp"
+PAGE_GRAPH_EDGES = "id bigint, crawl_job_id bigint, source_page_id bigint, target_page_id bigint, edge_type string, weight double, evidence string, created_at timestamp, updated_at timestamp"

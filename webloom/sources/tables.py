@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from webloom.session import Scratch
+
 
 class Tables:
     """The tables of one folder, ``<folder>/<name>.parquet``."""
@@ -40,11 +44,13 @@ class Tables:
         fresh = rows.dropDuplicates(key)
         if self.exists(name):
             fresh = fresh.join(self.read(name).select(*key).distinct(), key, "left_anti")
-        fresh = fresh.cache()
+        # written elsewhere first: the plan reads the table that it is appended to
+        scratch = Scratch(self.spark, "append")
+        fresh = scratch.keep(fresh)
         n = fresh.count()
         if n:
             self.append(name, fresh)
-        fresh.unpersist()
+        scratch.drop(fresh)
         return n
 
     def replace_jobs(self, name: str, rows: DataFrame, key: str = "crawl_job_id") -> None:
@@ -74,10 +80,19 @@ def keep_latest(rows: DataFrame, key: list[str], order: list) -> DataFrame:
 
 
 def log_search(tables: Tables, query: str, result_count: int, latency_ms: int, now) -> None:
-    """Appends one search to the log, its query trimmed."""
+    """Appends one search to the log, its query trimmed; see ``log_searches`` for many."""
+    log_searches(tables, [(query, result_count, latency_ms, now)])
+
+
+def log_searches(tables: Tables, rows: list[tuple]) -> None:
+    """Appends searches (query, result_count, latency_ms, created_at) in one file.
+
+    Ids are random and positive, so that writers need not read the table or
+    wait for each other; ``created_at`` gives the order.
+    """
     spark = tables.spark
-    next_id = (tables.read("search_queries").agg(F.max("id")).first()[0] or 0) + 1 if tables.exists("search_queries") else 1
-    tables.append("search_queries", spark.createDataFrame([(next_id, query.strip(), result_count, latency_ms, now)], "id bigint, query string, result_count int, latency_ms int, created_at timestamp"))
+    named = [(uuid.uuid4().int >> 65, q.strip(), n, ms, at) for q, n, ms, at in rows]
+    tables.append("search_queries", spark.createDataFrame(named, "id bigint, query string, result_count int, latency_ms int, created_at timestamp"))
 
 
 def reset_search_log(tables: Tables, allowed: bool) -> int:
