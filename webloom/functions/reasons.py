@@ -1,4 +1,4 @@
-"""One-line explanations of edges and scores."""
+"""One-line explanations of edges and scores. The sentences are fixed values: readers of the stored data know them."""
 
 from __future__ import annotations
 

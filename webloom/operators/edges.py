@@ -14,6 +14,9 @@ from webloom.schemas import EVIDENCE
 _KEY = ["crawl_job_id", "source_page_id", "target_page_id", "edge_type"]
 
 
+# The names of sources and kinds below are fixed values of the stored evidence.
+
+
 def _evidence(**fields: Column | str) -> Column:
     names = {"source": "string", "child_path": "string", "parent_path": "string", "kind": "string", "content_hash": "string", "similarity": "double", "shared_terms": "array<string>"}
     return F.struct(*[(fields[n] if isinstance(fields.get(n), Column) else F.lit(fields.get(n))).cast(t).alias(n) for n, t in names.items()]).cast(EVIDENCE)

@@ -75,7 +75,7 @@ def small_clusters(clusters: DataFrame, job: int, most: int = 3, limit: int = SH
 
 
 def messages(pages: DataFrame, edges: DataFrame, job: int | None) -> list[str]:
-    """What a reader should know first; ``None`` asks for no job."""
+    """What a reader should know first; ``None`` asks for no job. The sentences are fixed values."""
     if job is None:
         return ["Pass job_id to load graph health for a crawl job."]
     out = []

@@ -258,6 +258,18 @@ SQL: dict[str, str] = {
 
 _JOB_PAGERANK = _pagerank(f"where p.crawl_job_id = {JOB}")
 
+_NODES = f"""{_bm25(WORDS, JOB)}, seed as (select page_id from ranked order by score desc, page_id limit 10),
+        nx as (select source_page_id as a, target_page_id as b from page_graph_edges where crawl_job_id = {JOB} and edge_type in ('link', 'url_hierarchy', 'content_similarity') and source_page_id <> target_page_id
+               union select target_page_id, source_page_id from page_graph_edges where crawl_job_id = {JOB} and edge_type in ('link', 'url_hierarchy', 'content_similarity') and source_page_id <> target_page_id),
+        own as (select id from pages where crawl_job_id = {JOB}),
+        h1 as (select b as page_id from (select distinct b from nx where a in (select page_id from seed) and b in (select id from own) and b not in (select page_id from seed)) qualify row_number() over (order by b) <= 100 - (select count(*) from seed)),
+        s1 as (select page_id, 0 as hops from seed union all select page_id, 1 from h1),
+        h2 as (select b as page_id from (select distinct b from nx where a in (select page_id from h1) and b in (select id from own) and b not in (select page_id from s1)) qualify row_number() over (order by b) <= 100 - (select count(*) from s1)),
+        every as (select * from s1 union all select page_id, 2 from h2),
+        nd as (select source_page_id as a, target_page_id as b from page_graph_edges where crawl_job_id = {JOB} and edge_type = 'near_duplicate' and source_page_id <> target_page_id),
+        nodes as (select page_id, hops, case when page_id in (select page_id from seed) then 'query_match'
+          when page_id in (select b from nd where a in (select page_id from seed) union all select a from nd where b in (select page_id from seed)) then 'duplicate' else 'related_neighbor' end as role from every)"""
+
 SQL |= {
     "stats_open_work": "select (select count(*) from pages where fetched_at is not null and indexed_at is null) as pending, count(*) filter (where error_type in ('robots_disallow', 'not_indexable', 'oversized')) as skipped_rows, count(*) filter (where error_type = 'timeout') as timeouts from crawl_errors",
     "stats_index_size": f"with {_PAGES} select count(distinct term) as unique_terms, count(*) as postings from post",
@@ -269,17 +281,14 @@ SQL |= {
         both_ as ((select 0 as l, row_number() over (order by n desc, page_id) as k, page_id from ind) union all (select 1, row_number() over (order by r desc, page_id), page_id from pr where k = 200 and crawl_job_id = {JOB})),
         once as (select page_id, min(l * 1000 + k) as o from both_ where k <= 15 group by page_id)
         select row_number() over (order by o) as rank, o.page_id, p.url from once o join pages p on p.id = o.page_id qualify row_number() over (order by o) <= 15""",
-    "graph_query_nodes": f"""with {_bm25(WORDS, JOB)}, seed as (select page_id from ranked order by score desc, page_id limit 10),
-        nx as (select source_page_id as a, target_page_id as b from page_graph_edges where crawl_job_id = {JOB} and edge_type in ('link', 'url_hierarchy', 'content_similarity') and source_page_id <> target_page_id
-               union select target_page_id, source_page_id from page_graph_edges where crawl_job_id = {JOB} and edge_type in ('link', 'url_hierarchy', 'content_similarity') and source_page_id <> target_page_id),
-        own as (select id from pages where crawl_job_id = {JOB}),
-        h1 as (select b as page_id from (select distinct b from nx where a in (select page_id from seed) and b in (select id from own) and b not in (select page_id from seed)) qualify row_number() over (order by b) <= 100 - (select count(*) from seed)),
-        s1 as (select page_id, 0 as hops from seed union all select page_id, 1 from h1),
-        h2 as (select b as page_id from (select distinct b from nx where a in (select page_id from h1) and b in (select id from own) and b not in (select page_id from s1)) qualify row_number() over (order by b) <= 100 - (select count(*) from s1)),
-        every as (select * from s1 union all select page_id, 2 from h2),
-        nd as (select source_page_id as a, target_page_id as b from page_graph_edges where crawl_job_id = {JOB} and edge_type = 'near_duplicate' and source_page_id <> target_page_id)
-        select page_id, hops::int as hops, case when page_id in (select page_id from seed) then 'query_match'
-          when page_id in (select b from nd where a in (select page_id from seed) union all select a from nd where b in (select page_id from seed)) then 'duplicate' else 'related_neighbor' end as role from every""",
+    "graph_query_nodes": f"with {_NODES} select page_id, hops::int as hops, role from nodes",
+    "curate_forced_edges": f"""with {_NODES},
+        shown as (select e.* from page_graph_edges e, (select count(*) as n from page_graph_edges where crawl_job_id = {JOB}) t where crawl_job_id = {JOB} and source_page_id <> target_page_id
+          and edge_type in ('link', 'url_hierarchy', 'content_similarity', 'near_duplicate') and weight >= case when edge_type <> 'content_similarity' then 0 when n > 500 then 0.35 when n > 300 then 0.28 else 0 end),
+        br as (select s.id, s.edge_type, s.weight, case when a.role = 'query_match' then s.target_page_id else s.source_page_id end as related from shown s join nodes a on a.page_id = s.source_page_id join nodes b on b.page_id = s.target_page_id
+          where (a.role = 'query_match' and b.role = 'related_neighbor') or (a.role = 'related_neighbor' and b.role = 'query_match'))
+        select id from (select id from br where edge_type in ('link', 'url_hierarchy') qualify row_number() over (partition by related order by case edge_type when 'link' then 0 else 1 end, weight desc, id) <= 2)
+        union select id from (select id from br where edge_type in ('content_similarity', 'near_duplicate') qualify row_number() over (partition by related order by weight desc, id) <= 1)""",
     "rerank_graph": f"""with recursive {_JOB_PAGERANK}, {_bm25(WORDS, JOB)},
         pool as (select page_id, score, row_number() over (order by score desc, page_id) as place from ranked qualify row_number() over (order by score desc, page_id) <= 600),
         own as (select source_page_id as s, target_page_id as t, edge_type, weight from page_graph_edges where crawl_job_id = {JOB} and source_page_id <> target_page_id),
