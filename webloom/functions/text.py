@@ -68,7 +68,7 @@ def search_terms(text: Column, stopwords: Iterable[str] = (), min_len: int = 2,
     spelt = F.when(folded_text.rlike(_ANY_SPELLING), spelt).otherwise(folded_text)
     stop = sorted(STOPWORDS | {fold_text(w) for w in stopwords})
     words = F.split(spelt, "[^0-9a-z]+")
-    return F.filter(words, lambda w: (F.length(w) >= min_len) & ~w.isin(stop) & (F.lit(True) if keep_numbers else ~w.rlike("^[0-9]*$")))
+    return F.filter(words, lambda w: (F.length(w) >= min_len) & ~w.isin(stop) & (F.lit(True) if keep_numbers else F.translate(w, "0123456789", "") != ""))
 
 
 def collapse_space(text: Column) -> Column:
