@@ -53,44 +53,55 @@ def hierarchy_edges(pages: DataFrame, weight: float = DEFAULTS.hierarchy_weight)
 
 
 def tfidf(index: Index) -> DataFrame:
-    """(crawl_job_id, page_id, term, w, norm, place, left): weights of jobs with two pages of terms at least.
+    """(crawl_job_id, page_id, term, w, norm, place, before, left): weights of jobs with two pages of terms at least.
 
     ``place`` orders a page's terms by weight; ties go to the term that came
-    first: by the first page with it, then by spelling. ``left`` is the sum of
-    the squared weights of the term and of all the page's terms that more pages
-    of the job have.
+    first: by the first page with it, then by spelling. ``before`` is the sum of
+    the squared weights of the terms before it in that order, ``left`` that of
+    the term and of all the page's terms that more pages of the job have.
     """
     postings = index.postings
     docs = postings.select("crawl_job_id", "page_id").distinct().groupBy("crawl_job_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     df = postings.groupBy("crawl_job_id", "term").agg(F.count(F.lit(1)).alias("df"), F.min("page_id").alias("first_page"))
-    weighed = postings.join(docs, "crawl_job_id").join(df, ["crawl_job_id", "term"])
+    weighed = postings.join(docs, "crawl_job_id").join(df.hint("merge"), ["crawl_job_id", "term"])
     weighed = weighed.withColumn("w", F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1)))
     page = Window.partitionBy("crawl_job_id", "page_id")
     square = F.col("w") * F.col("w")
     order = page.orderBy(F.desc("w"), "first_page", "term")
+    before = F.coalesce(F.sum(square).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     common = page.orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    return weighed.select("crawl_job_id", "page_id", "term", "w", F.sqrt(F.sum(square).over(page)).alias("norm"), F.row_number().over(order).alias("place"), F.sum(square).over(common).alias("left"))
+    return weighed.select("crawl_job_id", "page_id", "term", "w", F.sqrt(F.sum(square).over(page)).alias("norm"), F.row_number().over(order).alias("place"), before.alias("before"), F.sum(square).over(common).alias("left"))
 
 
 def similar_pairs(vectors: DataFrame, min_score: float, important: int = DEFAULTS.important_terms, ordered: bool = False) -> DataFrame:
     """(crawl_job_id, source_page_id, target_page_id, score): pairs of at least that cosine.
 
     A target counts if it has one of the source's ``important`` first terms;
-    ``ordered`` looks from the smaller id only. Each page's terms are ordered
-    from the rarest on. Two pages that share none of the terms which come before
-    the last ``min_score`` squared of their squared norms have a smaller cosine
-    (the rest of one of them is too short), so only those are joined, on both
-    sides: terms of many pages are in few of the prefixes, whatever the job's
-    size. The products that follow are exact.
+    ``ordered`` looks from the smaller id only. Which terms are joined is chosen
+    by the threshold; either way no pair is lost and the products are exact.
+
+    * High: each page's terms are ordered from the rarest on. Two pages that
+      share none of the terms which come before the last ``min_score`` squared
+      of their squared norms have a smaller cosine (the rest of one of them is
+      too short), so only those are joined, on both sides: terms of many pages
+      are in few of these prefixes.
+    * Low: those prefixes would be nearly whole pages. The source's heaviest
+      terms, ``important`` at most and only until they hold all but
+      ``min_score`` squared of its squared norm, meet the targets that have them.
     """
     some = vectors.where("w > 0")
-    prefix = some.where(F.col("left") >= min_score**2 * F.col("norm") * F.col("norm") * (1 - 1e-9))
-    source = prefix.select("crawl_job_id", "term", F.col("page_id").alias("source_page_id"))
-    target = prefix.select("crawl_job_id", "term", F.col("page_id").alias("target_page_id"))
+    whole = F.col("norm") * F.col("norm")
+    if min_score**2 > 0.5:
+        asked = offered = some.where(F.col("left") >= min_score**2 * whole * (1 - 1e-9))
+    else:
+        asked, offered = some.where((F.col("place") <= important) & (F.col("before") <= (1 - min_score**2) * whole * (1 + 1e-9))), some
+    source = asked.select("crawl_job_id", "term", F.col("page_id").alias("source_page_id"))
+    target = offered.select("crawl_job_id", "term", F.col("page_id").alias("target_page_id"))
     on = F.col("source_page_id") < F.col("target_page_id") if ordered else F.col("source_page_id") != F.col("target_page_id")
-    candidates = source.join(target, ["crawl_job_id", "term"]).where(on).select("crawl_job_id", "source_page_id", "target_page_id").distinct()
+    # a shuffled table of postings is small on disk and large in a hash table: none of these joins may turn into a broadcast
+    candidates = source.hint("merge").join(target.hint("merge"), ["crawl_job_id", "term"]).where(on).select("crawl_job_id", "source_page_id", "target_page_id").distinct()
     weight = lambda end, w: some.select("crawl_job_id", F.col("page_id").alias(end), "term", (F.col("w") / F.col("norm")).alias(w), (F.col("place") <= important).alias(f"{w}_important"))
-    products = candidates.join(weight("source_page_id", "ws"), ["crawl_job_id", "source_page_id"]).join(weight("target_page_id", "wt").drop("wt_important"), ["crawl_job_id", "target_page_id", "term"])
+    products = candidates.hint("merge").join(weight("source_page_id", "ws").hint("merge"), ["crawl_job_id", "source_page_id"]).join(weight("target_page_id", "wt").drop("wt_important").hint("merge"), ["crawl_job_id", "target_page_id", "term"])
     summed = products.groupBy("crawl_job_id", "source_page_id", "target_page_id").agg(F.sum(F.col("ws") * F.col("wt")).alias("score"), F.max("ws_important").alias("important"))
     return summed.where((F.col("score") >= min_score) & F.col("important")).drop("important")
 
@@ -99,7 +110,7 @@ def _with_terms(pairs: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
     """The kept pairs with their shared terms, in order, at most ``limit``."""
     one = vectors.select("crawl_job_id", F.col("page_id").alias("source_page_id"), "term")
     two = vectors.select("crawl_job_id", F.col("page_id").alias("target_page_id"), "term")
-    both = pairs.join(one, ["crawl_job_id", "source_page_id"]).join(two, ["crawl_job_id", "target_page_id", "term"])
+    both = pairs.hint("merge").join(one.hint("merge"), ["crawl_job_id", "source_page_id"]).join(two.hint("merge"), ["crawl_job_id", "target_page_id", "term"])
     terms = both.groupBy("crawl_job_id", "source_page_id", "target_page_id").agg(F.slice(F.array_sort(F.collect_set("term")), 1, limit).alias("shared_terms"))
     return pairs.join(terms, ["crawl_job_id", "source_page_id", "target_page_id"])
 

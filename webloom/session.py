@@ -25,6 +25,7 @@ def local_session(name: str = "webloom", cores: str | int = "*", shuffle_partiti
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
+        .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
