@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from webloom.engine import Engine
 from webloom.operators import edges, frontier, graph, stats
 from webloom.operators.index import build_index
+from webloom.operators.similar import best_pairs
 from webloom.schemas import CRAWL_ERRORS, CRAWL_JOBS, PAGE_GRAPH_EDGES, PAGE_LINKS, PAGES, SEARCH_QUERIES
 from webloom.sources.tables import Tables, log_searches
 from webloom.streaming.search_log import index_batch, index_stream, search_stream, windowed_searches
@@ -125,6 +126,51 @@ def test_similar_pairs_match_brute_force(spark):
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in got)
 
 
+def test_best_pairs_whole_and_in_blocks(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    words = [f"term{k}x" for k in range(40)]
+    texts = {i: " ".join(rng.choices(words, weights=[30, 20, 10, *[2] * 37], k=rng.randrange(2, 16))) for i in range(60)} | {60: "term0x", 61: "", 62: "term5x term6x", 63: "term5x term6x", 64: "term5x term6x"}
+    index = build_index(spark.createDataFrame([page(i, 1 + i % 2, t) for i, t in texts.items()] + [page(90, 3, "alone"), page(91, None, "term1x"), page(92, None, "term1x")], PAGES))
+    by, terms = {}, {}
+    for r in edges.tfidf(index).where("crawl_job_id is not null").collect():
+        by.setdefault((r.crawl_job_id, r.page_id), {})[r.term] = r
+    want = {}
+    for j, a in by:
+        near = []
+        for k, b in by:
+            one, two = by[j, a], by[k, b]
+            shared = sorted(t for t in one if t in two)
+            if j == k and a != b and any(one[t].place <= 3 and one[t].w > 0 for t in shared):
+                score = sum(one[t].w * two[t].w for t in shared) / (one[shared[0]].norm * two[shared[0]].norm)
+                if score >= 0.15:
+                    near.append((-round(score, 9), b, shared[:4]))
+        for score, b, shared in sorted(near)[:5]:
+            want[j, a, b] = (-score, shared)
+    for sizes in ({}, {"small_pages": 3, "block_pages": 4}):
+        got = {(r.crawl_job_id, r.source_page_id, r.target_page_id): r for r in best_pairs(index.texts, 0.15, 5, 3, 4, **sizes).collect()}
+        assert got.keys() == want.keys() and len(got) > 100
+        assert all(math.isclose(got[k].score, want[k][0], abs_tol=1e-8) and got[k].shared_terms == want[k][1] for k in got)
+
+
+def test_similarity_edges_shuffle_no_pairs(spark):
+    n = 500
+    index = build_index(spark.createDataFrame([page(i, 1, f"half{i % 2}x third{i % 3}x fifth{i % 5}x seventh{i % 7}x") for i in range(n)], PAGES))
+    postings = index.postings.count()
+    store, none = spark._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        found = store.stageList(None, False, False, none, None)
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
+
+    before = stages()
+    assert len(edges.similarity_edges(index).collect()) == 10 * n
+    # nearly all pairs share terms; what is moved grows with the postings, not with the pairs
+    assert sum(m for s, m in stages().items() if s not in before) < 10 * postings < n * n / 4
+
+
 def test_index_in_batches(spark, tmp_path):
     rows = [page(i, 1, t, None, h) for i, t, h in [(1, "one text", "a"), (2, "other text", "b"), (3, "one text", "a"), (4, "", "c"), (5, "late words", "c"), (6, "no hash", None)]]
     tables = Tables(spark, str(tmp_path / "t"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webloom.config import DEFAULTS
 from webloom.functions.urls import parent_url
 from webloom.operators.index import Index
+from webloom.operators.similar import best_pairs
 from webloom.operators.skew import keyed_lookup
 from webloom.schemas import EVIDENCE
 
@@ -117,10 +118,7 @@ def _with_terms(pairs: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
 
 def similarity_edges(index: Index, top_k: int = DEFAULTS.similarity_top_k, min_score: float = DEFAULTS.similarity_min_score) -> DataFrame:
     """Each page's most similar pages of its job, best ``top_k``, ties by id."""
-    vectors = tfidf(index)
-    best = F.row_number().over(Window.partitionBy("crawl_job_id", "source_page_id").orderBy(F.desc("score"), "target_page_id"))
-    kept = similar_pairs(vectors, min_score).withColumn("place", best).where(F.col("place") <= top_k).drop("place")
-    told = _with_terms(kept, vectors, DEFAULTS.shared_terms)
+    told = best_pairs(index.texts, min_score, top_k, DEFAULTS.important_terms, DEFAULTS.shared_terms)
     evidence = _evidence(source="inverted_index_tfidf_cosine", similarity=F.round("score", 6), shared_terms=F.col("shared_terms"))
     return told.select("crawl_job_id", "source_page_id", "target_page_id", F.lit("content_similarity").alias("edge_type"), F.col("score").alias("weight"), evidence.alias("evidence"))
 

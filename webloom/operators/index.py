@@ -19,11 +19,12 @@ class Index:
 
     A posting holds its page's length, so that ranking joins no table of pages.
     ``postings`` may be a function that makes them: it is called once, when
-    they are first asked for.
+    they are first asked for. ``texts`` (crawl_job_id, page_id, token_count,
+    terms, live) are the pages with their terms in order, repeats kept.
     """
 
-    def __init__(self, postings: DataFrame | Callable[[], DataFrame], lengths: DataFrame) -> None:
-        self._postings, self.lengths = postings, lengths
+    def __init__(self, postings: DataFrame | Callable[[], DataFrame], lengths: DataFrame, texts: DataFrame) -> None:
+        self._postings, self.lengths, self.texts = postings, lengths, texts
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -75,7 +76,7 @@ def build_index(pages: DataFrame, title_weight: int = DEFAULTS.title_weight) ->
     """
     scratch = Scratch(pages.sparkSession, "index")
     live = scratch.keep(live_pages(scratch.keep(page_terms(pages, title_weight))))
-    return Index(lambda: scratch.keep(postings_of(live).sortWithinPartitions("term")), live.select("crawl_job_id", "page_id", "token_count", "live"))
+    return Index(lambda: scratch.keep(postings_of(live).sortWithinPartitions("term")), live.select("crawl_job_id", "page_id", "token_count", "live"), live)
 
 
 def pages_indexed(index: Index) -> DataFrame:
