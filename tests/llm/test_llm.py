@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from webloom.llm import body, furniture, groups, leakage, packing, residue, spam, splitting, templates
 from webloom.llm.residue import judge_page
@@ -185,6 +186,23 @@ def test_residue_judgements(spark):
     assert set(found) == set(range(1000, 1040)) and set(found.values()) == {"residue"}
 
 
+def test_models_are_fitted_to_all_pages(spark):
+    # the last of the error pages by the hash of their ids says what no other says
+    ids = [r.id for r in spark.range(5000, 7300).orderBy(F.xxhash64("id")).collect()]
+    rows = []
+    for k, i in enumerate(ids):
+        d, u, t, _ = CORPUS[k % len(CORPUS)]
+        said = "Quuxel vorbling zanthrip kelmory dwindax frobnet." if i == ids[-1] else f"Sorry, the page /a/b{i % 50} does not exist."
+        rows.append((i, 1, u, u, d, "Error", None, None, f"Home\nDocs\n{said}", 404, 0, None, None, 0, 1, None))
+    pages = corpus_pages(spark).unionByName(spark.createDataFrame(rows, PAGES))
+    _, model = residue.fit_models(pages)
+    assert model.residue("Quuxel vorbling zanthrip kelmory dwindax frobnet.") == 1
+    placed, count = residue.shards(pages, 100, 7)
+    assert count >= 20 and placed.count() == pages.where("extracted_text <> ''").count() and placed.groupBy("shard").count().count() > count / 2
+    _, model = residue.fit_models(pages, shard_pages=700)
+    assert model.residue("Quuxel vorbling zanthrip kelmory dwindax frobnet.") == 1 and model.residue(PROSE) == 0
+
+
 def test_page_queries(spark):
     stuffed = ", ".join(random.Random(1).choices(["buy lamps", "lamps", "cheap lamps", "lamps deals"], k=80))
     pages = corpus_pages(spark).unionByName(pages_of(spark, [(100_000, "acme.example", "lamps", stuffed), (100_002, "acme.example", None, None), (100_003, None, "", ""), (None, "acme.example", "x", PROSE)]))

@@ -195,6 +195,8 @@ class BodyModel:
         self.paragraphs: list[str] = []
         #: the sample's filled lines, as judged
         self.sample: list[list[Line]] = []
+        #: rows of the features that were fitted, those of no weight too
+        self.rows: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self._seen: dict[tuple, tuple] = {}
 
     def __getstate__(self):
@@ -284,6 +286,7 @@ class Encoded:
 
         counts = Counter(f for row in rows for f in row)
         self.names = [f for f, n in counts.items() if n >= least]
+        self.counts = {f: counts[f] for f in self.names} | {"": len(rows)}
         number = {f: k for k, f in enumerate(self.names)}
         ids = [[number[f] for f in row if f in number] for row in rows]
         sizes = np.array([len(r) for r in ids], dtype=np.int64)
@@ -409,6 +412,7 @@ def fit_body_model(sample: list[tuple], rounds: int = ROUNDS) -> BodyModel:
         beside_others = Encoded(around, 5)
         model = BodyModel(local, beside_others.fit(y, strength))
         model.furniture, model.paragraphs = list(furniture.values()), list(paragraphs)
+        model.rows = held.counts, beside_others.counts
         at = 0
         if k == rounds:
             for lines in read:

@@ -9,28 +9,29 @@ stands in the place of a value.
 The labels come from the pages: what pages of an error status say instead of
 paragraphs are notices, long paragraphs are prose, wordings that come back all
 over a site are furniture. Filler begins with well-known dummy text. What these
-models find on the sampled pages is then added to the labels, and they are
-fitted anew. Likewise sentences with quoted fields speak of fields, and lines
+models find is then added to the labels, and they are fitted anew. Likewise sentences with quoted fields speak of fields, and lines
 with several fields and few words are templates left unfilled; n-grams of
 either tell the fields that are left.
+
+Every page takes part. Shards of whole sites, and of parts of large ones, are
+fitted in tasks; their counts are added up and their weights averaged, so what
+comes to the driver are n-grams and features, whatever the corpus' size.
 """
 
 from __future__ import annotations
 
 import math
-import operator
 import re
 import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.body import BLANK, FURNITURE, PARAGRAPH_WORDS, SAMPLE_PAGES, TITLE, BodyModel, Line, fit_body_model, sample_pages
+from webloom.llm.body import BLANK, FURNITURE, PARAGRAPH_WORDS, TITLE, BodyModel, Line, fit_body_model
 from webloom.llm.furniture import kept, page_columns
 from webloom.llm.templates import with_slots
 
@@ -43,8 +44,10 @@ WINDOW = 9.0
 DENSITY = 1.2
 #: Share of the main text that residue must cover.
 COVERAGE = 0.5
-#: Pages of an error status, and pages with fields, that give labels, at most.
-LABELLED_PAGES = 2000
+#: A shard holds about so many pages and so many characters of text; larger sites are cut into parts of about so many pages.
+SHARD_PAGES, SHARD_CHARS, PART_PAGES = 2000, 32_000_000, 120
+#: A feature of a line must be met so often in the mean shard.
+SHARD_ROWS = 4
 #: Log ratio from which on down a clause speaks of the field in it.
 SPOKEN = -3.0
 #: What is told of so many words, and lines of fewer than so many characters, is remembered, as they come again and again.
@@ -94,8 +97,6 @@ _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 _BARE = re.compile(r"[\"'“”„‘’`«]\s*\x01\s*[\"'“”‘’`»]")
 QUOTED = "\x02"
 _FIELD_HINT = re.compile(r"[{}\[\]<>@%_*]")
-#: Signs that open a field in the commonest notations: they choose the pages that give labels, by plain search in the JVM.
-_OPENERS = ("{{", "{%", "<%", "${", "[[", "<<", "@@", "*|", "XX-")
 
 
 def words_of(text: str) -> list[str]:
@@ -112,14 +113,24 @@ def count_words(lines: Iterable[str]) -> Counter:
     return Counter(w for line in lines for w in words_of(line))
 
 
+class Grams(Counter):
+    """Counts of n-grams."""
+
+
+def grams_of(words: Counter) -> Grams:
+    """The n-grams of counted words."""
+    counts = Grams()
+    for w, n in words.items():
+        for g in _grams(w):
+            counts[g] += n
+    return counts
+
+
 class _Shares(dict):
-    """The share of each n-gram among the n-grams of counted words."""
+    """The share of each n-gram among the n-grams of counted words, or among counted n-grams."""
 
     def __init__(self, words: Counter) -> None:
-        counts: Counter = Counter()
-        for w, n in words.items():
-            for g in _grams(w):
-                counts[g] += n
+        counts = words if isinstance(words, Grams) else grams_of(words)
         total = max(1, sum(counts.values()))
         super().__init__({g: n / total for g, n in counts.items() if n > 0})
 
@@ -274,39 +285,38 @@ def judge_page(domain: str | None, url: str | None, title: str | None, text: str
     return "field" if field else "residue" if own and coverage >= COVERAGE else None, coverage, lines
 
 
-def _of_pages(pages: DataFrame, most: int) -> list[tuple]:
-    """(domain, url, title, text) of the first ``most`` pages by the hash of their id."""
-    rows = page_columns(pages).orderBy(F.xxhash64("id"), "id", "text").limit(most).collect()
-    return [tuple(r)[1:] for r in rows]
+def _clauses(page: str, title: str | None) -> tuple[list[str], list[str]]:
+    """The clauses of a page that speak of quoted fields, and those with several bare ones."""
+    spoken, left = [], []
+    for line in [*page.split("\n"), title or ""]:
+        if (_FIELD_HINT.search(line) or "XX-" in line) and FIELD.search(line) and not _COMMAND.search(line):
+            for clause in _CLAUSE.split(FIELD.sub(" \x01 ", line)):
+                if _BARE.search(clause):
+                    spoken.append(clause)
+                elif clause.count("\x01") > 1:
+                    left.append(clause)
+    return spoken, left
 
 
-def fit_models(pages: DataFrame, sample: int = SAMPLE_PAGES, labelled: int = LABELLED_PAGES, rounds: int = ROUNDS) -> tuple[BodyModel, ResidueModel]:
-    """Both models, fitted to ``sample`` pages of whole sites and ``labelled`` pages of either other kind at most."""
-    chosen = sample_pages(pages, sample)
-    body = fit_body_model(chosen)
-    furniture = count_words(x.text for x in body.furniture)
+def fit_shard(pages: list[tuple], rounds: int = ROUNDS) -> list[tuple[str, str, float, float]]:
+    """(table, key, a, b): what a shard's pages (site, url, title, text, status) tell of the models, to be added up.
+
+    Of features a is their weight by rows, b the rows; of n-grams a is the
+    count; of words of clauses with fields a is the count and b the clauses.
+    """
+    body = fit_body_model([p[:4] for p in pages if p[0]])
     wordings = {x.key for x in body.furniture}
-    text = F.col("extracted_text")
-    errors = _of_pages(pages.where((text != "") & (F.col("status_code") >= 400)), labelled)
     told = set()
-    for page in errors:
-        lines = [x for x in body.judge(*page) if x.kind not in (BLANK, TITLE)]
-        if not any(x.sentence and x.words >= PARAGRAPH_WORDS for x in lines):
-            told |= {x.text for x in lines if x.key not in wordings and (x.sentence or x.kind != FURNITURE)}
-    labels = [[*REASONS, *sorted(told)], list(DUMMY), list(LATIN)]
-    # sentences with quoted fields speak of them; several fields with fewer words than that stand for values
     spoken, left = [], []
-    opened = reduce(operator.or_, [F.contains(text, F.lit(x)) for x in _OPENERS])
-    for _, _, title, page in _of_pages(pages.where((text != "") & opened), labelled):
-        for line in [*page.split("\n"), title or ""]:
-            if (_FIELD_HINT.search(line) or "XX-" in line) and FIELD.search(line) and not _COMMAND.search(line):
-                for clause in _CLAUSE.split(FIELD.sub(" \x01 ", line)):
-                    if _BARE.search(clause):
-                        spoken.append(clause)
-                    elif clause.count("\x01") > 1:
-                        left.append(clause)
-    counts = Counter(w for clause in spoken + left for w in set(words_of(clause)))
-    spoken, left = (Counter({w: n for w, n in count_words(x).items() if counts[w] >= NAMED}) for x in (spoken, left))
+    for *page, status in pages:
+        if status is not None and status >= 400:
+            lines = [x for x in body.judge(*page) if x.kind not in (BLANK, TITLE)]
+            if not any(x.sentence and x.words >= PARAGRAPH_WORDS for x in lines):
+                told |= {x.text for x in lines if x.key not in wordings and (x.sentence or x.kind != FURNITURE)}
+        one, other = _clauses(page[3], page[2])
+        spoken += one
+        left += other
+    labels = [[*REASONS, *sorted(told)], list(DUMMY), list(LATIN)]
     latin = frozenset(w for x in LATIN for w in words_of(x) if len(w) >= DUMMY_LETTERS)
     prose = {}
     for p in body.paragraphs:
@@ -316,9 +326,11 @@ def fit_models(pages: DataFrame, sample: int = SAMPLE_PAGES, labelled: int = LAB
             labels[2].append(p)
         else:
             prose[p] = None
-    told_prose, kinds = count_words(prose), [count_words(x) for x in labels]
-    model = ResidueModel(kinds, furniture, told_prose, spoken, left)
+    furniture, told_prose = count_words(x.text for x in body.furniture), count_words(prose)
+    kinds = known = [count_words(x) for x in labels]
+    fewer = told_prose
     for _ in range(rounds):
+        model = ResidueModel(kinds, furniture, fewer, Counter(), Counter())
         more: list[set[str]] = [set() for _ in labels]
         for lines in body.sample:
             judged = [(x, model.residue(x.text)) for x in lines if not (x.kind == FURNITURE and x.known)]
@@ -331,13 +343,64 @@ def fit_models(pages: DataFrame, sample: int = SAMPLE_PAGES, labelled: int = LAB
                         more[(k or most) - 1].add(x.text)
         fewer = Counter(told_prose)
         fewer.subtract(count_words(p for p in set().union(*more) if p in prose))
-        model = ResidueModel([known + count_words(x) for known, x in zip(kinds, more)], furniture, fewer, spoken, left)
-    body.sample = []
-    return body, model
+        kinds = [a + count_words(x) for a, x in zip(known, more)]
+    out = [(f"kind{k}", g, float(n), 0.0) for k, x in enumerate(kinds) for g, n in grams_of(x).items()]
+    out += [(name, g, float(n), 0.0) for name, x in (("furniture", furniture), ("prose", fewer)) for g, n in grams_of(x).items()]
+    clauses = Counter(w for clause in spoken + left for w in set(words_of(clause)))
+    for name, x in (("spoken", spoken), ("left", left)):
+        out += [(name, w, float(n), 0.0) for w, n in count_words(x).items()]
+    out += [("clauses", w, float(n), 0.0) for w, n in clauses.items()]
+    for name, weights, rows in zip(("local", "context"), (body.local, body.context), body.rows):
+        out += [(name, f, weights.get(f, 0.0) * n, float(n)) for f, n in rows.items()]
+    return out
+
+
+def shards(pages: DataFrame, most: int = SHARD_PAGES, of_site: int = PART_PAGES) -> tuple[DataFrame, int]:
+    """(shard, id, site, url, title, text, status) of all pages with text, and the number of shards.
+
+    A shard holds whole sites; those of more than ``of_site`` pages are cut into
+    parts by the hash of the page's id, so that no shard is one site's.
+    """
+    site, status = F.lower(F.coalesce("domain", F.lit(""))).alias("site"), F.col("status_code").cast("int").alias("status")
+    rows = pages.where("extracted_text <> ''").select(F.col("id").cast("long").alias("id"), site, F.col("normalized_url").cast("string").alias("url"), F.col("title").cast("string").alias("title"), F.col("extracted_text").cast("string").alias("text"), status)
+    sizes = rows.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    total = sizes.agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).first()
+    count = max(1, math.ceil((total["n"] or 0) / most), math.ceil((total["chars"] or 0) / SHARD_CHARS))
+    # one row for each site of more than ``of_site`` pages
+    cut = F.broadcast(sizes.where(F.col("n") > of_site).select("site", F.ceil(F.col("n") / of_site).alias("parts")))
+    placed = rows.join(cut, "site", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
+    return placed.select(F.pmod(F.xxhash64("site", "part"), F.lit(count)).cast("int").alias("shard"), "id", "site", "url", "title", "text", "status"), count
+
+
+def fit_models(pages: DataFrame, rounds: int = ROUNDS, shard_pages: int = SHARD_PAGES) -> tuple[BodyModel, ResidueModel]:
+    """Both models, fitted to all pages: a shard in a task, counts added up and weights averaged by their rows."""
+    rows, count = shards(pages, shard_pages)
+
+    def fit(part):
+        import pandas as pd
+
+        part = part.astype(object).where(part.notna(), None).sort_values(["site", "id", "text"])
+        told = fit_shard(list(zip(part["site"], part["url"], part["title"], part["text"], part["status"])), rounds)
+        return pd.DataFrame(told, columns=["kind", "key", "a", "b"])
+
+    # shards are few and costly: in many small partitions they are spread evenly
+    tasks = min(count, 4 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    added = rows.repartition(tasks, "shard").groupBy("shard").applyInPandas(fit, "kind string, key string, a double, b double").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    # a feature counts if it is as frequent as it has to be in a single shard; n-grams and words of clauses with fields are as many as languages have
+    tables: dict[str, dict[str, tuple[float, float]]] = {}
+    for r in added.where((~F.col("kind").isin("local", "context")) | (F.col("key") == "") | (F.col("b") >= SHARD_ROWS * count)).collect():
+        tables.setdefault(r["kind"], {})[r["key"]] = (r["a"], r["b"])
+    # sums differ in their last digits with the order of tasks
+    weights = [{f: round(a / b, 9) for f, (a, b) in sorted(tables.get(name, {}).items()) if b and abs(a / b) > 1e-3 or f == ""} for name in ("local", "context")]
+    body = BodyModel(*[w or {"": 0.0} for w in weights])
+    grams = lambda name: Grams({g: int(a) for g, (a, _) in sorted(tables.get(name, {}).items())})
+    clauses = tables.get("clauses", {})
+    spoken, left = (Counter({w: int(n) for w, (n, _) in sorted(tables.get(name, {}).items()) if clauses[w][0] >= NAMED}) for name in ("spoken", "left"))
+    return body, ResidueModel([grams(f"kind{k}") for k in range(3)], grams("furniture"), grams("prose"), spoken, left)
 
 
 def broadcast_models(pages: DataFrame) -> Broadcast:
-    """The models, fitted once on the driver; a few MB, whatever the corpus' size."""
+    """The models, fitted once, to all pages; a few MB, whatever the corpus' size."""
     return pages.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, fit_models(pages)))
 
 
