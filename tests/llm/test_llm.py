@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -157,6 +158,47 @@ def test_region():
     assert [[x.kind for x in fresh.judge(*p)] for p in CORPUS[:9]] == [[x.kind for x in BODY.judge(*p)] for p in CORPUS[:9]]
 
 
+def test_equal_lines_are_fitted_once(monkeypatch):
+    told = []
+    features = body.local_features
+    monkeypatch.setattr(body, "local_features", lambda *line: told.append(line) or features(*line))
+    model = body.fit_body_model(CORPUS)
+    # what stands on page after page is numbered once, whatever the number of pages and rounds
+    assert len(told) <= len({x.strip() for p in CORPUS for x in p[3].split("\n")})
+    assert model.rows[0][""] == sum(1 for p in CORPUS for x in p[3].split("\n") if x.strip()) and model.local == BODY.local
+
+
+def test_equal_rows_and_columns_of_a_fit():
+    import numpy as np
+
+    rows, place = [(), ("a", "b", "c"), ("a", "d"), ("a",)], [1, 2, 1, 0, 3, 2, 1]
+    labels, strengths = np.array([1.0, 0.0, 1.0, 0.5, 0.3, 0.0, 0.8]), np.array([1.0, 1.0, 0.5, 0.0, 0.3, 1.0, 0.4])
+    held, each = body.Encoded(rows, place, 2), body.Encoded([rows[k] for k in place], range(7), 2)
+    one, other = held.fit(labels, strengths), each.fit(labels, strengths)
+    assert held.counts == each.counts == {"a": 6, "b": 3, "c": 3, "d": 2, "": 7} and set(one) == set(other) == {"", "a", "b", "c", "d"}
+    assert all(abs(one[f] - other[f]) < 1e-9 for f in one) and one["b"] == one["c"] and np.allclose(held.scores, each.scores)
+    assert body.Encoded([()], [0, 0], 2).fit(np.ones(2), np.ones(2)).keys() == {""}
+
+
+def test_many_lines_at_once(spark):
+    lines = ["Posted on 7 February 2025, see /a/b/c or v2.5", "(Étés) d'hiver: x", "a bb ccc", "may 3 be", "𝒳𐐷 ab", "", "— 12 %"]
+    counted = sum((Counter(residue.words_of(x)) for x in lines), Counter())
+    assert residue.count_words(lines) == counted and residue.count_words([]) == Counter()
+    grams = sum((Counter({g: n for g in [*residue._grams(w)]}) if len(set(residue._grams(w))) == len(residue._grams(w)) else Counter(residue._grams(w) * n) for w, n in counted.items()), Counter())
+    assert residue.grams_of(counted) == grams and residue.grams_of(Counter()) == Counter()
+    # kinds told of many lines are those told of each, and pages passed over have no reason
+    pages = corpus_pages(spark)
+    body_model, model = residue.fit_models(pages)
+    rows = [(r.domain, r.normalized_url, r.title, r.extracted_text) for r in pages.collect()] + [("a.example", None, "x", PROSE + "\nDear {{name}}, thank you for choosing {{company}}!"), (None, None, "{{tagline}}", PROSE), (None, None, None, None)]
+    every = {x.strip() for r in rows if r[3] for x in r[3].split("\n")}
+    alone = {x: model._residue(x) for x in every if x}
+    model.prepare(every)
+    assert any(alone.values()) and {x: model.residue(x) for x in alone} == alone
+    may = [residue.may_be_residue(r[2], r[3], model) for r in rows]
+    assert not all(may) and may[-3:] == [True, True, False]
+    assert all(m or judge_page(*r, body_model, model)[:2] == (None, 0.0) for m, r in zip(may, rows))
+
+
 def corpus_pages(spark):
     """The sites' pages, 40 pages of an error status, and 20 that speak of fields."""
     rows = [(i, 1, u, u, d, t, None, None, x, 200, 0, None, None, 0, 1, None) for i, (d, u, t, x) in enumerate(CORPUS)]

@@ -16,8 +16,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,13 +50,12 @@ DEBUG = False
 
 BLANK, TITLE, OWN, FURNITURE = range(4)
 
-_FORMAT = re.compile("[­​-‏⁠﻿]")
+FORMAT = re.compile("[­​-‏⁠﻿]")
 _TOKEN = re.compile(r"[^\W\d_]+|\d(?:[\d.,:/-]*\d)?|[·|/›>»¤@©#→←…•*=:;{}()$—–-]|\.(?=\w)")
 _BULLETS = frozenset("•*-#")
-_DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_]+")
-_ENDS = re.compile(r"[.?!:…。！？][\"'”»“)\]]*$")
-_STOPS = re.compile(r"[.?!…。！？][\"'”»“)\]]*$")
+# what may follow the end of a sentence, how sentences end, and how other lines end besides
+_CLOSING, _STOPS, _ENDS = "\"'”»“)]", frozenset(".?!…。！？"), frozenset(".?!:…。！？")
 _SPLIT = re.compile(r"(?<=[.?!])\s+")
 _LINK = re.compile(r"https?://\S+")
 _QUOTED = re.compile(r"[“„«\"]\s?[^“”„«»\"]{3,}?\s?[”“»\"]")
@@ -80,9 +80,33 @@ class Line:
 
     __slots__ = ("base", "begins", "bullet", "cuts", "key", "kind", "known", "score", "sentence", "signs", "text", "words")
 
-    def __init__(self, text: str, words: int, kind: int, sentence: bool, bullet: str, key: str, base: float) -> None:
+    def __init__(self, text: str, words: int, kind: int, sentence: bool, bullet: str, key: str, base: float, cuts: tuple[list[str], bool] = ([], False), signs: str = "", begins: str = "", known: bool = False) -> None:
         self.text, self.words, self.kind, self.sentence, self.bullet, self.key, self.base = text, words, kind, sentence, bullet, key, base
-        self.score, self.signs, self.begins, self.known = 0.0, "", "", False
+        self.score, self.cuts, self.signs, self.begins, self.known = 0.0, cuts, signs, begins, known
+
+
+class _Tokens(dict):
+    """The tokens of a text's parts between blanks: a string if there is one, else a tuple; ``several`` has the parts of tuples."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.several: set[str] = set()
+
+    def __missing__(self, part: str) -> str | tuple[str, ...]:
+        bare = part.rstrip(".,!?")
+        if bare.isalpha():
+            told = bare
+        else:
+            tokens = ["0" if t[0].isdigit() else t for t in _TOKEN.findall(part)]
+            told = tokens[0] if len(tokens) == 1 else tuple(tokens)
+        if len(self) < REMEMBERED:
+            self[part] = told
+            if type(told) is tuple:
+                self.several.add(part)
+        return told
+
+
+_TOKENS = _Tokens()
 
 
 def tokens_of(text: str, brand: str) -> list[str]:
@@ -90,10 +114,15 @@ def tokens_of(text: str, brand: str) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     text = text.casefold()
-    tokens = _TOKEN.findall(text)
-    if _DIGIT.search(text):
-        tokens = ["0" if t[0].isdigit() else t for t in tokens]
-        # a month beside a number is part of a date
+    parts = text.split()
+    if len(_TOKENS) + len(parts) >= REMEMBERED:
+        _TOKENS.clear()
+        _TOKENS.several.clear()
+    tokens = list(map(_TOKENS.__getitem__, parts))
+    if not _TOKENS.several.isdisjoint(parts):
+        tokens = list(chain.from_iterable([t if type(t) is tuple else (t,) for t in tokens]))
+    # a month beside a number is part of a date
+    if "0" in tokens and not MONTHS.isdisjoint(tokens):
         tokens = [t for k, t in enumerate(tokens) if not (t in MONTHS and "0" in tokens[max(0, k - 1) : k + 2])]
     if brand and brand[:4] in text:
         # names are often cut short or followed by a number in the domain
@@ -129,7 +158,11 @@ def _stand(score: float) -> str:
     return "-" if score < CERTAIN else "0" if score < 0.5 else "+"
 
 
-def context_features(lines: list[Line]) -> list[list[str]]:
+#: Features of lines that are no open ones; a few thousand at most.
+_CLOSED: dict[tuple, tuple[str, ...]] = {}
+
+
+def context_features(lines: list[Line]) -> list[tuple[str, ...]]:
     """For each of a page's filled lines: its score by itself, its form, and what stands around it.
 
     Open lines with the same bullet that follow each other are a list: they
@@ -138,7 +171,7 @@ def context_features(lines: list[Line]) -> list[list[str]]:
     own = sum([x.words for x in lines if x.base >= CERTAIN])
     said = sum([x.words for x in lines if x.base >= 0 and x.sentence])
     state = "abc"[0 if 4 * said < own else 1 if 3 * said < 2 * own else 2]
-    out: list[list[str]] = []
+    out: list[tuple[str, ...]] = []
     n = len(lines)
     i = 0
     while i < n:
@@ -147,7 +180,10 @@ def context_features(lines: list[Line]) -> list[list[str]]:
             form = "t" if x.kind == TITLE else "s" if x.sentence else "f"
             level = _level(x.base)
             size = min(5, x.words.bit_length())
-            out.append([f"L{level}{form}", f"{form}{x.bullet}{size}", f"{state}{form}{x.bullet}{size}", f"{state}{level}{form}"])
+            feats = _CLOSED.get((level, form, x.bullet, size, state))
+            if feats is None:
+                feats = _CLOSED[level, form, x.bullet, size, state] = (f"L{level}{form}", f"{form}{x.bullet}{size}", f"{state}{form}{x.bullet}{size}", f"{state}{level}{form}")
+            out.append(feats)
             i += 1
             continue
         j = i + 1
@@ -163,14 +199,13 @@ def context_features(lines: list[Line]) -> list[list[str]]:
             shared += [f"C{state}{x.bullet}", f"C={x.bullet}{before.key}", *[f"C:{x.bullet}{t}" for t in before.key.split()]]
         for y in lines[i:j]:
             level = _level(y.base)
-            out.append([f"L{level}f", f"L{level}f{y.bullet}", f"{state}f{y.bullet}{min(5, y.words.bit_length())}", f"{state}{level}f{y.bullet}", f"{y.bullet}~{y.signs}", *shared])
+            out.append((f"L{level}f", f"L{level}f{y.bullet}", f"{state}f{y.bullet}{min(5, y.words.bit_length())}", f"{state}{level}f{y.bullet}", f"{y.bullet}~{y.signs}", *shared))
         i = j
     return out
 
 
 def _score(weights: dict[str, float], feats: Iterable[str]) -> float:
-    get = weights.get
-    return max(-_CLIP, min(_CLIP, weights[""] + sum([get(f, 0.0) for f in feats])))
+    return max(-_CLIP, min(_CLIP, weights[""] + sum(filter(None, map(weights.get, feats)))))
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -192,12 +227,13 @@ class BodyModel:
         self.local, self.context = local, context
         #: lines of furniture and paragraphs of the sample, as labelled
         self.furniture: list[Line] = []
-        self.paragraphs: list[str] = []
+        self.paragraphs: list[Line] = []
         #: the sample's filled lines, as judged
         self.sample: list[list[Line]] = []
         #: rows of the features that were fitted, those of no weight too
         self.rows: tuple[dict[str, int], dict[str, int]] = ({}, {})
         self._seen: dict[tuple, tuple] = {}
+        self._closed: dict[tuple, float] = {}
 
     def __getstate__(self):
         return self.local, self.context
@@ -212,8 +248,12 @@ class BodyModel:
         slug = slug_of(url)
         low_title = " ".join(title.casefold().split()) if title else ""
         seen, local = self._seen, self.local
-        if not text.isascii() and _FORMAT.search(text):
-            text = _FORMAT.sub("", text)
+        if not text.isascii() and FORMAT.search(text):
+            text = FORMAT.sub("", text)
+        size = len(low_title)
+        titled, quoted = size > 8 and low_title in text.casefold(), "“" in text or "„" in text or "«" in text or '"' in text
+        # without weights lines have no scores, and what is read is a shard's at most
+        blank = len(local) < 2
         out = []
         for raw in text.split("\n"):
             line = raw.strip()
@@ -222,35 +262,34 @@ class BodyModel:
                 continue
             words = line.count(" ") + 1
             judged = line
-            if low_title and len(low_title) > 8 and len(line) >= len(low_title) and low_title in (low := line.casefold()):
-                if len(line) <= len(low_title) + 6 and "".join(_WORD.findall(low)) == own:
+            if titled and len(line) >= size and low_title in (low := line.casefold()):
+                if len(line) <= size + 6 and "".join(_WORD.findall(low)) == own:
                     out.append(Line(line, words, TITLE, False, "", "", 0.0))
                     continue
                 judged = low.replace(low_title, " ¤ ")
-            elif "“" in line or "„" in line or "«" in line or '"' in line:
+            elif quoted and ("“" in line or "„" in line or "«" in line or '"' in line):
                 judged = _QUOTED.sub(" ¤ ", line)
             known = seen.get((judged, brand))
             if known is None:
-                ends = bool(_ENDS.search(line[-8:]))
+                end = line[-8:].rstrip(_CLOSING)[-1:]
+                ends = end in _ENDS
                 tokens = tokens_of(judged, brand)
                 signs, key, before = "", judged, False
                 if words < SHORT:
                     signs, key = signs_of(tokens), " ".join([t for t in tokens if t.isalnum() or t in "@¤"])
                     before = local.get("=" + " ".join(tokens), 0.0) < 0
-                base = _score(local, local_features(tokens, signs, words, ends))
+                base = 0.0 if blank else _score(local, local_features(tokens, signs, words, ends))
                 bullet = tokens[0] if tokens and tokens[0] in _BULLETS else ""
-                known = base, bool(_STOPS.search(line[-8:])) and words >= SENTENCE_WORDS, bullet, key, tokens, ends, signs, before
-                if words < SHORT:
+                sentence = end in _STOPS and words >= SENTENCE_WORDS
+                joined = "" if sentence else "".join([t for t in key.split() if t.isalpha()])
+                known = base, sentence, bullet, key, (tokens, ends), signs, (tokens[0] if tokens else "") + signs, before, joined
+                if words < SHORT or blank and judged is line:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen[judged, brand] = known
-            base, sentence, bullet, key, tokens, ends, signs, before = known
-            x = Line(line, words, OWN, sentence, bullet, key, base)
-            x.known = before
-            x.cuts, x.signs, x.begins = (tokens, ends), signs, (tokens[0] if tokens else "") + signs
-            if slug and not sentence and len(slug) > 12 and (joined := "".join(t for t in key.split() if t.isalpha())) and len(joined) > 8 and slug.startswith(joined):
-                x.kind = TITLE
-            out.append(x)
+            base, sentence, bullet, key, cuts, signs, begins, before, joined = known
+            own_title = len(joined) > 8 and len(slug) > 12 and not sentence and slug.startswith(joined)
+            out.append(Line(line, words, TITLE if own_title else OWN, sentence, bullet, key, base, cuts, signs, begins, before))
         return out
 
     def judge(self, domain: str | None, url: str | None, title: str | None, text: str) -> list[Line]:
@@ -259,9 +298,18 @@ class BodyModel:
         if len(self.context) < 2:
             return lines
         filled = [x for x in lines if x.kind != BLANK]
-        mark_furniture(filled, [_score(self.context, feats) for feats in context_features(filled)])
+        mark_furniture(filled, [self.place_score(feats) for feats in context_features(filled)])
         return lines
 
+    def place_score(self, feats: tuple[str, ...]) -> float:
+        """The score of a line's form and of what stands around it; those of lines that are no open ones are few."""
+        if len(feats) > 4:
+            return _score(self.context, feats)
+        score = self._closed.get(feats)
+        if score is None:
+            score = self._closed[feats] = _score(self.context, feats)
+        return score
+
 
 def mark_furniture(filled: list[Line], scores: list[float]) -> None:
     """Sets the kind of the filled lines outside the maximum-scoring run, and of those inside that count against it."""
@@ -279,38 +327,72 @@ def mark_furniture(filled: list[Line], scores: list[float]) -> None:
 
 
 class Encoded:
-    """Rows of features as numbers; features of fewer than ``least`` rows are left out."""
+    """Rows of features as numbers; features of fewer than ``least`` rows are left out.
 
-    def __init__(self, rows: list[list[str]], least: int) -> None:
+    Equal rows are held once: ``place`` tells which of ``rows`` each row is.
+    Features of the same rows are held once too, as they get the same weight.
+    """
+
+    def __init__(self, rows: Iterable[tuple[str, ...]], place: list[int], least: int) -> None:
         import numpy as np
 
-        counts = Counter(f for row in rows for f in row)
-        self.names = [f for f, n in counts.items() if n >= least]
-        self.counts = {f: counts[f] for f in self.names} | {"": len(rows)}
-        number = {f: k for k, f in enumerate(self.names)}
-        ids = [[number[f] for f in row if f in number] for row in rows]
-        sizes = np.array([len(r) for r in ids], dtype=np.int64)
-        self.flat = np.fromiter((k for r in ids for k in r), dtype=np.int64, count=int(sizes.sum()))
-        self.row = np.repeat(np.arange(len(rows)), sizes)
-        self.rows = len(rows)
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        rows = list(rows)
+        flat = np.array(list(map(number.__getitem__, chain.from_iterable(rows))), dtype=np.int64)
+        row = np.repeat(np.arange(len(rows)), np.fromiter(map(len, rows), np.int64, len(rows)))
+        self.place, self.rows = np.array(place, dtype=np.int64), len(rows)
+        times = np.bincount(self.place, minlength=len(rows))
+        counts = np.bincount(flat, weights=times[row], minlength=len(number)).astype(np.int64)
+        kept = counts >= least
+        self.names = [f for f, k in zip(number, kept.tolist()) if k]
+        self.counts = dict(zip(self.names, counts[kept].tolist())) | {"": len(place)}
+        held = kept[flat]
+        flat, row = (np.cumsum(kept) - 1)[flat[held]], row[held]
+        order = np.argsort(flat, kind="stable")
+        begins = np.searchsorted(flat[order], np.arange(len(self.names)))
+        # the rows of a feature by the sum of their random numbers
+        sums = np.random.default_rng(1).integers(0, 1 << 63, len(rows), dtype=np.uint64)[row[order]]
+        _, first, self.group, self.alike = np.unique(np.add.reduceat(sums, begins) if len(begins) else sums, return_index=True, return_inverse=True, return_counts=True)
+        chosen = np.full(len(self.names), -1)
+        chosen[first] = np.arange(len(first))
+        held = chosen[flat] >= 0
+        self.flat, row = chosen[flat[held]], row[held]
+        #: rows that hold features, and where each begins; then the rows of each feature, and where these begin
+        self.live = np.unique(row)
+        self.begins = np.searchsorted(row, self.live)
+        order = np.argsort(self.flat, kind="stable")
+        self.of_feature = row[order]
+        self.feature_begins = np.searchsorted(self.flat[order], np.arange(len(first)))
+
+    def _sums(self, w, b: float):
+        import numpy as np
+
+        z = np.full(self.rows, b)
+        if len(self.live):
+            z[self.live] += np.add.reduceat((w * self.alike).take(self.flat), self.begins)
+        return z
 
     def fit(self, labels, strengths, ridge: float = 1.0, steps: int = 60) -> dict[str, float]:
         """Logistic regression: the weight of each feature, and the bias ''; keeps the rows' scores as ``scores``."""
         import numpy as np
 
-        w, b = np.zeros(len(self.names)), 0.0
-        past, past_b = np.full(len(self.names), 1e-8), 1e-8
+        strength = np.bincount(self.place, weights=strengths, minlength=self.rows)
+        told = np.bincount(self.place, weights=strengths * labels, minlength=self.rows)
+        w, b = np.zeros(len(self.alike)), 0.0
+        past, past_b = np.full(len(self.alike), 1e-8), 1e-8
         for step in range(steps):
-            z = b + np.bincount(self.row, weights=w[self.flat], minlength=self.rows)
-            error = strengths * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
-            grad = np.bincount(self.flat, weights=error[self.row], minlength=len(self.names)) + ridge * w
+            error = strength / (1 + np.exp(-np.clip(self._sums(w, b), -30, 30))) - told
+            grad = ridge * w
+            if len(w):
+                grad += np.add.reduceat(error.take(self.of_feature), self.feature_begins)
             past = 0.9 * past + 0.1 * grad * grad
             past_b = 0.9 * past_b + 0.1 * error.sum() ** 2
             rate = 0.3 / (1 + step / 20)
             w -= rate * grad / np.sqrt(past)
             b -= rate * error.sum() / math.sqrt(past_b)
-        self.scores = np.clip(b + np.bincount(self.row, weights=w[self.flat], minlength=self.rows), -_CLIP, _CLIP)
-        return {"": float(b)} | {f: float(v) for f, v in zip(self.names, w) if abs(v) > 1e-3}
+        self.scores = np.clip(self._sums(w, b), -_CLIP, _CLIP)[self.place]
+        return {"": float(b)} | {f: v for f, v in zip(self.names, w[self.group].tolist()) if abs(v) > 1e-3}
 
 
 def sample_pages(pages: DataFrame, most: int = SAMPLE_PAGES, of_site: int = SITE_PAGES) -> list[tuple]:
@@ -340,93 +422,116 @@ def fit_body_model(sample: list[tuple], rounds: int = ROUNDS) -> BodyModel:
     """The model of a sample of pages; an empty sample gives a model without weights."""
     blank = BodyModel({"": 0.0}, {"": 0.0})
     read = [[x for x in blank.read(*page) if x.kind != BLANK] for page in sample]
-    on_site: dict[str, Counter] = {}
     sizes = Counter(page[0] for page in sample)
+    on_site: dict[str, Counter] = {s: Counter() for s in sizes}
+    begun: dict[str, Counter] = {s: Counter() for s in sizes}
+    # what only stands on pages without paragraphs is no furniture: it is what these pages say
+    beside: dict[str, set[str]] = {s: set() for s in sizes}
     for page, lines in zip(sample, read):
-        on_site.setdefault(page[0], Counter()).update({x.key for x in lines if x.key and x.kind != TITLE})
-    rows, strong, places, trust = [], [], [], []
+        on_site[page[0]].update({x.key for x in lines if x.key and x.kind != TITLE})
+        begun[page[0]].update({x.begins for x in lines if x.kind != TITLE})
+        if any([x.sentence and x.words >= PARAGRAPH_WORDS for x in lines]):
+            beside[page[0]].update([x.key for x in lines])
+    strong, places, trust = [], [], []
+    # rows of equal lines are held once; the first is the title lines', without features
+    rows: list[tuple[str, ...]] = [()]
+    place: list[int] = []
+    of_line: dict[tuple[int, int], int] = {}
+    of_form: dict[tuple, int] = {}
     furniture: dict[str, Line] = {}
-    paragraphs: dict[str, None] = {}
+    paragraphs: dict[str, Line] = {}
     inside: Counter = Counter()
     outside: Counter = Counter()
-    begun: Counter = Counter()
-    # what only stands on pages without paragraphs is no furniture: it is what these pages say
-    beside: set[tuple[str, str]] = set()
-    for page, lines in zip(sample, read):
-        if any(x.sentence and x.words >= PARAGRAPH_WORDS for x in lines):
-            beside.update((page[0], x.key) for x in lines)
-        begun.update({(page[0], x.begins) for x in lines if x.kind != TITLE})
     for page, lines in zip(sample, read):
-        counts = on_site[page[0]]
+        counts, starts, near = on_site[page[0]].get, begun[page[0]].get, beside[page[0]]
         often = max(REPEATED_PAGES, REPEATED_SHARE * sizes[page[0]])
-        long = [i for i, x in enumerate(lines) if x.sentence and x.words >= PARAGRAPH_WORDS and counts[x.key] < REPEATED_PAGES]
+        long = [i for i, x in enumerate(lines) if x.sentence and x.words >= PARAGRAPH_WORDS and counts(x.key, 0) < REPEATED_PAGES]
+        first, last = (long[0], long[-1]) if long else (0, -1)
+        paragraph = set(long)
         listed = 0  # the line of furniture above the open lines before this one
         below = False  # whether only open lines stand between the last paragraph or title and this line
         for i, x in enumerate(lines):
-            rows.append(local_features(x.cuts[0], x.signs, x.words, x.cuts[1]) if x.kind != TITLE else [])
-            open_line = x.kind != TITLE and (counts[x.key] < often or (page[0], x.key) not in beside) and i not in long
-            strong.append(None if open_line or x.kind == TITLE else float(i in long))
+            title, is_long = x.kind == TITLE, i in paragraph
+            if title:
+                place.append(0)
+            else:
+                # lines read alike share their cuts
+                at = id(x.cuts), x.words
+                k = of_line.get(at)
+                if k is None:
+                    tokens, ends = x.cuts
+                    form = " ".join(tokens), min(6, x.words.bit_length()), ends, x.words < SHORT
+                    k = of_form.get(form)
+                    if k is None:
+                        k = of_form[form] = len(rows)
+                        rows.append(tuple(local_features(tokens, x.signs, x.words, ends)))
+                    of_line[at] = k
+                place.append(k)
+            open_line = not title and not is_long and (counts(x.key, 0) < often or x.key not in near)
+            strong.append(None if open_line or title else float(is_long))
             if strong[-1] == 0.0:
                 furniture.setdefault(x.key, x)
-            elif strong[-1] == 1.0:
-                paragraphs[x.text] = None
+            elif is_long and not title:
+                paragraphs.setdefault(x.text, x)
             # on pages without paragraphs the model is surer to err
             trust.append(0.75 if long else 0.25)
-            between = len(long) > 1 and long[0] < i < long[-1] or bool(long) and i == long[0] - 1
+            between = first < i < last or bool(long) and i == first - 1
             if x.sentence or between:
                 places.append((LIKELY, None))
             elif not long:
-                places.append((0.5 if begun[page[0], x.begins] >= often or listed and i - listed <= LISTED else LIKELY, x.signs))
+                places.append((0.5 if starts(x.begins, 0) >= often or listed and i - listed <= LISTED else LIKELY, x.signs))
             else:
-                places.append((1 - LIKELY if begun[page[0], x.begins] >= often else LIKELY if below else 0.5, x.signs))
-            below = i in long or x.kind == TITLE or below and open_line
+                places.append((1 - LIKELY if starts(x.begins, 0) >= often else LIKELY if below else 0.5, x.signs))
+            below = is_long or title or below and open_line
             listed = i if strong[-1] == 0.0 else listed if open_line else 0
             if open_line and long and not x.sentence:
                 (inside if between else outside)[x.signs] += 1
     # forms of lines that mostly stand between paragraphs are likelier own wherever they stand
-    open_lines = []
-    for p, signs in places:
-        n = inside[signs] + outside[signs]
-        open_lines.append(LIKELY if signs is not None and n and 2 * inside[signs] > n else p)
+    mostly = {signs for signs, n in inside.items() if n > outside[signs]}
+    open_lines = [LIKELY if signs is not None and signs in mostly else p for p, signs in places]
     if not any(y == 0.0 for y in strong) or not any(y == 1.0 for y in strong):
         return blank
-    labels = list(open_lines)
-    # labels near one half say little
-    weight = [1.0 if y is not None else max(0.3, abs(2 * o - 1)) for y, o in zip(strong, open_lines)]
-    titles = [x.kind == TITLE for lines in read for x in lines]
     import numpy as np
 
-    # title lines are known and teach nothing
-    strength = np.array([0.0 if t else w for t, w in zip(titles, weight)])
-    held = Encoded(rows, 4)
-    model = blank
+    titles = np.array([x.kind == TITLE for lines in read for x in lines])
+    fixed = np.array([y is not None for y in strong])
+    known = np.array([y if y is not None else 0.0 for y in strong])
+    opened, trusted = np.array(open_lines), np.array(trust)
+    labels = opened
+    # labels near one half say little; title lines are known and teach nothing
+    strength = np.where(titles, 0.0, np.where(fixed, 1.0, np.maximum(0.3, np.abs(2 * opened - 1))))
+    held = Encoded(rows, place, 4)
     for k in range(rounds + 1):
-        y = np.array([s if s is not None else o for s, o in zip(strong, labels)])
+        y = np.where(fixed, known, labels)
         local = held.fit(y, strength)
-        at, around = 0, []
+        bases = iter(np.where(titles, 0.0, held.scores).tolist())
+        number: dict[tuple[str, ...], int] = {}
+        around = []
         for lines in read:
-            for x, base in zip(lines, held.scores[at : at + len(lines)].tolist()):
-                x.base = base if x.kind != TITLE else 0.0
-            at += len(lines)
-            around += context_features(lines)
-        beside_others = Encoded(around, 5)
-        model = BodyModel(local, beside_others.fit(y, strength))
-        model.furniture, model.paragraphs = list(furniture.values()), list(paragraphs)
-        model.rows = held.counts, beside_others.counts
+            for x in lines:
+                x.base = next(bases)
+            around += [number.setdefault(feats, len(number)) for feats in context_features(lines)]
+        beside_others = Encoded(number, around, 5)
+        context = beside_others.fit(y, strength)
         at = 0
         if k == rounds:
+            scores = beside_others.scores.tolist()
+            whole = [next((local.get(f, 0.0) < 0 for f in feats if f[0] == "=" and len(f) > 1), False) for feats in rows]
+            row = iter(place)
             for lines in read:
                 for x in lines:
-                    x.known = local.get("=" + " ".join(x.cuts[0]), 0.0) < 0 if x.kind != TITLE and x.words < SHORT else False
-                mark_furniture(lines, beside_others.scores[at : at + len(lines)].tolist())
+                    x.known = whole[next(row)]
+                mark_furniture(lines, scores[at : at + len(lines)])
                 at += len(lines)
-            model.sample = read
             break
+        scores = np.where(titles, 1.0, beside_others.scores)
+        steps, within = np.clip(scores, LEAST, MOST).tolist(), np.zeros(len(scores), dtype=bool)
         for lines in read:
-            scores = [1.0 if x.kind == TITLE else s for x, s in zip(lines, beside_others.scores[at : at + len(lines)].tolist())]
-            first, last = best_region([max(LEAST, min(MOST, s)) for s in scores])
-            for i, s in enumerate(scores):
-                told = 1 / (1 + math.exp(-s)) if first <= i <= last else 0.0
-                labels[at + i] = open_lines[at + i] + trust[at + i] * (told - open_lines[at + i])
+            first, last = best_region(steps[at : at + len(lines)])
+            within[at + first : at + last + 1] = True
             at += len(lines)
+        labels = opened + trusted * (np.where(within, 1 / (1 + np.exp(-scores)), 0.0) - opened)
+    model = BodyModel(local, context)
+    model.furniture, model.paragraphs, model.sample = list(furniture.values()), list(paragraphs.values()), read
+    model.rows = held.counts, beside_others.counts
     return model

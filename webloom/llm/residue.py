@@ -20,20 +20,22 @@ comes to the driver are n-grams and features, whatever the corpus' size.
 
 from __future__ import annotations
 
+import gc
 import math
 import re
 import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.body import BLANK, FURNITURE, PARAGRAPH_WORDS, TITLE, BodyModel, Line, fit_body_model
+from webloom.llm.body import BLANK, FORMAT, FURNITURE, PARAGRAPH_WORDS, TITLE, BodyModel, Line, fit_body_model
 from webloom.llm.furniture import kept, page_columns
-from webloom.llm.templates import with_slots
+from webloom.llm.templates import MONTHS, with_slots
 
 ORDER = 4
 #: Share of the background, the mean of all models, in each model's probabilities.
@@ -56,6 +58,8 @@ REMEMBERED, SHORT_LINE = 200_000, 120
 DUMMY_SHARE, DUMMY_LETTERS = 0.05, 4
 #: Words of fewer clauses with fields are names, not ways to speak of fields.
 NAMED = 3
+#: Pages whose words are looked up together.
+PREPARED = 250
 #: Rounds of adding what the models find to their labels.
 ROUNDS = 1
 
@@ -97,6 +101,7 @@ _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 _BARE = re.compile(r"[\"'“”„‘’`«]\s*\x01\s*[\"'“”‘’`»]")
 QUOTED = "\x02"
 _FIELD_HINT = re.compile(r"[{}\[\]<>@%_*]")
+_MARKS = ".,:;!?"
 
 
 def words_of(text: str) -> list[str]:
@@ -109,20 +114,87 @@ def _grams(word: str) -> list[str]:
     return [padded[i : i + ORDER] for i in range(max(1, len(padded) - ORDER + 1))]
 
 
+def _parts(lines: list[str]):
+    """(words, codes, sizes): the different words of lines, which of them the lines hold, and how many each."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    parts = pc.utf8_split_whitespace(pa.array(lines, pa.string()))
+    held = parts.flatten().dictionary_encode()
+    return held.dictionary.to_pylist(), held.indices.to_numpy(zero_copy_only=False), np.diff(parts.offsets.to_numpy())
+
+
 def count_words(lines: Iterable[str]) -> Counter:
-    return Counter(w for line in lines for w in words_of(line))
+    """The counts of ``words_of`` the lines, told of each different word once."""
+    import numpy as np
+
+    counts: Counter = Counter()
+    lines = list(lines)
+    if not lines:
+        return counts
+    words, codes, sizes = _parts(lines)
+    row = np.repeat(np.arange(len(lines)), sizes)
+    plain = [_PLAIN[w] for w in words]
+    # dates go over several words
+    months, numbers = (np.array(x, dtype=bool)[codes] for x in ([not MONTHS.isdisjoint(p) for p in plain], ["0" in p for p in plain]))
+    dated = (np.bincount(row[months], minlength=len(lines)) > 0) & (np.bincount(row[numbers], minlength=len(lines)) > 0)
+    for i in np.flatnonzero(dated).tolist():
+        counts.update(words_of(lines[i]))
+    for p, n in zip(plain, np.bincount(codes[~dated[row]], minlength=len(words)).tolist()):
+        if n:
+            for w in p:
+                counts[w] += n
+    return counts
 
 
 class Grams(Counter):
     """Counts of n-grams."""
 
 
+def _coded(words: list[str]) -> bool:
+    """Whether ``_windows`` can tell the words' n-grams: characters of 16 bits and no blanks."""
+    joined = "".join(words)
+    return joined.isascii() and " " not in joined or max(joined) <= "\uffff" and " " not in joined
+
+
+def _windows(words: list[str]):
+    """(codes, begins): the n-grams at the places of the joined words, and where the words begin.
+
+    Places within a word or right before it that begin no n-gram have codes of none.
+    """
+    import numpy as np
+
+    units = np.frombuffer((" " + " ".join(words) + "   ").encode("utf-16-le"), "<u2").astype(np.uint64)
+    second, third, fourth = units[1:-2], units[2:-1], units[3:]
+    blank = third == 32
+    # words of one letter have a single n-gram, which is shorter
+    codes = units[:-3] | second << np.uint64(16) | third << np.uint64(32) | np.where(blank, np.uint64(0), fourth) << np.uint64(48)
+    codes[(second == 32) | blank & (units[:-3] != 32)] = 0
+    begins = np.zeros(len(words), dtype=np.int64)
+    np.cumsum(np.fromiter(map(len, words[:-1]), np.int64, len(words) - 1) + 1, out=begins[1:])
+    return codes, begins
+
+
 def grams_of(words: Counter) -> Grams:
     """The n-grams of counted words."""
+    import numpy as np
+
     counts = Grams()
-    for w, n in words.items():
-        for g in _grams(w):
-            counts[g] += n
+    short = list(words)
+    if short and not _coded(short):
+        short = [w for w in short if _coded([w])]
+    if short:
+        codes, begins = _windows(short)
+        times = np.repeat(np.fromiter(map(words.__getitem__, short), np.int64, len(short)), np.diff(begins, append=len(codes)))
+        held = codes != 0
+        found, where = np.unique(codes[held], return_inverse=True)
+        text = found.astype("<u8").tobytes().decode("utf-16-le")
+        counts.update({text[ORDER * k : ORDER * k + ORDER].rstrip("\0"): int(n) for k, n in enumerate(np.bincount(where, weights=times[held]).tolist())})
+    if len(short) < len(words):
+        for w in words.keys() - set(short):
+            for g in _grams(w):
+                counts[g] += words[w]
     return counts
 
 
@@ -150,7 +222,7 @@ class _Ratios(dict):
 
     def __missing__(self, word: str) -> tuple[float, ...]:
         get = self.of_gram.get
-        found = [r for w in plain_words(word) for g in _grams(w) if (r := get(g)) is not None]
+        found = [r for w in _PLAIN[word] for g in _grams(w) if (r := get(g)) is not None]
         value = tuple([max(-6.0, min(6.0, sum(r))) for r in zip(*found)]) if found else self.none
         if len(self) < REMEMBERED:
             self[word] = value
@@ -159,28 +231,51 @@ class _Ratios(dict):
 
 def plain_words(word: str) -> list[str]:
     """``words_of`` one word; most are plain ones."""
-    bare = word.strip(".,:;!?")
+    bare = word.strip(_MARKS)
     if bare.isalpha():
         return [bare.casefold() if bare.isascii() else unicodedata.normalize("NFKC", bare).casefold()]
+    if bare.isdecimal():
+        return ["0"]
     return words_of(word)
 
 
+class _Plain(dict):
+    """``plain_words`` of words, as they come again and again."""
+
+    def __missing__(self, word: str) -> list[str]:
+        found = plain_words(word)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found
+        return found
+
+
+_PLAIN = _Plain()
+
+
 class _Bounds(dict):
     """The most that a word can add to a window of any kind of residue."""
 
     def __init__(self, ratios: _Ratios, kinds: int) -> None:
+        import numpy as np
+
         super().__init__()
         #: the kinds' ratios against prose, gram by gram; grams that speak for none of them still count
         self.of_gram = {g: r[:kinds] for g, r in ratios.of_gram.items()}
         self.none = (0.0,) * kinds
+        # the same by the code of the n-gram, at the end those without one
+        short = [g for g in self.of_gram if max(g) <= "\uffff" and " " not in g[1:-1]]
+        codes = np.frombuffer("".join([g.ljust(ORDER, "\0") for g in short]).encode("utf-16-le"), "<u8")
+        order = np.argsort(codes, kind="stable")
+        self.codes = codes[order]
+        self.table = np.array([self.of_gram[short[k]] for k in order] + [self.none]).T
 
     def __missing__(self, word: str) -> float:
         get = self.of_gram.get
         sums = [0.0] * len(self.none)
         for w in plain_words(word):
-            padded = f" {w} "
-            for i in range(max(1, len(padded) - ORDER + 1)):
-                if r := get(padded[i : i + ORDER]):
+            for g in _grams(w):
+                if r := get(g):
                     for k, x in enumerate(r):
                         sums[k] += x
         value = min(6.0, max(0.0, *sums))
@@ -188,6 +283,31 @@ class _Bounds(dict):
             self[word] = value
         return value
 
+    def prepare(self, words: set[str]) -> None:
+        """Looks up many words at once; some are left to be looked up one by one."""
+        import numpy as np
+
+        new = words.difference(self)
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = words
+        if not len(self.codes):
+            return
+        told = {w: found for w in new if (found := _PLAIN[w])}
+        plain = list(chain.from_iterable(told.values()))
+        if plain and not _coded(plain):
+            told = {w: found for w, found in told.items() if _coded(found)}
+            plain = list(chain.from_iterable(told.values()))
+        if not plain:
+            return
+        codes, begins = _windows(plain)
+        at = np.searchsorted(self.codes, codes)
+        at[self.codes.take(at, mode="clip") != codes] = len(self.codes)
+        sizes = np.fromiter(map(len, told.values()), np.int64, len(told))
+        begins = begins[np.cumsum(sizes) - sizes]
+        most = np.max([np.add.reduceat(row.take(at), begins) for row in self.table], axis=0)
+        self.update(zip(told, np.clip(most, 0.0, 6.0).tolist()))
+
 
 def best_window(scores: list[float]) -> tuple[float, int]:
     """The largest sum of consecutive scores, and how many they are."""
@@ -211,12 +331,33 @@ class ResidueModel:
         self.bounds = _Bounds(self.ratios, n)
         self.left_open = _Ratios([_Shares(unfilled), _Shares(spoken)], [(0, 1)])
         self._seen: dict[str, int] = {}
+        self._ahead: dict[str, int] = {}
+
+    def prepare(self, lines: Iterable[str]) -> None:
+        """Tells the kinds of many different lines at once, which is cheaper than one by one; they are kept until the next are told."""
+        import numpy as np
+
+        self._ahead = {}
+        new = [x for x in lines if x and x not in self._seen]
+        if not new:
+            return
+        words, codes, sizes = _parts(new)
+        self.bounds.prepare(set(words))
+        most = np.array(list(map(self.bounds.__getitem__, words)))
+        row = np.repeat(np.arange(len(new)), sizes)
+        sums = np.bincount(row, weights=most[codes], minlength=len(new))
+        told = dict.fromkeys(new, 0)
+        for i in np.flatnonzero(sums + 1e-6 >= np.maximum(WINDOW, DENSITY * sizes / 2)).tolist():
+            told[new[i]] = self._residue(new[i])
+        self._ahead = told
 
     def residue(self, line: str) -> int:
         """The kind of residue, from 1, of which a window covers half of the line; 0 if none does."""
         kind = self._seen.get(line)
         if kind is None:
-            kind = self._residue(line)
+            kind = self._ahead.get(line)
+            if kind is None:
+                kind = self._residue(line)
             if len(self._seen) < REMEMBERED and len(line) < SHORT_LINE:
                 self._seen[line] = kind
         return kind
@@ -260,6 +401,20 @@ def fields_of(line: str) -> list[str]:
     return [c for c in _CLAUSE.split(_BARE.sub(f" {QUOTED} ", FIELD.sub(" \x01 ", line))) if "\x01" in c or QUOTED in c]
 
 
+def may_be_residue(title: str | None, text: str | None, model: ResidueModel) -> bool:
+    """Whether a page holds a line of residue or a field at all; if not, ``judge_page`` gives no reason whatever its body."""
+    if not text:
+        return False
+    if title and fields_of(title) or not text.isascii() and FORMAT.search(text):
+        return True
+    hinted = bool(_FIELD_HINT.search(text)) or "XX-" in text
+    for raw in text.split("\n"):
+        line = raw.strip()
+        if line and (model.residue(line) or hinted and (fields_of(line) or title and title in line and fields_of(line.replace(title, "")))):
+            return True
+    return False
+
+
 def judge_page(domain: str | None, url: str | None, title: str | None, text: str | None, body: BodyModel, model: ResidueModel) -> tuple[str | None, float, list[Line]]:
     """(reason, coverage, lines): the reason is 'field', 'residue' or None."""
     if not text or not text.strip():
@@ -288,7 +443,8 @@ def judge_page(domain: str | None, url: str | None, title: str | None, text: str
 def _clauses(page: str, title: str | None) -> tuple[list[str], list[str]]:
     """The clauses of a page that speak of quoted fields, and those with several bare ones."""
     spoken, left = [], []
-    for line in [*page.split("\n"), title or ""]:
+    whole = f"{page}\n{title or ''}"
+    for line in whole.split("\n") if _FIELD_HINT.search(whole) or "XX-" in whole else ():
         if (_FIELD_HINT.search(line) or "XX-" in line) and FIELD.search(line) and not _COMMAND.search(line):
             for clause in _CLAUSE.split(FIELD.sub(" \x01 ", line)):
                 if _BARE.search(clause):
@@ -319,21 +475,28 @@ def fit_shard(pages: list[tuple], rounds: int = ROUNDS) -> list[tuple[str, str,
     labels = [[*REASONS, *sorted(told)], list(DUMMY), list(LATIN)]
     latin = frozenset(w for x in LATIN for w in words_of(x) if len(w) >= DUMMY_LETTERS)
     prose = {}
-    for p in body.paragraphs:
-        words = _WORD.findall(p.casefold())
-        dummy = [w for w in words if w in latin]
-        if len(set(dummy)) > 1 and len(dummy) >= DUMMY_SHARE * len(words):
-            labels[2].append(p)
-        else:
-            prose[p] = None
+    for x in body.paragraphs:
+        p, tokens = x.text, x.cuts[0]
+        if not latin.isdisjoint(tokens) or "@" in tokens or not p.isascii():
+            words = _WORD.findall(p.casefold())
+            dummy = [w for w in words if w in latin]
+            if len(set(dummy)) > 1 and len(dummy) >= DUMMY_SHARE * len(words):
+                labels[2].append(p)
+                continue
+        prose[p] = None
     furniture, told_prose = count_words(x.text for x in body.furniture), count_words(prose)
     kinds = known = [count_words(x) for x in labels]
     fewer = told_prose
     for _ in range(rounds):
         model = ResidueModel(kinds, furniture, fewer, Counter(), Counter())
         more: list[set[str]] = [set() for _ in labels]
-        for lines in body.sample:
-            judged = [(x, model.residue(x.text)) for x in lines if not (x.kind == FURNITURE and x.known)]
+        for i, lines in enumerate(body.sample):
+            if i % PREPARED == 0:
+                model.prepare({x.text for near in body.sample[i : i + PREPARED] for x in near})
+            told_lines = [model.residue(x.text) for x in lines]
+            if not any(told_lines):
+                continue
+            judged = [(x, k) for x, k in zip(lines, told_lines) if not (x.kind == FURNITURE and x.known)]
             own = sum(x.words for x, k in judged if k or x.kind != FURNITURE)
             if own and sum(x.words for x, k in judged if k) >= COVERAGE * own:
                 # what else such a page says is residue of the same kind
@@ -380,7 +543,13 @@ def fit_models(pages: DataFrame, rounds: int = ROUNDS, shard_pages: int = SHARD_
         import pandas as pd
 
         part = part.astype(object).where(part.notna(), None).sort_values(["site", "id", "text"])
-        told = fit_shard(list(zip(part["site"], part["url"], part["title"], part["text"], part["status"])), rounds)
+        rows = list(zip(part["site"], part["url"], part["title"], part["text"], part["status"]))
+        # a shard's many lines hold no cycles, and need not be looked through for any
+        gc.disable()
+        try:
+            told = fit_shard(rows, rounds)
+        finally:
+            gc.enable()
         return pd.DataFrame(told, columns=["kind", "key", "a", "b"])
 
     # shards are few and costly: in many small partitions they are spread evenly
@@ -422,10 +591,13 @@ def residue_pages(pages: DataFrame, models: Broadcast | None = None) -> DataFram
         body, model = kept(models)
         for batch in batches:
             found = []
-            for page, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                reason, coverage, _ = judge_page(*rest, body, model)
-                if reason:
-                    found.append((page, reason, coverage))
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            while part := list(islice(rows, PREPARED)):
+                model.prepare({line.strip() for *_, text in part if text for line in text.split("\n")})
+                for page, *rest in part:
+                    reason, coverage, _ = judge_page(*rest, body, model) if may_be_residue(rest[2], rest[3], model) else (None, 0.0, [])
+                    if reason:
+                        found.append((page, reason, coverage))
             columns = list(zip(*found)) if found else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], ["page_id", "reason", "coverage"])
 

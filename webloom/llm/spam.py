@@ -78,8 +78,8 @@ def measures(own: list[Line], whole: str = "") -> tuple[str, int, float, float,
             linked += len(x.text) - len(bare)
             found, code = _WORD.findall(bare.casefold()), False
         else:
-            found = [t for t in x.cuts[0] if t.isalpha()]
-            code = not x.sentence and is_code(x.cuts[0])
+            found = list(filter(str.isalpha, x.cuts[0]))
+            code = not x.sentence and len(found) < len(x.cuts[0]) and is_code(x.cuts[0])
         words += found
         if not code:
             loose += found
