@@ -272,6 +272,15 @@ def test_language_of_keywords():
     assert not spam.is_code(body.tokens_of("buy lamps | cheap lamps online | lamps", ""))
 
 
+def test_lines_of_words_alone_are_no_code(monkeypatch):
+    asked = []
+    monkeypatch.setattr(spam, "is_code", lambda tokens: asked.append(tokens) or True)
+    lines = [body.Line(x, len(x.split()), body.OWN, False, "", "", 0.0, (body.tokens_of(x, ""), False)) for x in ("cheap lamps online", "x.cache = open(host, limit=2)")]
+    _, words, sure, *_ = spam.measures(lines)
+    # their tokens are all letters, and are not gone through again
+    assert asked == [lines[1].cuts[0]] and sure == lines[1].words / words
+
+
 # p7
 
 

@@ -136,16 +136,15 @@ def signs_of(tokens: list[str]) -> str:
     return ("w" if tokens and tokens[0].isalpha() else "") + "".join([t for t in tokens if not t.isalpha()])
 
 
-def local_features(tokens: list[str], signs: str, words: int, ends: bool) -> list[str]:
+def local_features(tokens: list[str], signs: str, words: int, ends: bool) -> Iterable[str]:
     """What a line tells by itself: words, signs, how it begins, its whole wording, its form."""
     form = f"n{min(6, words.bit_length())}{'.' if ends else ''}"
     if not tokens:
-        return [form]
-    begin = ["^" + tokens[0], "^" + " ".join(tokens[:2]), form]
+        return (form,)
     if words < SHORT:
         # a longer line's whole wording and order of signs hardly come again
-        begin += ["=" + " ".join(tokens), "~" + signs, "~" + signs + form]
-    return [*dict.fromkeys(tokens), *begin]
+        return chain(dict.fromkeys(tokens), ("^" + tokens[0], "^" + " ".join(tokens[:2]), form, "=" + " ".join(tokens), "~" + signs, "~" + signs + form))
+    return chain(dict.fromkeys(tokens), ("^" + tokens[0], "^" + " ".join(tokens[:2]), form))
 
 
 def _level(score: float) -> int:
@@ -370,7 +369,7 @@ class Encoded:
 
         z = np.full(self.rows, b)
         if len(self.live):
-            z[self.live] += np.add.reduceat((w * self.alike).take(self.flat), self.begins)
+            z[self.live] += np.add.reduceat((w * self.alike).take(self.flat, mode="clip"), self.begins)
         return z
 
     def fit(self, labels, strengths, ridge: float = 1.0, steps: int = 60) -> dict[str, float]:
@@ -385,7 +384,7 @@ class Encoded:
             error = strength / (1 + np.exp(-np.clip(self._sums(w, b), -30, 30))) - told
             grad = ridge * w
             if len(w):
-                grad += np.add.reduceat(error.take(self.of_feature), self.feature_begins)
+                grad += np.add.reduceat(error.take(self.of_feature, mode="clip"), self.feature_begins)
             past = 0.9 * past + 0.1 * grad * grad
             past_b = 0.9 * past_b + 0.1 * error.sum() ** 2
             rate = 0.3 / (1 + step / 20)

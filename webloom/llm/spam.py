@@ -58,8 +58,8 @@ def language_of(words: list[str]) -> str:
 
 def is_code(tokens: list[str]) -> bool:
     """Whether a line's tokens are those of code, of a request or of a table's row: signs and values between the words."""
-    marks = sum([t in _MARKS for t in tokens])
-    return marks > 0 and 3 * marks >= sum([t.isalpha() for t in tokens])
+    marks = sum(map(_MARKS.__contains__, tokens))
+    return marks > 0 and 3 * marks >= sum(map(str.isalpha, tokens))
 
 
 def measures(own: list[Line], whole: str = "") -> tuple[str, int, float, float, float, float, float]:
