@@ -281,6 +281,34 @@ def test_lines_of_words_alone_are_no_code(monkeypatch):
     assert asked == [lines[1].cuts[0]] and sure == lines[1].words / words
 
 
+def test_many_pages_are_measured_at_once(monkeypatch):
+    r = random.Random(5)
+    odd = ["", " \t ", "a\tb  c", "Étés — ﬁn ２０２４", "May 3, 2024 | acme", "Acmes acmex ACME 12 acm", "x.cache = open(host, limit=2)", "see https://a.example/x?y=1 or www.b.example now", "“the quoted words” of it", "in\u2028two", "ab\u200bc", "- - -", "=", "·", PROSE, PROSE.replace(" ", "\x85 ", 1), "7 mars — 8 mai 0 mars", "der die das", "𝒳 x²"]
+    pages = [("www.acme.example", p[1], p[2], p[3] + "\n" + "\n".join(r.choices(odd, k=6))) for p in CORPUS]
+    pages += [(r.choice([None, "", "ab.example", "acme2.example"]), r.choice([None, "https://a.example/a/acmes-acmex-acme-of-it"]), r.choice([None, "", "acmes acmex", "=="]), "\n".join(r.choices(odd, k=k % 7))) for k in range(60)]
+    for model in (BODY, body.BodyModel({"": 0.0}, {"": 0.0})):
+        alone = [model.judge(*p) for p in pages]
+        measured = [spam.measures([x for x in lines if x.kind == body.OWN], p[3]) for p, lines in zip(pages, alone)]
+        with monkeypatch.context() as only:
+            # no line is read by itself
+            only.setattr(body, "tokens_of", None)
+            only.setattr(model, "read", None, raising=False)
+            many, _ = model.judge_many(pages)
+            at_once = spam.measures_many(pages, model)
+        told = [[(x.text, x.words, x.kind, x.sentence, x.bullet, x.key, x.signs, x.begins, x.known, round(x.base, 9)) for x in lines if x.kind != body.BLANK] for lines in (*alone, *many)]
+        assert told[: len(pages)] == told[len(pages) :]
+        assert all(a[:2] == b[:2] and max(abs(x - y) for x, y in zip(a[2:], b[2:])) < 1e-9 for a, b in zip(measured, at_once))
+    assert spam.measures_many([], BODY) == []
+
+
+def test_lines_that_cannot_cover_a_page_are_not_judged(monkeypatch):
+    judge, pages = residue.ResidueModel._residue, [(p[0], p[1], p[2], f"{p[3]}\nThis page could not be found. The page was not found.", 200) for p in CORPUS]
+    pages += [("gone.example", None, None, "This page could not be found. The page was not found. Not Found.", 404)] * 30
+    asked = []
+    monkeypatch.setattr(residue.ResidueModel, "_residue", lambda model, line: asked.append(line) or judge(model, line))
+    assert residue.fit_shard(pages) and set(asked) == {"This page could not be found. The page was not found. Not Found."}
+
+
 # p7
 
 

@@ -18,7 +18,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable
-from itertools import chain
+from itertools import chain, filterfalse
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,10 +75,20 @@ def slug_of(url: str | None) -> str:
     return "".join(_WORD.findall(path.rpartition("/")[2].casefold())) if "/" in path else ""
 
 
+def is_own_title(key: str, slug: str) -> bool:
+    """Whether the URL's last part begins with the words of a line."""
+    # most lines begin with another word
+    first = key.partition(" ")[0]
+    if first.isalpha() and not slug.startswith(first):
+        return False
+    joined = "".join(filter(str.isalpha, key.split()))
+    return len(joined) > 8 and slug.startswith(joined)
+
+
 class Line:
     """One line: its text, words and what the scan needs to know of it."""
 
-    __slots__ = ("base", "begins", "bullet", "cuts", "key", "kind", "known", "score", "sentence", "signs", "text", "words")
+    __slots__ = ("base", "begins", "bullet", "cuts", "key", "kind", "known", "row", "score", "sentence", "signs", "text", "words")
 
     def __init__(self, text: str, words: int, kind: int, sentence: bool, bullet: str, key: str, base: float, cuts: tuple[list[str], bool] = ([], False), signs: str = "", begins: str = "", known: bool = False) -> None:
         self.text, self.words, self.kind, self.sentence, self.bullet, self.key, self.base = text, words, kind, sentence, bullet, key, base
@@ -86,23 +96,13 @@ class Line:
 
 
 class _Tokens(dict):
-    """The tokens of a text's parts between blanks: a string if there is one, else a tuple; ``several`` has the parts of tuples."""
+    """The tokens of a text's parts between blanks."""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.several: set[str] = set()
-
-    def __missing__(self, part: str) -> str | tuple[str, ...]:
+    def __missing__(self, part: str) -> tuple[str, ...]:
         bare = part.rstrip(".,!?")
-        if bare.isalpha():
-            told = bare
-        else:
-            tokens = ["0" if t[0].isdigit() else t for t in _TOKEN.findall(part)]
-            told = tokens[0] if len(tokens) == 1 else tuple(tokens)
+        told = (bare,) if bare.isalpha() else tuple(["0" if t[0].isdigit() else t for t in _TOKEN.findall(part)])
         if len(self) < REMEMBERED:
             self[part] = told
-            if type(told) is tuple:
-                self.several.add(part)
         return told
 
 
@@ -117,10 +117,7 @@ def tokens_of(text: str, brand: str) -> list[str]:
     parts = text.split()
     if len(_TOKENS) + len(parts) >= REMEMBERED:
         _TOKENS.clear()
-        _TOKENS.several.clear()
-    tokens = list(map(_TOKENS.__getitem__, parts))
-    if not _TOKENS.several.isdisjoint(parts):
-        tokens = list(chain.from_iterable([t if type(t) is tuple else (t,) for t in tokens]))
+    tokens = list(chain.from_iterable(map(_TOKENS.__getitem__, parts)))
     # a month beside a number is part of a date
     if "0" in tokens and not MONTHS.isdisjoint(tokens):
         tokens = [t for k, t in enumerate(tokens) if not (t in MONTHS and "0" in tokens[max(0, k - 1) : k + 2])]
@@ -133,7 +130,7 @@ def tokens_of(text: str, brand: str) -> list[str]:
 
 def signs_of(tokens: list[str]) -> str:
     """The signs and slots alone, in their order, and whether a word comes first: they tell rows, paths, lists and code."""
-    return ("w" if tokens and tokens[0].isalpha() else "") + "".join([t for t in tokens if not t.isalpha()])
+    return ("w" if tokens and tokens[0].isalpha() else "") + "".join(filterfalse(str.isalpha, tokens))
 
 
 def local_features(tokens: list[str], signs: str, words: int, ends: bool) -> Iterable[str]:
@@ -157,8 +154,9 @@ def _stand(score: float) -> str:
     return "-" if score < CERTAIN else "0" if score < 0.5 else "+"
 
 
-#: Features of lines that are no open ones; a few thousand at most.
+#: Features of lines that are no open ones, a few thousand at most; then those of open ones, by all that they tell of.
 _CLOSED: dict[tuple, tuple[str, ...]] = {}
+_OPEN: dict[tuple, tuple[str, ...]] = {}
 
 
 def context_features(lines: list[Line]) -> list[tuple[str, ...]]:
@@ -192,13 +190,22 @@ def context_features(lines: list[Line]) -> list[tuple[str, ...]]:
         v = "^" if before is None else "t" if before.kind == TITLE else ("s" if before.sentence else "f") + _stand(before.base)
         w = "$" if after is None else "t" if after.kind == TITLE else ("s" if after.sentence else "f") + _stand(after.base)
         size = min(6, (j - i).bit_length())
-        # with the page's state, and without it where that state is rare
-        shared = [f"{x.bullet}<{v}", f"{state}{x.bullet}<{v}", f"{state}{x.bullet}>{w}", f"{state}{x.bullet}<{v}>{w}{size}", f"{x.bullet}*{state}{size}"]
-        if before is not None and before.kind != TITLE and not before.sentence:
-            shared += [f"C{state}{x.bullet}", f"C={x.bullet}{before.key}", *[f"C:{x.bullet}{t}" for t in before.key.split()]]
+        head = before.key if before is not None and before.kind != TITLE and not before.sentence else None
+        shared = None
         for y in lines[i:j]:
-            level = _level(y.base)
-            out.append((f"L{level}f", f"L{level}f{y.bullet}", f"{state}f{y.bullet}{min(5, y.words.bit_length())}", f"{state}{level}f{y.bullet}", f"{y.bullet}~{y.signs}", *shared))
+            stand = _level(y.base), state, y.bullet, min(5, y.words.bit_length()), y.signs, v, w, size, head
+            feats = _OPEN.get(stand)
+            if feats is None:
+                if shared is None:
+                    # with the page's state, and without it where that state is rare
+                    shared = [f"{x.bullet}<{v}", f"{state}{x.bullet}<{v}", f"{state}{x.bullet}>{w}", f"{state}{x.bullet}<{v}>{w}{size}", f"{x.bullet}*{state}{size}"]
+                    if head is not None:
+                        shared += [f"C{state}{x.bullet}", f"C={x.bullet}{head}", *[f"C:{x.bullet}{t}" for t in head.split()]]
+                level, _, bullet, length, *_ = stand
+                if len(_OPEN) >= REMEMBERED:
+                    _OPEN.clear()
+                feats = _OPEN[stand] = (f"L{level}f", f"L{level}f{bullet}", f"{state}f{bullet}{length}", f"{state}{level}f{bullet}", f"{bullet}~{y.signs}", *shared)
+            out.append(feats)
         i = j
     return out
 
@@ -231,6 +238,7 @@ class BodyModel:
         self.sample: list[list[Line]] = []
         #: rows of the features that were fitted, those of no weight too
         self.rows: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self._weighted = frozenset(local)
         self._seen: dict[tuple, tuple] = {}
         self._closed: dict[tuple, float] = {}
 
@@ -245,6 +253,8 @@ class BodyModel:
         brand = brand_of(domain)
         own = "".join(_WORD.findall(title.casefold())) if title else ""
         slug = slug_of(url)
+        if len(slug) <= 12:
+            slug = ""
         low_title = " ".join(title.casefold().split()) if title else ""
         seen, local = self._seen, self.local
         if not text.isascii() and FORMAT.search(text):
@@ -275,22 +285,129 @@ class BodyModel:
                 tokens = tokens_of(judged, brand)
                 signs, key, before = "", judged, False
                 if words < SHORT:
-                    signs, key = signs_of(tokens), " ".join([t for t in tokens if t.isalnum() or t in "@¤"])
-                    before = local.get("=" + " ".join(tokens), 0.0) < 0
-                base = 0.0 if blank else _score(local, local_features(tokens, signs, words, ends))
+                    signs, key = signs_of(tokens), " ".join(tokens)
+                    before = not blank and local.get("=" + key, 0.0) < 0
+                    if signs != "w":
+                        key = " ".join([t for t in tokens if t.isalnum() or t in "@¤"])
+                base = 0.0 if blank else self.line_score(tokens, signs, words, ends)
                 bullet = tokens[0] if tokens and tokens[0] in _BULLETS else ""
                 sentence = end in _STOPS and words >= SENTENCE_WORDS
-                joined = "" if sentence else "".join([t for t in key.split() if t.isalpha()])
-                known = base, sentence, bullet, key, (tokens, ends), signs, (tokens[0] if tokens else "") + signs, before, joined
+                known = base, sentence, bullet, key, (tokens, ends), signs, (tokens[0] if tokens else "") + signs, before
                 if words < SHORT or blank and judged is line:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen[judged, brand] = known
-            base, sentence, bullet, key, cuts, signs, begins, before, joined = known
-            own_title = len(joined) > 8 and len(slug) > 12 and not sentence and slug.startswith(joined)
+            base, sentence, bullet, key, cuts, signs, begins, before = known
+            own_title = slug and not sentence and is_own_title(key, slug)
             out.append(Line(line, words, TITLE if own_title else OWN, sentence, bullet, key, base, cuts, signs, begins, before))
         return out
 
+    def read_many(self, pages: list[tuple]) -> tuple[list[list[Line]], Words]:
+        """The filled lines of (domain, url, title, text) of many pages as ``read`` tells them, and their words, of which ``row`` tells the line's."""
+        local, get = self.local, self.local.get
+        blank = len(local) < 2
+        texts: list[str] = []
+        brands: dict[int, str] = {}
+        told: list[tuple[str, str, int, str, bool]] = []
+        slugs: list[str] = []
+        numbers: list[int] = []
+        for domain, url, title, text in pages:
+            brand = brand_of(domain)
+            head = brand[:4]
+            own = "".join(_WORD.findall(title.casefold())) if title else ""
+            slug = slug_of(url)
+            slugs.append(slug if len(slug) > 12 else "")
+            low_title = " ".join(title.casefold().split()) if title else ""
+            ascii_text = text.isascii()
+            if not ascii_text and FORMAT.search(text):
+                text = FORMAT.sub("", text)
+            size = len(low_title)
+            titled, quoted = size > 8 and low_title in text.casefold(), "“" in text or "„" in text or "«" in text or '"' in text
+            if _OTHER_SPACE.search(text):
+                ascii_text = None
+            n = 0
+            for raw in text.split("\n"):
+                line = raw.strip()
+                if not line:
+                    continue
+                n += 1
+                words = line.count(" ") + 1
+                judged = line
+                if titled and len(line) >= size and low_title in (low := line.casefold()):
+                    if len(line) <= size + 6 and "".join(_WORD.findall(low)) == own:
+                        told.append((line, "", words, "", True))
+                        texts.append("")
+                        continue
+                    judged = low.replace(low_title, " ¤ ")
+                elif quoted and ("“" in line or "„" in line or "«" in line or '"' in line):
+                    judged = _QUOTED.sub(" ¤ ", line)
+                folded = (judged if ascii_text or judged.isascii() else unicodedata.normalize("NFKC", judged)).casefold()
+                if head and head in folded:
+                    brands[len(texts)] = brand
+                texts.append(folded if ascii_text is not None else " ".join(folded.split()))
+                told.append((line, judged, words, line[-8:].rstrip(_CLOSING)[-1:], False))
+            numbers.append(n)
+        held = Words(texts, brands)
+        import numpy as np
+
+        names = held.names
+        scores = np.zeros(len(texts)) if blank else held.sums(np.array([get(t, 0.0) for t in names]), distinct=True)
+        signed = held.sums((~held.alpha).astype(float)).tolist()
+        out, tokens_of_all, k = [], held.tok.tolist(), 0
+        shapes: dict[tuple, float] = {}
+        beginnings: dict[tuple[int, int], float] = {}
+        for n, slug in zip(numbers, slugs):
+            lines = []
+            for (line, judged, words, end, is_title), a, size, score, marks in zip(told[k : k + n], held.begins[k : k + n].tolist(), held.sizes[k : k + n].tolist(), scores[k : k + n].tolist(), signed[k : k + n]):
+                if is_title:
+                    x = Line(line, words, TITLE, False, "", "", 0.0)
+                    x.row = k
+                    k += 1
+                    lines.append(x)
+                    continue
+                first = names[tokens_of_all[a]] if size else ""
+                ends, short = end in _ENDS, words < SHORT
+                signs, key, before = "", judged, False
+                if short:
+                    tokens = [names[t] for t in tokens_of_all[a : a + size]]
+                    whole = key = " ".join(tokens)
+                    signs = "w"
+                    if marks or not tokens:
+                        signs = signs_of(tokens)
+                        key = " ".join([t for t in tokens if t.isalnum() or t in "@¤"])
+                    wording = 0.0 if blank else get("=" + whole, 0.0)
+                    before = wording < 0
+                if not blank:
+                    # how lines begin, their signs and forms are few
+                    shape = min(6, words.bit_length()), ends, signs if short and size else None
+                    told_shape = shapes.get(shape)
+                    if told_shape is None:
+                        form = f"n{shape[0]}{'.' if ends else ''}"
+                        told_shape = shapes[shape] = local[""] + get(form, 0.0) + (get("~" + signs, 0.0) + get("~" + signs + form, 0.0) if shape[2] is not None else 0.0)
+                    score += told_shape
+                    if size:
+                        begin = tokens_of_all[a], tokens_of_all[a + 1] if size > 1 else -1
+                        told_begin = beginnings.get(begin)
+                        if told_begin is None:
+                            told_begin = beginnings[begin] = get("^" + first, 0.0) + get(f"^{first} {names[begin[1]]}" if size > 1 else "^" + first, 0.0)
+                        score += told_begin + (wording if short else 0.0)
+                    score = -_CLIP if score < -_CLIP else _CLIP if score > _CLIP else score
+                sentence = end in _STOPS and words >= SENTENCE_WORDS
+                x = Line(line, words, TITLE if slug and not sentence and is_own_title(key, slug) else OWN, sentence, first if first in _BULLETS else "", key, score, ([], ends), signs, first + signs, before)
+                x.row = k
+                k += 1
+                lines.append(x)
+            out.append(lines)
+        return out, held
+
+    def judge_many(self, pages: list[tuple]) -> tuple[list[list[Line]], Words]:
+        """``judge`` of many pages, without their blank lines, as ``read_many`` gives them."""
+        out, held = self.read_many(pages)
+        if len(self.context) >= 2:
+            for lines in out:
+                mark_furniture(lines, list(map(self.place_score, context_features(lines))))
+        return out, held
+
     def judge(self, domain: str | None, url: str | None, title: str | None, text: str) -> list[Line]:
         """The page's lines, each blank, title, own or furniture; a model without weights finds no furniture."""
         lines = self.read(domain, url, title, text)
@@ -300,16 +417,104 @@ class BodyModel:
         mark_furniture(filled, [self.place_score(feats) for feats in context_features(filled)])
         return lines
 
+    def line_score(self, tokens: list[str], signs: str, words: int, ends: bool) -> float:
+        """``_score`` of ``local_features``: of a long line's many words, those that have weights are told at once."""
+        if words < SHORT:
+            return _score(self.local, local_features(tokens, signs, words, ends))
+        local = self.local
+        held = self._weighted.intersection(tokens)
+        get = local.get
+        extra = get(f"n{min(6, words.bit_length())}{'.' if ends else ''}", 0.0)
+        if tokens:
+            extra += get("^" + tokens[0], 0.0) + get("^" + " ".join(tokens[:2]), 0.0)
+        return max(-_CLIP, min(_CLIP, local[""] + extra + math.fsum(map(local.__getitem__, held))))
+
     def place_score(self, feats: tuple[str, ...]) -> float:
-        """The score of a line's form and of what stands around it; those of lines that are no open ones are few."""
-        if len(feats) > 4:
-            return _score(self.context, feats)
+        """The score of a line's form and of what stands around it; lines that stand alike share it."""
         score = self._closed.get(feats)
         if score is None:
+            if len(self._closed) >= REMEMBERED:
+                self._closed.clear()
             score = self._closed[feats] = _score(self.context, feats)
         return score
 
 
+#: White space besides blanks that parts texts.
+_OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\u1680\u2028\u2029]")
+
+
+class Words:
+    """The tokens of many lines as numbers: ``tok`` line after line, ``row`` the line of each, ``names`` what they are.
+
+    The same as ``tokens_of`` every line, but each different part of a text is
+    told once. Texts are in lower case, and parted by blanks alone.
+    """
+
+    def __init__(self, texts: list[str], brands: dict[int, str]) -> None:
+        """``brands`` has the site's name of the lines that may hold it."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        held = parts.flatten().dictionary_encode()
+        codes = held.indices.to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        zero, site = number["0"], number["@"]
+        unique = held.dictionary.to_pylist()
+        if len(_TOKENS) + len(unique) >= REMEMBERED:
+            _TOKENS.clear()
+        told = list(map(_TOKENS.__getitem__, unique))
+        sizes = np.fromiter(map(len, told), np.int64, len(told))
+        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(told)), np.int64, int(sizes.sum()))
+        times = sizes[codes]
+        ends = np.cumsum(times)
+        tok = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - times), times) + np.arange(int(times.sum()))]
+        row = np.repeat(row, times)
+        self.names = names = list(number)
+        # a month beside a number is part of a date
+        months = np.array([t in MONTHS for t in names])[tok]
+        if months.any():
+            is_zero = tok == zero
+            beside = np.zeros(len(tok), dtype=bool)
+            beside[1:] |= is_zero[:-1] & (row[1:] == row[:-1])
+            beside[:-1] |= is_zero[1:] & (row[1:] == row[:-1])
+            tok, row = tok[~(months & beside)], row[~(months & beside)]
+        if brands:
+            heads = {b[:4] for b in brands.values()}
+            near = np.any([[t[:n] in heads for t in names] for n in {len(h) for h in heads}], axis=0)
+            lines = np.zeros(len(texts), dtype=bool)
+            lines[list(brands)] = True
+            for k in np.flatnonzero(near[tok] & lines[row]).tolist():
+                t, brand = names[tok[k]], brands[int(row[k])]
+                if len(t) >= 4 and (t.startswith(brand) or t.startswith(brand[:4]) and brand.startswith(t) and 5 * len(t) >= 4 * len(brand)):
+                    tok[k] = site
+        self.tok, self.row = tok, row
+        self.alpha = np.fromiter(map(str.isalpha, names), bool, len(names))
+        self.sizes = np.bincount(row, minlength=len(texts))
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def sums(self, values, distinct: bool = False):
+        """For each line the sum of its tokens' ``values``, or of its different tokens'."""
+        import numpy as np
+
+        held = values[self.tok] != 0
+        row, tok = self.row[held], self.tok[held]
+        if distinct:
+            row, tok = np.divmod(distinct_of(row * len(values) + tok), len(values))
+        return np.bincount(row, weights=values[tok], minlength=len(self.sizes))
+
+
+def distinct_of(keys):
+    """The different ones of many numbers, in order."""
+    import numpy as np
+
+    keys = np.sort(keys)
+    return keys[np.concatenate((np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1]))]
+
+
 def mark_furniture(filled: list[Line], scores: list[float]) -> None:
     """Sets the kind of the filled lines outside the maximum-scoring run, and of those inside that count against it."""
     for x, score in zip(filled, scores):
@@ -364,12 +569,12 @@ class Encoded:
         self.of_feature = row[order]
         self.feature_begins = np.searchsorted(self.flat[order], np.arange(len(first)))
 
-    def _sums(self, w, b: float):
+    def _sums(self, w, b: float, room):
         import numpy as np
 
         z = np.full(self.rows, b)
         if len(self.live):
-            z[self.live] += np.add.reduceat((w * self.alike).take(self.flat, mode="clip"), self.begins)
+            z[self.live] += np.add.reduceat((w * self.alike).take(self.flat, mode="clip", out=room), self.begins)
         return z
 
     def fit(self, labels, strengths, ridge: float = 1.0, steps: int = 60) -> dict[str, float]:
@@ -380,17 +585,19 @@ class Encoded:
         told = np.bincount(self.place, weights=strengths * labels, minlength=self.rows)
         w, b = np.zeros(len(self.alike)), 0.0
         past, past_b = np.full(len(self.alike), 1e-8), 1e-8
+        # what is added up is written to the same memory in each step
+        room = np.empty(len(self.flat))
         for step in range(steps):
-            error = strength / (1 + np.exp(-np.clip(self._sums(w, b), -30, 30))) - told
+            error = strength / (1 + np.exp(-np.clip(self._sums(w, b, room), -30, 30))) - told
             grad = ridge * w
             if len(w):
-                grad += np.add.reduceat(error.take(self.of_feature, mode="clip"), self.feature_begins)
+                grad += np.add.reduceat(error.take(self.of_feature, mode="clip", out=room), self.feature_begins)
             past = 0.9 * past + 0.1 * grad * grad
             past_b = 0.9 * past_b + 0.1 * error.sum() ** 2
             rate = 0.3 / (1 + step / 20)
             w -= rate * grad / np.sqrt(past)
             b -= rate * error.sum() / math.sqrt(past_b)
-        self.scores = np.clip(self._sums(w, b), -_CLIP, _CLIP)[self.place]
+        self.scores = np.clip(self._sums(w, b, room), -_CLIP, _CLIP)[self.place]
         return {"": float(b)} | {f: v for f, v in zip(self.names, w[self.group].tolist()) if abs(v) > 1e-3}
 
 
@@ -515,7 +722,8 @@ def fit_body_model(sample: list[tuple], rounds: int = ROUNDS) -> BodyModel:
         at = 0
         if k == rounds:
             scores = beside_others.scores.tolist()
-            whole = [next((local.get(f, 0.0) < 0 for f in feats if f[0] == "=" and len(f) > 1), False) for feats in rows]
+            # of a short line's features the last but two is its whole wording
+            whole = [len(feats) > 2 and feats[-3][0] == "=" and len(feats[-3]) > 1 and local.get(feats[-3], 0.0) < 0 for feats in rows]
             row = iter(place)
             for lines in read:
                 for x in lines:

@@ -27,7 +27,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import chain, compress, islice
 
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -58,8 +58,8 @@ REMEMBERED, SHORT_LINE = 200_000, 120
 DUMMY_SHARE, DUMMY_LETTERS = 0.05, 4
 #: Words of fewer clauses with fields are names, not ways to speak of fields.
 NAMED = 3
-#: Pages whose words are looked up together.
-PREPARED = 250
+#: Pages whose words are looked up together, where they are judged and where a shard is fitted.
+PREPARED, FIT_PREPARED = 250, 1000
 #: Rounds of adding what the models find to their labels.
 ROUNDS = 1
 
@@ -100,10 +100,16 @@ _CLAUSE = re.compile(r"(?<=[.?!])\s+")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 _BARE = re.compile(r"[\"'“”„‘’`«]\s*\x01\s*[\"'“”‘’`»]")
 QUOTED = "\x02"
-_FIELD_HINT = re.compile(r"[{}\[\]<>@%_*]")
+# every notation of a field holds one of these
+_OPENING = ("{", "[", "<", "@", "%", "_", "*", "XX-")
 _MARKS = ".,:;!?"
 
 
+def may_hold_field(text: str) -> bool:
+    """Whether a text has a sign that fields have; plain searches are much cheaper than ``FIELD``."""
+    return any([x in text for x in _OPENING])
+
+
 def words_of(text: str) -> list[str]:
     """Words in lower case; numbers, codes and paths are slots."""
     return _WORD.findall(with_slots(_VALUE.sub("0", text)))
@@ -213,12 +219,12 @@ class _Ratios(dict):
     def __init__(self, models: list[_Shares], pairs: list[tuple[int, int]]) -> None:
         super().__init__()
         self.none = (0.0,) * len(pairs)
-        self.of_gram = {}
-        for g in set().union(*models):
-            shares = [m.get(g, 0.0) for m in models]
-            base = BACKGROUND * sum(shares) / len(shares)
-            smooth = [(1 - BACKGROUND) * x + base for x in shares]
-            self.of_gram[g] = tuple([math.log(smooth[a] / smooth[b]) for a, b in pairs])
+        import numpy as np
+
+        grams = list(set().union(*models))
+        shares = np.array([[m.get(g, 0.0) for g in grams] for m in models])
+        smooth = (1 - BACKGROUND) * shares + BACKGROUND * shares.mean(axis=0)
+        self.of_gram = dict(zip(grams, zip(*[np.log(smooth[a] / smooth[b]).tolist() for a, b in pairs])))
 
     def __missing__(self, word: str) -> tuple[float, ...]:
         get = self.of_gram.get
@@ -334,7 +340,7 @@ class ResidueModel:
         self._ahead: dict[str, int] = {}
 
     def prepare(self, lines: Iterable[str]) -> None:
-        """Tells the kinds of many different lines at once, which is cheaper than one by one; they are kept until the next are told."""
+        """Tells many different lines at once that are no residue, which is cheaper than one by one; they are kept until the next are told."""
         import numpy as np
 
         self._ahead = {}
@@ -346,10 +352,12 @@ class ResidueModel:
         most = np.array(list(map(self.bounds.__getitem__, words)))
         row = np.repeat(np.arange(len(new)), sizes)
         sums = np.bincount(row, weights=most[codes], minlength=len(new))
-        told = dict.fromkeys(new, 0)
-        for i in np.flatnonzero(sums + 1e-6 >= np.maximum(WINDOW, DENSITY * sizes / 2)).tolist():
-            told[new[i]] = self._residue(new[i])
-        self._ahead = told
+        none = sums + 1e-6 < np.maximum(WINDOW, DENSITY * sizes / 2)
+        self._ahead = dict.fromkeys(compress(new, none.tolist()), 0)
+
+    def may_be_residue(self, line: str) -> bool:
+        """False for lines known to be no residue."""
+        return self._ahead.get(line) != 0 and self._seen.get(line) != 0
 
     def residue(self, line: str) -> int:
         """The kind of residue, from 1, of which a window covers half of the line; 0 if none does."""
@@ -396,7 +404,7 @@ class ResidueModel:
 
 def fields_of(line: str) -> list[str]:
     """The clauses of a line that hold a field: \\x01 if it stands bare, QUOTED otherwise; commands have none."""
-    if not _FIELD_HINT.search(line) and "XX-" not in line or not FIELD.search(line) or _COMMAND.search(line):
+    if not may_hold_field(line) or not FIELD.search(line) or _COMMAND.search(line):
         return []
     return [c for c in _CLAUSE.split(_BARE.sub(f" {QUOTED} ", FIELD.sub(" \x01 ", line))) if "\x01" in c or QUOTED in c]
 
@@ -407,7 +415,7 @@ def may_be_residue(title: str | None, text: str | None, model: ResidueModel) ->
         return False
     if title and fields_of(title) or not text.isascii() and FORMAT.search(text):
         return True
-    hinted = bool(_FIELD_HINT.search(text)) or "XX-" in text
+    hinted = may_hold_field(text)
     for raw in text.split("\n"):
         line = raw.strip()
         if line and (model.residue(line) or hinted and (fields_of(line) or title and title in line and fields_of(line.replace(title, "")))):
@@ -422,7 +430,7 @@ def judge_page(domain: str | None, url: str | None, title: str | None, text: str
     lines = body.judge(domain, url, title, text)
     own = covered = 0
     stand = {model.fields(title)} if title else set()
-    hinted = bool(_FIELD_HINT.search(text)) or "XX-" in text
+    hinted = may_hold_field(text)
     for x in lines:
         if x.kind in (BLANK, TITLE) or x.kind == FURNITURE and x.known:
             continue
@@ -444,8 +452,8 @@ def _clauses(page: str, title: str | None) -> tuple[list[str], list[str]]:
     """The clauses of a page that speak of quoted fields, and those with several bare ones."""
     spoken, left = [], []
     whole = f"{page}\n{title or ''}"
-    for line in whole.split("\n") if _FIELD_HINT.search(whole) or "XX-" in whole else ():
-        if (_FIELD_HINT.search(line) or "XX-" in line) and FIELD.search(line) and not _COMMAND.search(line):
+    for line in whole.split("\n") if may_hold_field(whole) else ():
+        if may_hold_field(line) and FIELD.search(line) and not _COMMAND.search(line):
             for clause in _CLAUSE.split(FIELD.sub(" \x01 ", line)):
                 if _BARE.search(clause):
                     spoken.append(clause)
@@ -491,11 +499,14 @@ def fit_shard(pages: list[tuple], rounds: int = ROUNDS) -> list[tuple[str, str,
         model = ResidueModel(kinds, furniture, fewer, Counter(), Counter())
         more: list[set[str]] = [set() for _ in labels]
         for i, lines in enumerate(body.sample):
-            if i % PREPARED == 0:
-                model.prepare({x.text for near in body.sample[i : i + PREPARED] for x in near})
-            told_lines = [model.residue(x.text) for x in lines]
-            if not any(told_lines):
+            if i % FIT_PREPARED == 0:
+                model.prepare({x.text for near in body.sample[i : i + FIT_PREPARED] for x in near})
+            # if all lines that may be residue were some, they would still have to cover the page
+            open_lines = [(x, model.may_be_residue(x.text)) for x in lines]
+            most = sum([x.words for x, may in open_lines if may])
+            if not most or most < COVERAGE * sum([x.words for x, may in open_lines if may or x.kind != FURNITURE]):
                 continue
+            told_lines = [model.residue(x.text) for x in lines]
             judged = [(x, k) for x, k in zip(lines, told_lines) if not (x.kind == FURNITURE and x.known)]
             own = sum(x.words for x, k in judged if k or x.kind != FURNITURE)
             if own and sum(x.words for x, k in judged if k) >= COVERAGE * own:

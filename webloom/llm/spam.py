@@ -14,12 +14,13 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.body import OWN, Line
+from webloom.llm.body import FORMAT, OWN, BodyModel, Line, distinct_of
 from webloom.llm.furniture import kept, page_columns
 from webloom.llm.residue import broadcast_models, residue_pages
 from webloom.session import Scratch
@@ -93,6 +94,63 @@ def measures(own: list[Line], whole: str = "") -> tuple[str, int, float, float,
     return lang, total, (sure / total if total else 1.0), function, entropy, repetition, linked / max(1, size)
 
 
+#: Pages that are measured together.
+TOGETHER = 500
+
+
+def measures_many(pages: list[tuple], body: BodyModel) -> list[tuple[str, int, float, float, float, float, float]]:
+    """``measures`` of the own lines of (domain, url, title, text) of many pages."""
+    import numpy as np
+
+    judged, held = body.judge_many(pages)
+    names, n, size = held.names, len(pages), len(held.names)
+    page = np.repeat(np.arange(n), np.fromiter(map(len, judged), np.int64, n))
+    # lines by number: whether own, whether a sentence, and their words
+    own = np.fromiter((x.kind == OWN for lines in judged for x in lines), bool, len(page))
+    sentence = np.fromiter((x.sentence for lines in judged for x in lines), bool, len(page))
+    counted = np.fromiter((x.words for lines in judged for x in lines), np.int64, len(page))
+    letters = held.sums(held.alpha.astype(float))
+    marks = held.sums(np.array([t in _MARKS for t in names], dtype=float))
+    code = ~sentence & (letters < held.sizes) & (marks > 0) & (3 * marks >= letters)
+    total = np.bincount(page[own], weights=counted[own], minlength=n)
+    sure = np.bincount(page[own & (sentence | code)], weights=counted[own & (sentence | code)], minlength=n)
+    # own words of the pages, in their order
+    chosen = own[held.row] & held.alpha[held.tok]
+    word, line = held.tok[chosen], held.row[chosen]
+    at = page[line]
+    words = np.bincount(at, minlength=n)
+    is_function = np.array([[t in f for t in names] for f in _FUNCTION.values()])
+    known = is_function.any(axis=0)[word]
+    seen_at, seen = np.divmod(distinct_of(at[known] * size + word[known]), size)
+    different = np.array([np.bincount(seen_at, weights=f[seen], minlength=n) for f in is_function])
+    lang = different.argmax(axis=0)
+    loose = ~code[line]
+    spoken = np.bincount(at[loose], minlength=n)
+    function = np.bincount(at[loose], weights=is_function[lang[at[loose]], word[loose]], minlength=n)
+    keys = np.sort(at * size + word)
+    begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), dtype=bool), keys[1:] != keys[:-1])))
+    times = np.diff(begins, append=len(keys)).astype(float)
+    spread = np.bincount(keys[begins] // size, weights=times * np.log(times), minlength=n)
+    near = at[1:] == at[:-1]
+    pairs = np.bincount(distinct_of((at[1:][near] * size + word[:-1][near]) * size + word[1:][near]) // (size * size), minlength=n)
+    langs, told = list(_FUNCTION), different.any(axis=0).tolist()
+    out = []
+    for k, lines in enumerate(judged):
+        text = pages[k][3]
+        # links are cut out of their lines, and texts without own function words are read whole
+        if not told[k] or "http" in text or "www." in text or not text.isascii() and FORMAT.search(text):
+            mine = [x for x in lines if x.kind == OWN]
+            for x in mine:
+                a = held.begins[x.row]
+                x.cuts = [names[t] for t in held.tok[a : a + held.sizes[x.row]].tolist()], x.cuts[1]
+            out.append(measures(mine, text))
+            continue
+        w, t, s = int(words[k]), int(total[k]), int(spoken[k])
+        entropy = 1 - float(spread[k]) / (w * math.log(w)) if w > 1 else 1.0
+        out.append((langs[lang[k]], t, float(sure[k]) / t if t else 1.0, float(function[k]) / s if s else 0.3 if w else 0.0, entropy, 1 - int(pairs[k]) / (w - 1) if w > 1 else 0.0, 0.0))
+    return out
+
+
 def measure_pages(pages: DataFrame, models: Broadcast) -> DataFrame:
     """One row of ``_MEASURED`` per page with text."""
 
@@ -103,9 +161,9 @@ def measure_pages(pages: DataFrame, models: Broadcast) -> DataFrame:
         schema = pa.schema([("page_id", pa.int64()), ("lang", pa.string()), ("words", pa.int32()), *((f, pa.float64()) for f in list(FEATURES)[:5])])
         for batch in batches:
             rows = []
-            for page, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                lang, words, *features = measures([x for x in body.judge(*rest) if x.kind == OWN], rest[3])
-                rows.append((page, lang, words, *features))
+            pages_of = zip(*(c.to_pylist() for c in batch.columns))
+            while part := list(islice(pages_of, TOGETHER)):
+                rows += [(page, *told) for (page, *_), told in zip(part, measures_many([rest for _, *rest in part], body))]
             columns = list(zip(*rows)) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
